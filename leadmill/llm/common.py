@@ -66,10 +66,10 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
 def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of each text: (code per word, bounds per text, distinct words)."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    if lower:
-        texts = pc.ascii_lower(texts)
     lists = pc.ascii_split_whitespace(texts)
     flat = lists.flatten()
+    if lower:
+        flat = pc.ascii_lower(flat)
     bounds = np.asarray(lists.offsets, dtype=np.int64)
     bounds = bounds - bounds[0]
     coded = flat.dictionary_encode()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from leadmill.llm.ngram_join import near_duplicates
+from leadmill.llm.substring import remove_repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +16,12 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=5, num=75, den=100)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), k=20)
+
+
 def queries():
-    return {f.__name__: f for f in (op7_ngram_jaccard_join,)}
+    return {f.__name__: f for f in (op5_substring_dedup, op7_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
