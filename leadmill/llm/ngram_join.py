@@ -10,6 +10,9 @@ verified on the sets.
 
 Two regimes share that rule:
 
+A block has as many bits as there are hash values, so hardly a bit is toggled twice, and
+is stored as the XOR of the hashes toggled in it.
+
 * up to ``BLOCKS`` differences, all blocks exist and the T+1 fullest are emitted.
   The order (bits set, block) is a function of the key alone, so two documents
   whose keys agree in all but T places share one of their first T+1: no link is lost;
@@ -73,19 +76,23 @@ def sketch_keys(shingles: np.ndarray, band: int, limit: int) -> np.ndarray:
     exact = limit + 1 <= BLOCKS
     blocks = int(1.4 * (limit + 1)) + 1 if exact else limit
     at = ((spread >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
-    built = blocks if exact else BLOCKS
     if not exact:
-        keep = at < built
+        keep = at < BLOCKS
         at, spread = at[keep], spread[keep]
-    cell = (at * np.uint64(64) + (spread & np.uint64(63))).astype(np.int64)
-    odd = (np.bincount(cell, minlength=built * 64)[: built * 64] & 1).astype(np.uint8)
-    bits = np.packbits(odd, bitorder="little").view(np.uint64)
-    number = np.arange(built, dtype=np.uint64)
+    if not len(at):
+        return at
+    order = np.argsort(at, kind="stable")
+    at, spread = at[order], mix(spread[order])
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    number, bits, filled = at[first], np.bitwise_xor.reduceat(spread, first), np.diff(np.append(first, len(at)))
     if exact:
-        order = np.lexsort((number, -np.bitwise_count(bits).astype(np.int64)))[: limit + 1]
-    else:
-        order = np.flatnonzero(bits)
-    return pair_hash(pair_hash(np.full(len(order), band, np.uint64), number[order]), bits[order])
+        if len(number) < limit + 1:
+            # Empty blocks are keys too, the last in the order.
+            empty = np.setdiff1d(np.arange(blocks, dtype=np.uint64), number)
+            number, bits, filled = np.append(number, empty), np.append(bits, np.zeros(len(empty), np.uint64)), np.append(filled, np.zeros(len(empty), np.int64))
+        best = np.lexsort((number, -filled))[: limit + 1]
+        number, bits, filled = number[best], bits[best], filled[best]
+    return pair_hash(pair_hash(np.full(len(number), band, np.uint64), number), bits ^ filled.astype(np.uint64))
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
