@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from leadmill.llm.ngram_join import near_duplicates
+from leadmill.llm.packing import pack_documents
 from leadmill.llm.substring import remove_repeats
 
 
@@ -16,12 +17,23 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=5, num=75, den=100)
 
 
+def tokenizer_path() -> str:
+    """Where the public vocabulary is; a parameter of the operator."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048)
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), k=20)
 
 
 def queries():
-    return {f.__name__: f for f in (op5_substring_dedup, op7_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op4_harmonic_packing, op5_substring_dedup, op7_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
