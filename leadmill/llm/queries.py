@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from leadmill.llm.ngram_join import near_duplicates
 from leadmill.llm.packing import pack_documents
 from leadmill.llm.substring import remove_repeats
+from leadmill.llm.warc import archive_pages
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,8 +33,12 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), k=20)
 
 
+def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages"), min_payload=0)
+
+
 def queries():
-    return {f.__name__: f for f in (op4_harmonic_packing, op5_substring_dedup, op7_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op4_harmonic_packing, op5_substring_dedup, op7_ngram_jaccard_join, op10_warc_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:

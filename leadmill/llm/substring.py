@@ -39,7 +39,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _zip(texts: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else pa.compress(t.as_buffer(), codec="zstd", asbytes=True) for t in texts], pa.binary())
+    return pa.array([None if not t.is_valid else pa.compress(t.as_buffer(), codec="zstd", asbytes=True) for t in texts], pa.binary())
 
 
 def _unzip(blob: bytes | None, size: int) -> bytes:
