@@ -63,8 +63,8 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
             yield batch.slice(a, b - a)
 
 
-def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of each text: (code per word, bounds per text, distinct words)."""
+def split_words(texts: pa.Array, lower: bool = False, raw: bool = False) -> tuple[np.ndarray, np.ndarray, list]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of each text: (code per word, bounds per text, distinct words, as bytes if ``raw``)."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     lists = pc.ascii_split_whitespace(texts)
     flat = lists.flatten()
@@ -74,7 +74,8 @@ def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
     bounds = bounds - bounds[0]
     coded = flat.dictionary_encode()
     codes = np.asarray(coded.indices, dtype=np.int64)
-    words = coded.dictionary.to_pylist()
+    words = coded.dictionary.cast(pa.large_binary()) if raw else coded.dictionary
+    words = words.to_numpy(zero_copy_only=False).tolist()
     full = np.asarray(pc.greater(pc.binary_length(flat), 0)) if len(flat) else np.zeros(0, bool)
     if not full.all():
         kept = np.concatenate(([0], np.cumsum(full)))
@@ -82,8 +83,8 @@ def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
     return codes, bounds, words
 
 
-def hash_strings(words: list[str], seed: int = 0) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(w.encode(), seed) for w in words), dtype=np.uint64, count=len(words))
+def hash_words(words: list[bytes], seed: int = 0) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words), dtype=np.uint64, count=len(words))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadmill.llm.common import hash_strings, materialize, mix, pair_hash, slices, split_words, window_hash
+from leadmill.llm.common import hash_words, materialize, mix, pair_hash, slices, split_words, window_hash
 from leadmill.llm.graph import components
 
 BLOCKS = 48
@@ -55,8 +55,8 @@ def bands(num: int, den: int, upto: int = 1 << 40) -> list[tuple[int, int]]:
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text; a shorter text is one shingle."""
-    codes, bounds, words = split_words(texts, lower=True)
-    h = hash_strings(words)[codes] if len(codes) else np.zeros(0, np.uint64)
+    codes, bounds, words = split_words(texts, lower=True, raw=True)
+    h = hash_words(words)[codes] if len(codes) else np.zeros(0, np.uint64)
     w = window_hash(h, width)
     out = []
     for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):

@@ -19,15 +19,16 @@ per path.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadmill.llm.common import hash_strings, materialize, pair_hash, slices, split_words, window_hash
+from leadmill.llm.common import CHUNK_BYTES, hash_words, materialize, pair_hash, slices, split_words, window_hash
 
 SEED_WORDS = 6
 # A position in a document: 24 bits that tell rows of one doc_id apart, 32 of the start, 6 of the path's length.
@@ -46,6 +47,17 @@ def _unzip(blob: bytes | None, size: int) -> bytes:
     return b"" if blob is None or not size else pa.decompress(blob, decompressed_size=size, codec="zstd", asbytes=True)
 
 
+def minimizers(seeds: np.ndarray, width: int) -> np.ndarray:
+    """Place of the leftmost smallest seed in each window of ``width``, by doubling."""
+    at, low, done = np.arange(len(seeds), dtype=np.int32), seeds, 1
+    while done < width:
+        step = min(done, width - done)
+        right = low[step:] < low[:-step]
+        at, low = np.where(right, at[step:], at[:-step]), np.where(right, low[step:], low[:-step])
+        done += step
+    return at
+
+
 def paths_of(h: np.ndarray, bounds: np.ndarray, k: int, s: int):
     """Paths of a chunk: (document index, first window's start in it, windows, minimizer hash, content hash)."""
     if len(h) < k:
@@ -53,7 +65,7 @@ def paths_of(h: np.ndarray, bounds: np.ndarray, k: int, s: int):
     seeds = window_hash(h, s)
     width = k - s + 1
     at = np.arange(len(h) - k + 1)
-    where = at + sliding_window_view(seeds, width)[: len(at)].argmin(axis=1)
+    where = minimizers(seeds, width)[: len(at)]
     doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[: len(at)]
     inside = at + k <= bounds[doc + 1]
     head = inside.copy()
@@ -69,8 +81,8 @@ def paths_of(h: np.ndarray, bounds: np.ndarray, k: int, s: int):
 
 
 def _words(batch: pa.RecordBatch):
-    codes, bounds, words = split_words(batch.column("text"))
-    return (hash_strings(words)[codes] if len(codes) else np.zeros(0, np.uint64)), bounds
+    codes, bounds, words = split_words(batch.column("text"), raw=True)
+    return (hash_words(words)[codes] if len(codes) else np.zeros(0, np.uint64)), bounds
 
 
 def emit_paths(k: int, s: int):
@@ -94,29 +106,39 @@ def compress_texts(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("mark"), _zip(texts), pa.array(size, pa.int64())], ["doc", "mark", "z", "size"])
 
 
-def _runs(positions, mark: int):
-    """(start, windows) of the positions that belong to the row with this mark."""
-    p = np.asarray(positions, np.int64)
-    p = p[(p >> (_START_BITS + _LEN_BITS)) == mark]
-    return (p >> _LEN_BITS) & ((1 << _START_BITS) - 1), p & ((1 << _LEN_BITS) - 1)
+def _runs(lists: pa.Array, marks: np.ndarray):
+    """(row, start, windows) of the positions listed for each row that belong to the row with its mark."""
+    p, sizes = np.asarray(lists.flatten(), np.int64), np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    mine = (p >> (_START_BITS + _LEN_BITS)) == marks[row]
+    p, row = p[mine], row[mine]
+    return row, (p >> _LEN_BITS) & ((1 << _START_BITS) - 1), p & ((1 << _LEN_BITS) - 1)
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Cut a batch of compressed texts by their full size."""
+    part = np.cumsum(np.asarray(batch.column("size"), np.int64)) // CHUNK_BYTES
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    return (batch.slice(a, b - a) for a, b in zip(edges, edges[1:], strict=False) if b > a)
 
 
 def expand_edges(k: int):
     """Edges of the paths named in ``at``, with their 128-bit hash and coordinates."""
 
     def run(batches):
-        for batch in batches:
-            for z, size, doc, mark, at in zip(*(batch.column(c) for c in ("z", "size", "doc", "mark", "at")), strict=True):
-                start, n = _runs(at.values, mark.as_py())
-                if not len(start):
-                    continue
-                text = pa.array([_unzip(z.as_py(), size.as_py())], pa.large_binary()).view(pa.large_string())
-                codes, _, words = split_words(text)
-                w1 = window_hash(hash_strings(words)[codes], k)
-                w2 = window_hash(hash_strings(words, 1)[codes], k)
-                i = np.unique(np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-                pos = (mark.as_py() << (_START_BITS + _LEN_BITS)) | (i << _LEN_BITS) | 1
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(w1[i])), pa.array(_signed(w2[i])), pa.array(np.full(len(i), doc.as_py(), np.int64)), pa.array(pos)], ["w1", "w2", "doc", "pos"])
+        for batch in (part for whole in batches for part in _parts(whole)):
+            mark = np.asarray(batch.column("mark"))
+            row, start, n = _runs(batch.column("at"), mark)
+            texts = pa.array([_unzip(z, size) for z, size in zip(batch.column("z").to_pylist(), batch.column("size").to_pylist(), strict=True)], pa.large_binary())
+            codes, bounds, words = split_words(texts.view(pa.large_string()), raw=True)
+            if not len(row) or len(codes) < k:
+                continue
+            i = np.unique(np.repeat(bounds[row] + start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+            w1 = window_hash(hash_words(words)[codes], k)[i]
+            w2 = window_hash(hash_words(words, 1)[codes], k)[i]
+            row = np.searchsorted(bounds, i, "right") - 1
+            pos = (mark[row] << (_START_BITS + _LEN_BITS)) | ((i - bounds[row]) << _LEN_BITS) | 1
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(w1)), pa.array(_signed(w2)), batch.column("doc").take(pa.array(row)), pa.array(pos)], ["w1", "w2", "doc", "pos"])
 
     return run
 
@@ -125,27 +147,26 @@ def cut(k: int, with_text: bool):
     """What is left of each document once the windows named in ``at`` are taken out."""
 
     def run(batches):
-        for batch in batches:
-            cols = {c: batch.column(c) for c in batch.schema.names}
+        for batch in (part for whole in batches for part in _parts(whole)):
+            row, start, n = _runs(batch.column("at"), np.asarray(batch.column("mark")))
+            order = np.argsort(row, kind="stable")
+            start, end = start[order], (start + n)[order] + (k - 1)
+            begin = np.searchsorted(row[order], np.arange(batch.num_rows + 1)).tolist()
             n_words, removed, digest, texts = [], [], [], []
-            for i in range(batch.num_rows):
-                words = _unzip(cols["z"][i].as_py(), cols["size"][i].as_py()).split()
+            for i, (z, size) in enumerate(zip(batch.column("z").to_pylist(), batch.column("size").to_pylist(), strict=True)):
+                words = _unzip(z, size).split()
                 n_words.append(len(words))
-                gone = 0
-                if cols["at"][i].is_valid:
-                    start, n = _runs(cols["at"][i].values, cols["mark"][i].as_py())
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(edge, start, 1)
-                    np.add.at(edge, start + n + (k - 1), -1)
+                gone, (a, b) = 0, begin[i : i + 2]
+                if b > a:
+                    edge = np.bincount(start[a:b], minlength=len(words) + 1) - np.bincount(end[a:b], minlength=len(words) + 1)
                     stay = np.cumsum(edge)[:-1] == 0
                     gone = len(words) - int(stay.sum())
-                    if gone:
-                        words = [w for w, keep in zip(words, stay.tolist(), strict=True) if keep]
+                    words = list(itertools.compress(words, stay.tolist()))
                 removed.append(gone)
                 left = b" ".join(words)
                 digest.append(hashlib.sha256(left).hexdigest())
                 texts.append(left.decode() if with_text and gone else None)
-            out = [cols["doc_id"], cols["mark"], pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest)]
+            out = [batch.column("doc_id"), batch.column("mark"), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())]
             names = ["doc_id", "mark", "n_words", "n_removed", "kept_sha256"]
             if with_text:
                 out, names = [*out, pa.array(texts, pa.string())], [*names, "kept_text"]
