@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from leadmill.llm.langid import identify
 from leadmill.llm.ngram_join import near_duplicates
 from leadmill.llm.packing import pack_documents
+from leadmill.llm.quality import classify
 from leadmill.llm.substring import remove_repeats
 from leadmill.llm.warc import archive_pages
 
@@ -18,6 +20,10 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=5, num=75, den=100)
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3, modulus=5)
+
+
 def tokenizer_path() -> str:
     """Where the public vocabulary is; a parameter of the operator."""
     import public_tokenizers
@@ -33,12 +39,16 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), k=20)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"), modulus=3, remainder=1)
+
+
 def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"), min_payload=0)
 
 
 def queries():
-    return {f.__name__: f for f in (op4_harmonic_packing, op5_substring_dedup, op7_ngram_jaccard_join, op10_warc_round_trip)}
+    return {f.__name__: f for f in (op1_quality_classifier, op4_harmonic_packing, op5_substring_dedup, op7_ngram_jaccard_join, op9_language_id, op10_warc_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
