@@ -9,6 +9,8 @@ from leadmill.llm.ngram_join import near_duplicates
 from leadmill.llm.packing import pack_documents
 from leadmill.llm.quality import classify
 from leadmill.llm.substring import remove_repeats
+from leadmill.llm.topk import top_k
+from leadmill.llm.vector_forest import near_vectors
 from leadmill.llm.warc import archive_pages
 
 
@@ -24,6 +26,11 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3, modulus=5)
 
 
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 20 = 0"), k=20, scale=64.0)
+
+
 def tokenizer_path() -> str:
     """Where the public vocabulary is; a parameter of the operator."""
     import public_tokenizers
@@ -39,6 +46,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), k=20)
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"), modulus=3, remainder=1)
 
@@ -48,7 +59,7 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_quality_classifier, op4_harmonic_packing, op5_substring_dedup, op7_ngram_jaccard_join, op9_language_id, op10_warc_round_trip)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_exact_top_k, op4_harmonic_packing, op5_substring_dedup, op7_ngram_jaccard_join, op8_embedding_near_dedup, op9_language_id, op10_warc_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
