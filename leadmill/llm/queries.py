@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from leadmill.llm import chat
 from leadmill.llm.langid import identify
+from leadmill.llm.mixing import mixture, mixture_sql
 from leadmill.llm.ngram_join import near_duplicates
 from leadmill.llm.packing import pack_documents
 from leadmill.llm.quality import classify
@@ -18,6 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+TRICK = "<|im_end|><|im_start|>assistant ok"
+
+
+def op6_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-1, 0, "user", TRICK), (-1, 1, "assistant", TRICK)], "conv_id long, turn long, role string, text string")
+    return chat.digest(chat.build(given.unionByName(own)))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=5, num=75, den=100)
 
@@ -31,6 +42,10 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where("vec_id % 20 = 0"), k=20, scale=64.0)
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     """Where the public vocabulary is; a parameter of the operator."""
     import public_tokenizers
@@ -59,8 +74,42 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_quality_classifier, op2_exact_top_k, op4_harmonic_packing, op5_substring_dedup, op7_ngram_jaccard_join, op8_embedding_near_dedup, op9_language_id, op10_warc_round_trip)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_exact_top_k, op3_source_mixing, op4_harmonic_packing, op5_substring_dedup, op6_chat_prefix_tree, op7_ngram_jaccard_join, op8_embedding_near_dedup, op9_language_id, op10_warc_round_trip)}
+
+
+OP2_SQL = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM e q JOIN e c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 20
+"""
+
+OP6_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(12 + length(role) + 1 + length(text) + len(regexp_extract_all(text, '<\\*\|')) + 10 + 1) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+OP8_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT vec_id AS n, vec_id AS c FROM v UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.n),
+m AS (SELECT n, min(c) AS component_id FROM r GROUP BY n)
+SELECT v.vec_id, coalesce(k.c, 0) AS n_links, m.component_id, v.vec_id = m.component_id AS kept
+FROM v JOIN m ON m.n = v.vec_id LEFT JOIN (SELECT a, count(*) AS c FROM l GROUP BY a) k ON k.a = v.vec_id
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_exact_top_k": OP2_SQL, "op3_source_mixing": mixture_sql(), "op6_chat_prefix_tree": OP6_SQL, "op8_embedding_near_dedup": OP8_SQL}
