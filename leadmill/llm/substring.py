@@ -27,6 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from leadmill.llm.common import CHUNK_BYTES, hash_words, materialize, pair_hash, slices, split_words, window_hash
 
@@ -101,9 +102,10 @@ def emit_paths(k: int, s: int):
 def compress_texts(batches):
     for whole in batches:
         for batch in slices(whole, "text", 16 << 20):
+            more = [c for c in batch.schema.names if c == "carried"]
             texts = batch.column("text").cast(pa.large_string())
             size = [0 if t is None else len(t) for t in (x.as_buffer() for x in texts)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("mark"), _zip(texts), pa.array(size, pa.int64())], ["doc", "mark", "z", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("mark"), _zip(texts), pa.array(size, pa.int64()), *(batch.column(c) for c in more)], ["doc", "mark", "z", "size", *more])
 
 
 def _runs(lists: pa.Array, marks: np.ndarray):
@@ -165,29 +167,46 @@ def cut(k: int, with_text: bool):
                 removed.append(gone)
                 left = b" ".join(words)
                 digest.append(hashlib.sha256(left).hexdigest())
-                texts.append(left.decode() if with_text and gone else None)
-            out = [batch.column("doc_id"), batch.column("mark"), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())]
-            names = ["doc_id", "mark", "n_words", "n_removed", "kept_sha256"]
+                if with_text:
+                    texts.append(left.decode() if gone else None if z is None else _unzip(z, size).decode())
+            out = [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())]
+            names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
             if with_text:
-                out, names = [*out, pa.array(texts, pa.string())], [*names, "kept_text"]
+                out, names = [*out, pa.array(texts, pa.string()), batch.column("carried")], [*names, "kept_text", "carried"]
             yield pa.RecordBatch.from_arrays(out, names)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, k: int = 20, with_text: bool = False) -> DataFrame:
+def with_repeats_removed(docs: DataFrame, k: int = 20) -> DataFrame:
+    """``docs`` (doc_id, text and any other columns) with repeated windows' words taken out of the texts.
+
+    A text that loses words becomes its kept words joined by one space, and n_chars, if there is
+    one, its new length; other rows stay as they are.  See ``remove_repeats`` for the cases.
+    """
+    out = remove_repeats(docs, k, carry=[c for c in docs.columns if c not in ("doc_id", "text")])
+    new = {c: F.col(f"carried.{c}") for c in docs.columns if c not in ("doc_id", "text")}
+    if "n_chars" in new:
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(new["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    new |= {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.col("kept_text")}
+    return out.select(*(new[c].alias(c) for c in docs.columns))
+
+
+def remove_repeats(docs: DataFrame, k: int = 20, carry: list[str] | None = None) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row, without the words of windows that start earlier elsewhere.
 
-    Uses doc_id and text; other columns are ignored.  ``with_text`` adds ``kept_text``,
-    the kept words joined by one space, for rows that lost words (else null), and
-    ``mark``, which tells rows of one doc_id apart.  A null, empty or short text loses nothing.
+    Uses doc_id and text; other columns are ignored.  ``carry`` names columns to bring along in the struct
+    ``carried`` and adds ``kept_text``: the kept words joined by one space for rows that lost words, else
+    the text as it was.  A null, empty or short text loses nothing.
     Earlier means smaller doc_id (null is smallest), then earlier start; rows that share a
     doc_id but not the text are ordered by a hash of the text, and fully equal rows keep their
     words both, as neither starts earlier.  An empty table gives no rows.
     """
     mark = F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 40)
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), mark.alias("mark"), "text")
-    paths = docs.mapInArrow(emit_paths(k, SEED_WORDS), "seed long, doc long, pos long, content long")
+    with_text = carry is not None
+    carried = [F.struct(*(F.col(c) for c in carry or []), F.lit(1).alias("_")).alias("carried")] if with_text else []
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), mark.alias("mark"), "text", *carried)
+    paths = docs.select("doc", "mark", "text").mapInArrow(emit_paths(k, SEED_WORDS), "seed long, doc long, pos long, content long")
 
     often = paths.groupBy("seed").agg(F.count("*").alias("c"), F.min("content").alias("lo"), F.max("content").alias("hi")).where("c > 1")
     again = materialize(paths.join(often.select("seed", (F.col("lo") != F.col("hi")).alias("branches")), "seed"))
@@ -197,13 +216,16 @@ def remove_repeats(docs: DataFrame, k: int = 20, with_text: bool = False) -> Dat
     heads = again.where("branches").join(first.select("seed", "content", "first"), ["seed", "content"]).where(F.struct("doc", "pos") == F.col("first"))
     heads = heads.groupBy("doc").agg(F.collect_list("pos").alias("at"))
 
-    packed = docs.mapInArrow(compress_texts, "doc long, mark long, z binary, size long")
+    schema = StructType([StructField("doc", LongType()), StructField("mark", LongType()), StructField("z", BinaryType()), StructField("size", LongType())])
+    packed = docs.select("doc", "mark", "text").mapInArrow(compress_texts, schema)
     edges = materialize(packed.join(heads, "doc").mapInArrow(expand_edges(k), "w1 long, w2 long, doc long, pos long"))
     lead = edges.groupBy("w1", "w2").agg(F.count("*").alias("c"), F.min(F.struct("doc", "pos")).alias("first")).where("c > 1")
     later = edges.join(lead.select("w1", "w2", "first"), ["w1", "w2"]).where(F.struct("doc", "pos") != F.col("first")).select("doc", "pos")
 
     gone = copies.unionByName(later).groupBy("doc").agg(F.collect_list("pos").alias("at"))
-    out = packed.join(gone, "doc", "left").select(F.when(F.col("doc") != -(1 << 63), F.col("doc")).alias("doc_id"), "mark", "z", "size", "at")
-    schema = "doc_id long, mark long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    out = out.mapInArrow(cut(k, with_text), schema)
-    return out if with_text else out.drop("mark")
+    whole = docs.mapInArrow(compress_texts, StructType([*schema, *(docs.schema[c] for c in docs.columns if c == "carried")]))
+    out = whole.join(gone, "doc", "left").select(F.when(F.col("doc") != -(1 << 63), F.col("doc")).alias("doc_id"), *(c for c in whole.columns if c != "doc"), "at")
+    digest = StructType([StructField("doc_id", LongType()), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_sha256", StringType())])
+    if with_text:
+        digest = StructType([*digest, StructField("kept_text", StringType()), docs.schema["carried"]])
+    return out.mapInArrow(cut(k, with_text), digest)
