@@ -10,7 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHUNK_BYTES = 4 << 20
 
@@ -125,6 +126,33 @@ def window_hash(h: np.ndarray, k: int) -> np.ndarray:
 
 def crc_held_out(column: str, modulus: int, remainder: int):
     """Column: crc32 of the id as text leaves ``remainder`` (a null id counts as crc 0)."""
-    from pyspark.sql import functions as F
-
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(0)) % modulus == remainder
+
+
+#: Bits of a membership table: 8 MB, whatever the number of members.
+TABLE_BITS, _ROW_BITS = 1 << 26, 1 << 15
+
+
+def slot(*columns) -> Column:
+    """The bit of a membership table that a key has."""
+    return F.pmod(F.xxhash64(*columns), F.lit(TABLE_BITS))
+
+
+def membership(keys: DataFrame, *columns):
+    """A broadcast bit table of fixed size with the bits of ``keys`` set.
+
+    It lets scans leave out rows that a later join would drop; it may let others through, more
+    as it fills, but never leaves a member out.
+    """
+    at = keys.select(slot(*columns).alias("s"))
+    rows = at.groupBy((F.col("s") / _ROW_BITS).cast("int").alias("row")).agg(F.bitmap_construct_agg(F.col("s") % _ROW_BITS).alias("bits")).collect()
+    table = np.zeros((TABLE_BITS // _ROW_BITS, _ROW_BITS // 8), np.uint8)
+    for r in rows:
+        table[r.row] = np.frombuffer(r.bits, np.uint8)
+    return keys.sparkSession.sparkContext.broadcast(table.ravel())
+
+
+def members(batch: pa.RecordBatch, table: np.ndarray, column: str = "slot") -> pa.RecordBatch:
+    """The rows of ``batch`` whose slot is set."""
+    at = np.asarray(batch.column(column), np.int64)
+    return batch.filter(pa.array((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0))

@@ -13,12 +13,13 @@ Two regimes share that rule:
 A block has as many bits as there are hash values, so hardly a bit is toggled twice, and
 is stored as the XOR of the hashes toggled in it.
 
-* up to ``BLOCKS`` differences, all blocks exist and the T+1 fullest are emitted.
+* up to ``EXACT`` differences, all blocks exist and the T+1 fullest are emitted.
   The order (bits set, block) is a function of the key alone, so two documents
   whose keys agree in all but T places share one of their first T+1: no link is lost;
-* above that, a sketch has T blocks, of which the first ``BLOCKS`` are built.
-  A linked pair leaves each of them equal with a chance of more than 1/e, so the chance
-  that none of 48 agrees is under 1e-9 for a pair exactly at the threshold.
+* above that, a sketch has T / ``SPARE`` blocks, of which the first ``BLOCKS`` are built, and those with one
+  toggled bit are left out, as a common line alone makes them equal.  Differences fall on blocks by hash: a block
+  of a linked pair is equal and has two bits with a chance of 0.25 at the least (0.30 for sets of one size), so that none of
+  64 agrees has a chance under 1e-8 (1e-10) for a pair exactly at the threshold and far less above it.
 
 Size bands are 1/t wide: a partner is in the same or the next band, so a document
 has keys in its own band and in the one below.
@@ -33,10 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadmill.llm.common import hash_words, materialize, mix, pair_hash, slices, split_words, window_hash
+from leadmill.llm.common import hash_words, materialize, members, membership, mix, pair_hash, slices, slot, split_words, window_hash
 from leadmill.llm.graph import components
 
-BLOCKS = 48
+#: Up to this T all blocks exist; above, so many of T / SPARE blocks are built, and only those with two toggled bits are keys.
+EXACT, BLOCKS, SPARE = 48, 64, 1.25
 CELL_SHINGLES = 2_000_000
 CELL_MEMBERS = 4096
 INFO = "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>, nodes array<long>"
@@ -73,8 +75,8 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
 def sketch_keys(shingles: np.ndarray, band: int, limit: int) -> np.ndarray:
     """The block keys of one set in one band, ``limit`` being its T."""
     spread = mix(shingles + np.uint64(0x51ED2701))
-    exact = limit + 1 <= BLOCKS
-    blocks = int(1.4 * (limit + 1)) + 1 if exact else limit
+    exact = limit < EXACT
+    blocks = int(1.4 * (limit + 1)) + 1 if exact else int(limit / SPARE) + 1
     at = ((spread >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
     if not exact:
         keep = at < BLOCKS
@@ -92,6 +94,9 @@ def sketch_keys(shingles: np.ndarray, band: int, limit: int) -> np.ndarray:
             number, bits, filled = np.append(number, empty), np.append(bits, np.zeros(len(empty), np.uint64)), np.append(filled, np.zeros(len(empty), np.int64))
         best = np.lexsort((number, -filled))[: limit + 1]
         number, bits, filled = number[best], bits[best], filled[best]
+    else:
+        several = filled > 1
+        number, bits, filled = number[several], bits[several], filled[several]
     return pair_hash(pair_hash(np.full(len(number), band, np.uint64), number), bits ^ filled.astype(np.uint64))
 
 
@@ -157,12 +162,12 @@ def node_bands(num: int, den: int):
     return run
 
 
-def packed_sets(width: int):
-    """Texts to (h1 of the class, sorted shingle hashes as bytes)."""
+def packed_sets(width: int, wanted):
+    """Texts of rows in the membership table to (h1 of the class, sorted shingle hashes as bytes)."""
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(members(whole, wanted.value), "text"):
                 sets = shingle_sets(batch.column("text"), width)
                 h1 = np.array([int(mix(s).sum(dtype=np.uint64)) for s in sets], np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array(_signed(h1)), pa.array([s.tobytes() for s in sets], pa.binary())], ["h1", "shingles"])
@@ -252,9 +257,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
     placed = placed.withColumn("side", F.pmod(F.xxhash64("h1", "h2"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     cells = placed.select("cluster", "band", "h1", "side", other).select("cluster", "band", "h1", "side", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"))
-    wanted = placed.select("rep").distinct()
-    text = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["rep"]), "left_semi").select("text")
-    sets = text.mapInArrow(packed_sets(width), "h1 long, shingles binary")
+    sets = docs.select("text", slot("doc_id").alias("slot")).mapInArrow(packed_sets(width, membership(placed, "rep")), "h1 long, shingles binary")
     links = (
         cells.join(sets, "h1")
         .groupBy("cluster", "band", "lo", "hi")
