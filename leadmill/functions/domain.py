@@ -1,8 +1,8 @@
-"""Domain and URL expressions: Column to Column, all inside whole-stage code generation."""
+"""Domain and URL expressions: Column to Column, inside whole-stage code generation but for punycode."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadmill.functions.idna import to_ascii
@@ -24,14 +24,24 @@ def url_host(url: Column) -> Column:
     return F.regexp_replace(c, r"\.+$", "")
 
 
-def normalize_domain(url: Column, idna: bool = False) -> Column:
-    """Canonical domain or NULL; with ``idna`` non-ASCII hosts become punycode (an Arrow UDF on those rows only)."""
-    host = url_host(url)
-    if idna:
-        host = F.when(host.rlike(r"[^\x00-\x7F]"), to_ascii(host)).otherwise(host)
+def valid_host(host: Column) -> Column:
+    """The host if it is a well-formed domain with a dot, else NULL."""
     return F.when(host.contains(".") & host.rlike(HOST), host)
 
 
+def normalize_domain(url: Column) -> Column:
+    """Canonical domain or NULL; hosts outside ASCII are NULL here, see ``with_ascii_domain``."""
+    return valid_host(url_host(url))
+
+
+def with_ascii_domain(df: DataFrame, url: str, name: str = "domain") -> DataFrame:
+    """``df`` with the canonical domain in ``name``, hosts outside ASCII as punycode.
+
+    The host is a column of its own, so that the chain of expressions is generated once, before the Arrow UDF.
+    """
+    return df.withColumn("_host", url_host(F.col(url))).withColumn("_ascii", to_ascii(F.col("_host"))).withColumn(name, valid_host(F.col("_ascii"))).drop("_host", "_ascii")
+
+
 def normalize_domain_loose(url: Column) -> Column:
     """The looser reading: what stands before the first slash, port kept; never NULL."""
     c = F.regexp_replace(F.lower(F.trim(F.coalesce(url, F.lit("")))), r"^[a-z][a-z0-9+.-]*://", "")

@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType
 
 def _ascii(host: str | None) -> str | None:
     try:
-        return None if host is None else host.encode("idna").decode("ascii")
+        return host if host is None or host.isascii() else host.encode("idna").decode("ascii")
     except UnicodeError:
         return None
 

@@ -37,7 +37,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def micros(c: Column) -> Column:
-    return F.unix_micros(c)
+    """Microseconds since 1970 of a time with or without a zone; the session's zone is UTC."""
+    return F.unix_micros(c.cast("timestamp"))
 
 
 # Pieces of SQL that several twins share.
@@ -81,7 +82,7 @@ def idna_domain(spark, sf_dir):
     """Non-ASCII hosts through the Arrow UDF, the pages' own hosts beside them."""
     given = table(spark, sf_dir, "pages").select("url")
     extra = spark.createDataFrame([("http://www.böhler-hörimarkt.de/",), ("https://superimmunität.de/x",)], "url string")
-    return given.unionByName(extra).select(D.normalize_domain(F.col("url"), idna=True).alias("domain")).groupBy("domain").agg(F.count("*").alias("pages"))
+    return D.with_ascii_domain(given.unionByName(extra), "url").groupBy("domain").agg(F.count("*").alias("pages"))
 
 
 @query(f"""WITH h AS (SELECT DISTINCT {DOMAIN_SQL} AS domain FROM pages), p AS (SELECT DISTINCT {REG_SQL} AS parent FROM h WHERE domain IS NOT NULL)
@@ -421,7 +422,7 @@ def safe_ratio(spark, sf_dir):
 
 # -- pages ----------------------------------------------------------------------------------------
 
-_A = r"(?is)<a\b[^>]*\bhref\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a>"
+_A = links.ANCHOR.replace("'", "''")
 
 
 @query(rf"""SELECT page_id, pos::INTEGER - 1 AS pos, href FROM (SELECT page_id, unnest(regexp_extract_all(html, '{_A}', 1)) AS href, generate_subscripts(regexp_extract_all(html, '{_A}', 1), 1) AS pos FROM pages)""")

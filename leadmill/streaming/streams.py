@@ -18,7 +18,8 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     one_file = spark._jvm.org.apache.hadoop.fs.Path(path)
     single = one_file.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(one_file).isFile()
     reader = spark.readStream.schema(schema)
-    return reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir) if single else reader.parquet(path)
+    events = reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir) if single else reader.parquet(path)
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def scratch(spark: SparkSession) -> str:
