@@ -1,9 +1,11 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame operations alone.
 
 Documents fall into cells of source x language x topic.  The cells' token sums are
-raked: scaled in turn so that each marginal meets its targets, round after round.  A
+raked: scaled in turn so that each marginal meets its targets, which add up to a stated
+share of all tokens, round after round.  No cell is given more than it has, as a document can be
+taken once at most; what small cells can't give, the other cells of a marginal make up for.  A
 document is sampled with the probability that takes its cell from what there is to what is
-wanted, scaled so that the highest is 1; a hash of its id decides.
+wanted; a hash of its id decides.
 """
 
 from __future__ import annotations
@@ -15,8 +17,8 @@ from pyspark.sql import functions as F
 
 from leadmill.llm.common import discard, materialize
 
-#: Rounds of raking and the flattening exponent of the default targets.
-ROUNDS, FLATTEN = 8, 0.7
+#: Rounds of raking, the flattening exponent of the default targets, and the share of all tokens to keep.
+ROUNDS, FLATTEN, KEEP = 8, 0.7, 0.5
 DIMENSIONS = ("source", "lang", "topic")
 
 
@@ -50,33 +52,35 @@ def _beside_total(df: DataFrame, aggregate: Column) -> DataFrame:
     return df.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one").drop("_one")
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
-    """``cells`` (dimensions..., tokens > 0) with ``weight``, whose marginals meet ``targets`` (value, target share).
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, keep: float = KEEP) -> DataFrame:
+    """``cells`` (dimensions..., tokens > 0) with ``weight`` up to tokens, whose marginals meet ``targets`` (value, target share)
+    of ``keep`` times all tokens as far as there are tokens.
 
     Values without a target get weight 0.  Each round is a table, so the plan stays short; marginals are
     summed per task before they are shuffled.
     """
-    now = materialize(cells.withColumn("weight", F.col("tokens").cast("double")))
+    start = _beside_total(cells, F.sum("tokens").cast("double"))
+    now = materialize(start.withColumns({"weight": F.col("tokens").cast("double"), "_wanted": F.col("_total") * keep}).drop("_total"))
     for _ in range(rounds):
         step = now
         for dimension, wanted in targets.items():
             margin = step.groupBy(F.col(dimension).alias("value")).agg(F.sum("weight").alias("is"))
             factor = margin.join(wanted, "value", "left").select(F.col("value").alias(dimension), F.coalesce(F.try_divide("target", "is"), F.lit(0.0)).alias("factor"))
-            step = step.join(factor, dimension).select(*DIMENSIONS, "tokens", (F.col("weight") * F.col("factor")).alias("weight"))
+            weight = F.least(F.col("weight") * F.col("factor") * F.col("_wanted"), F.col("tokens").cast("double"))
+            step = step.join(factor, dimension).select(*DIMENSIONS, "tokens", "_wanted", weight.alias("weight"))
         nxt = materialize(step)
         discard(now)
         now = nxt
     return now
 
 
-def probabilities(described: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS) -> DataFrame:
+def probabilities(described: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, keep: float = KEEP) -> DataFrame:
     """(source, lang, topic, probability) per cell of ``describe``'s rows that has tokens."""
     keys = [F.col(f"_mix_{d}").alias(d) for d in DIMENSIONS]
     cells = materialize(described.where("_mix_tokens > 0").groupBy(*keys).agg(F.sum("_mix_tokens").alias("tokens")))
     targets = targets or {d: materialize(flattened_targets(cells, d)) for d in DIMENSIONS}
-    raked = rake(cells, targets, rounds).withColumn("ratio", F.col("weight") / F.col("tokens"))
-    share = F.round(F.coalesce(F.try_divide("ratio", "_total"), F.lit(0.0)), 6)
-    return materialize(_beside_total(raked, F.max("ratio")).select(*DIMENSIONS, share.alias("probability")))
+    raked = rake(cells, targets, rounds, keep)
+    return materialize(raked.select(*DIMENSIONS, F.round(F.col("weight") / F.col("tokens"), 6).alias("probability")))
 
 
 def draw(doc_id: Column) -> Column:
@@ -85,28 +89,29 @@ def draw(doc_id: Column) -> Column:
     return F.conv(head, 16, 10).cast("double") / F.lit(float(16**13))
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, keep: float = KEEP) -> DataFrame:
     """``docs`` (doc_id, text, source, lang and any others) with ``_mix_source``, ``_mix_lang``, ``_mix_topic``, ``_mix_tokens``,
     ``_mix_probability`` and ``_mix_kept``.
 
     A null source or language is the value ``(none)``; a text without a word has probability 1, as it weighs
     nothing; rows of one doc_id and cell are drawn together.  ``targets`` gives (value, target share) per dimension,
-    by default each dimension's token shares to the power 0.7; a cell without a target goes.  An empty table gives no rows.
+    by default each dimension's token shares to the power 0.7; a cell without a target goes.  About ``keep`` of all tokens
+    stay, less where small cells fall short.  An empty table gives no rows.
     """
     described = describe(docs)
-    cells = probabilities(described, targets, rounds).select(*(F.col(d).alias(f"_mix_{d}") for d in DIMENSIONS), "probability")
+    cells = probabilities(described, targets, rounds, keep).select(*(F.col(d).alias(f"_mix_{d}") for d in DIMENSIONS), "probability")
     out = described.join(cells, [f"_mix_{d}" for d in DIMENSIONS], "left")
     out = out.withColumn("_mix_probability", F.when(F.col("_mix_tokens") > 0, F.coalesce("probability", F.lit(0.0))).otherwise(F.lit(1.0)))
     return out.withColumn("_mix_kept", draw(F.col("doc_id")) < F.col("_mix_probability")).select(*docs.columns, *(f"_mix_{c}" for c in (*DIMENSIONS, "tokens", "probability", "kept")))
 
 
-def mixture(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS) -> DataFrame:
+def mixture(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, keep: float = KEEP) -> DataFrame:
     """(doc_id, source, lang, topic, n_tokens, probability, kept) of every row."""
-    m = mix(docs.select("doc_id", "text", "source", "lang"), targets, rounds)
+    m = mix(docs.select("doc_id", "text", "source", "lang"), targets, rounds, keep)
     return m.select("doc_id", *(F.col(f"_mix_{d}").alias(d) for d in DIMENSIONS), F.col("_mix_tokens").alias("n_tokens"), F.col("_mix_probability").alias("probability"), F.col("_mix_kept").alias("kept"))
 
 
-def mixture_sql(rounds: int = ROUNDS, power: float = FLATTEN) -> str:
+def mixture_sql(rounds: int = ROUNDS, power: float = FLATTEN, keep: float = KEEP) -> str:
     """DuckDB SQL for ``mixture`` of the view ``documents``."""
     topic = "CASE WHEN contains(t, 'License') THEN 'legal' WHEN contains(t, ' | ') THEN 'table' WHEN contains(t, '@') OR contains(t, '#') THEN 'marked' WHEN length(t) < 600 THEN 'note' ELSE 'prose' END"
     steps = [
@@ -115,13 +120,13 @@ def mixture_sql(rounds: int = ROUNDS, power: float = FLATTEN) -> str:
         "w0 AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens, sum(n_tokens)::DOUBLE AS weight FROM s WHERE n_tokens > 0 GROUP BY ALL)",
     ]
     for d in DIMENSIONS:
-        steps.append(f"g_{d} AS (SELECT {d}, w / sum(w) OVER () AS target FROM (SELECT {d}, pow(sum(tokens), {power}) AS w FROM w0 GROUP BY {d}))")
+        steps.append(f"g_{d} AS (SELECT {d}, w / sum(w) OVER () * {keep} * (SELECT sum(tokens) FROM w0) AS target FROM (SELECT {d}, pow(sum(tokens), {power}) AS w FROM w0 GROUP BY {d}))")
     n = 0
     for _ in range(rounds):
         for d in DIMENSIONS:
-            steps.append(f"w{n + 1} AS (SELECT source, lang, topic, tokens, weight * target / sum(weight) OVER (PARTITION BY {d}) AS weight FROM w{n} JOIN g_{d} USING ({d}))")
+            steps.append(f"w{n + 1} AS (SELECT source, lang, topic, tokens, least(weight * target / sum(weight) OVER (PARTITION BY {d}), tokens) AS weight FROM w{n} JOIN g_{d} USING ({d}))")
             n += 1
-    steps.append(f"p AS (SELECT source, lang, topic, round((weight / tokens) / max(weight / tokens) OVER (), 6) AS probability FROM w{n})")
+    steps.append(f"p AS (SELECT source, lang, topic, round(weight / tokens, 6) AS probability FROM w{n})")
     body = "SELECT doc_id, source, lang, topic, n_tokens, CASE WHEN n_tokens > 0 THEN probability ELSE 1.0 END::DOUBLE AS probability FROM s LEFT JOIN p USING (source, lang, topic)"
     number = "('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE"
     return f"WITH {', '.join(steps)} SELECT *, {number} / {float(16**13)!r} < probability AS kept FROM ({body})"
