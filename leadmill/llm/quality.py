@@ -58,7 +58,7 @@ def features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     row = np.repeat(np.arange(n_rows), np.diff(bounds))
     n = np.maximum(np.diff(bounds), 1)
     length = np.fromiter(map(len, words), np.int64, len(words))
-    odd_end = np.fromiter((_CLASS[w[-1]] in (4, 6) or w[-2:] == b"!!" for w in words), bool, len(words))
+    odd_end = np.fromiter((len(w) > 0 and (_CLASS[w[-1]] in (4, 6) or w[-2:] == b"!!") for w in words), bool, len(words))
     bucket = (hash_words(words) % np.uint64(WORD_BUCKETS)).astype(np.int64)
     per_row = lambda x: np.bincount(row, x, n_rows)
     key, count = np.unique(row * WORD_BUCKETS + (bucket[codes] if len(codes) else codes), return_counts=True)
