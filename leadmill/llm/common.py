@@ -152,7 +152,7 @@ def membership(keys: DataFrame, *columns):
     return keys.sparkSession.sparkContext.broadcast(table.ravel())
 
 
-def members(batch: pa.RecordBatch, table: np.ndarray, column: str = "slot") -> pa.RecordBatch:
-    """The rows of ``batch`` whose slot is set."""
+def members(batch: pa.RecordBatch, table: np.ndarray, column: str = "slot", inside: bool = True) -> pa.RecordBatch:
+    """The rows of ``batch`` whose slot is set, or with ``inside`` false the others."""
     at = np.asarray(batch.column(column), np.int64)
-    return batch.filter(pa.array((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0))
+    return batch.filter(pa.array(((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0) == inside))

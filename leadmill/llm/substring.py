@@ -12,8 +12,8 @@ path.  Equal windows have equal minimizers at equal offsets, so:
    path of each content is expanded into edges again, which are compared one by one
    by a 128-bit hash and their coordinates.
 
-Texts move twice, compressed, keyed by document; all else that moves is a few longs
-per path.
+Texts move compressed, keyed by document, and only those of documents with windows to compare
+or to take out; all else that moves is a few longs per path.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from leadmill.llm.common import CHUNK_BYTES, hash_words, materialize, pair_hash, slices, split_words, window_hash
+from leadmill.llm.common import CHUNK_BYTES, hash_words, materialize, members, membership, pair_hash, slices, slot, split_words, window_hash
 
 SEED_WORDS = 6
 # A position in a document: 24 bits that tell rows of one doc_id apart, 32 of the start, 6 of the path's length.
@@ -99,13 +99,18 @@ def emit_paths(k: int, s: int):
     return run
 
 
-def compress_texts(batches):
-    for whole in batches:
-        for batch in slices(whole, "text", 16 << 20):
-            more = [c for c in batch.schema.names if c == "carried"]
-            texts = batch.column("text").cast(pa.large_string())
-            size = [0 if t is None else len(t) for t in (x.as_buffer() for x in texts)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("mark"), _zip(texts), pa.array(size, pa.int64()), *(batch.column(c) for c in more)], ["doc", "mark", "z", "size", *more])
+def compress_texts(wanted, inside: bool = True):
+    """Compressed texts of the rows that the membership table ``wanted`` lets through, or of the others."""
+
+    def run(batches):
+        for whole in batches:
+            for batch in slices(members(whole, wanted.value, inside=inside), "text", 16 << 20):
+                more = [c for c in batch.schema.names if c == "carried"]
+                texts = batch.column("text").cast(pa.large_string())
+                size = [0 if t is None else len(t) for t in (x.as_buffer() for x in texts)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("mark"), _zip(texts), pa.array(size, pa.int64()), *(batch.column(c) for c in more)], ["doc", "mark", "z", "size", *more])
+
+    return run
 
 
 def _runs(lists: pa.Array, marks: np.ndarray):
@@ -214,17 +219,21 @@ def remove_repeats(docs: DataFrame, k: int = 20, carry: list[str] | None = None)
     copies = again.join(first.where("c > 1").select("seed", "content", "first"), ["seed", "content"]).where(F.struct("doc", "pos") != F.col("first"))
     copies = copies.select("doc", "pos")
     heads = again.where("branches").join(first.select("seed", "content", "first"), ["seed", "content"]).where(F.struct("doc", "pos") == F.col("first"))
-    heads = heads.groupBy("doc").agg(F.collect_list("pos").alias("at"))
+    heads = materialize(heads.groupBy("doc").agg(F.collect_list("pos").alias("at")))
 
+    docs = docs.withColumn("slot", slot("doc"))
     schema = StructType([StructField("doc", LongType()), StructField("mark", LongType()), StructField("z", BinaryType()), StructField("size", LongType())])
-    packed = docs.select("doc", "mark", "text").mapInArrow(compress_texts, schema)
+    packed = docs.select("doc", "mark", "text", "slot").mapInArrow(compress_texts(membership(heads, "doc")), schema)
     edges = materialize(packed.join(heads, "doc").mapInArrow(expand_edges(k), "w1 long, w2 long, doc long, pos long"))
     lead = edges.groupBy("w1", "w2").agg(F.count("*").alias("c"), F.min(F.struct("doc", "pos")).alias("first")).where("c > 1")
     later = edges.join(lead.select("w1", "w2", "first"), ["w1", "w2"]).where(F.struct("doc", "pos") != F.col("first")).select("doc", "pos")
 
-    gone = copies.unionByName(later).groupBy("doc").agg(F.collect_list("pos").alias("at"))
-    whole = docs.mapInArrow(compress_texts, StructType([*schema, *(docs.schema[c] for c in docs.columns if c == "carried")]))
-    out = whole.join(gone, "doc", "left").select(F.when(F.col("doc") != -(1 << 63), F.col("doc")).alias("doc_id"), *(c for c in whole.columns if c != "doc"), "at")
+    gone = materialize(copies.unionByName(later).groupBy("doc").agg(F.collect_list("pos").alias("at")))
+    touched, wide = membership(gone, "doc"), StructType([*schema, *(docs.schema[c] for c in docs.columns if c == "carried")])
+    some = docs.mapInArrow(compress_texts(touched), wide).join(gone, "doc", "left")
+    rest = docs.mapInArrow(compress_texts(touched, inside=False), wide).withColumn("at", F.lit(None).cast("array<long>"))
+    whole = some.unionByName(rest)
+    out = whole.select(F.when(F.col("doc") != -(1 << 63), F.col("doc")).alias("doc_id"), *(c for c in whole.columns if c != "doc"))
     digest = StructType([StructField("doc_id", LongType()), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_sha256", StringType())])
     if with_text:
         digest = StructType([*digest, StructField("kept_text", StringType()), docs.schema["carried"]])
