@@ -99,12 +99,12 @@ def emit_paths(k: int, s: int):
     return run
 
 
-def compress_texts(wanted, inside: bool = True):
-    """Compressed texts of the rows that the membership table ``wanted`` lets through, or of the others."""
+def compress_texts(wanted):
+    """Compressed texts of the rows that the membership table ``wanted`` lets through."""
 
     def run(batches):
         for whole in batches:
-            for batch in slices(members(whole, wanted.value, inside=inside), "text", 16 << 20):
+            for batch in slices(members(whole, wanted.value), "text"):
                 more = [c for c in batch.schema.names if c == "carried"]
                 texts = batch.column("text").cast(pa.large_string())
                 size = [0 if t is None else len(t) for t in (x.as_buffer() for x in texts)]
@@ -183,6 +183,23 @@ def cut(k: int, with_text: bool):
     return run
 
 
+def keep_whole(wanted, with_text: bool):
+    """The digests of documents that the membership table ``wanted`` holds back: they lose nothing and move nowhere."""
+
+    def run(batches):
+        for whole in batches:
+            for batch in slices(members(whole, wanted.value, inside=False), "text"):
+                words = [t.as_py().encode().split() if t.is_valid else [] for t in batch.column("text")]
+                none = pa.array(np.zeros(batch.num_rows, np.int64))
+                out = [batch.column("doc_id"), pa.array(map(len, words), pa.int64()), none, pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in words], pa.string())]
+                names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+                if with_text:
+                    out, names = [*out, batch.column("text").cast(pa.string()), batch.column("carried")], [*names, "kept_text", "carried"]
+                yield pa.RecordBatch.from_arrays(out, names)
+
+    return run
+
+
 def with_repeats_removed(docs: DataFrame, k: int = 20) -> DataFrame:
     """``docs`` (doc_id, text and any other columns) with repeated windows' words taken out of the texts.
 
@@ -231,10 +248,10 @@ def remove_repeats(docs: DataFrame, k: int = 20, carry: list[str] | None = None)
     gone = materialize(copies.unionByName(later).groupBy("doc").agg(F.collect_list("pos").alias("at")))
     touched, wide = membership(gone, "doc"), StructType([*schema, *(docs.schema[c] for c in docs.columns if c == "carried")])
     some = docs.mapInArrow(compress_texts(touched), wide).join(gone, "doc", "left")
-    rest = docs.mapInArrow(compress_texts(touched, inside=False), wide).withColumn("at", F.lit(None).cast("array<long>"))
-    whole = some.unionByName(rest)
-    out = whole.select(F.when(F.col("doc") != -(1 << 63), F.col("doc")).alias("doc_id"), *(c for c in whole.columns if c != "doc"))
+    doc_id = F.when(F.col("doc") != -(1 << 63), F.col("doc")).alias("doc_id")
     digest = StructType([StructField("doc_id", LongType()), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_sha256", StringType())])
     if with_text:
         digest = StructType([*digest, StructField("kept_text", StringType()), docs.schema["carried"]])
-    return out.mapInArrow(cut(k, with_text), digest)
+    some = some.select(doc_id, *(c for c in some.columns if c != "doc")).mapInArrow(cut(k, with_text), digest)
+    rest = docs.select(doc_id, *(c for c in docs.columns if c not in ("doc", "mark")))
+    return some.unionByName(rest.mapInArrow(keep_whole(touched, with_text), digest))
