@@ -14,11 +14,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadmill.llm.common import crc_held_out, slices
+from leadmill.llm.common import crc_held_out, mix, pair_hash, slices
 
 SIZES = (1, 2, 3, 4)
 HASHES = 3
@@ -66,58 +65,71 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in grams], pa.string()), pa.array([k[1] for k in grams], pa.string()), pa.array(list(grams.values()), pa.int64())], ["lang", "gram", "n"])
 
 
+def letters(text: str) -> np.ndarray:
+    """A hash per code point."""
+    return mix(np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1))
+
+
+def gram_hashes(grams: list[str]) -> np.ndarray:
+    """Hashes of n-grams, each folded from its code points' from the left."""
+    size = np.fromiter(map(len, grams), np.int64, len(grams))
+    h, first = letters("".join(grams)), np.cumsum(size) - size
+    out = h[first]
+    for n in range(1, int(size.max(initial=0))):
+        longer = size > n
+        out[longer] = pair_hash(out[longer], h[first[longer] + n])
+    return out
+
+
 class BitmaskFilter:
     def __init__(self, langs: list[str], rows: list[tuple[str, str]]):
         self.langs = langs
         self.table = np.zeros(1 << SLOT_BITS, np.uint64)
-        bit = {lang: np.uint64(1 << i) for i, lang in enumerate(langs)}
-        for lang, gram in rows:
-            self.table[self.slots(gram)] |= bit[lang]
+        bit = np.array([1 << langs.index(lang) for lang, _ in rows], np.uint64)
+        for slots in self.slots(gram_hashes([gram for _, gram in rows])):
+            np.bitwise_or.at(self.table, slots, bit)
         bits = (self.table[:, None] >> np.arange(len(langs), dtype=np.uint64)) & np.uint64(1)
         self.false_rate = bits.mean(axis=0) ** HASHES
 
     @staticmethod
-    def slots(gram: str) -> list[int]:
-        h = xxhash.xxh3_64_intdigest(gram.encode())
-        return [(h >> (i * SLOT_BITS)) & ((1 << SLOT_BITS) - 1) for i in range(HASHES)]
+    def slots(h: np.ndarray) -> list[np.ndarray]:
+        return [((h >> np.uint64(i * SLOT_BITS)) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64) for i in range(HASHES)]
 
     def hits(self, words: list[str]) -> np.ndarray:
-        """n-grams of each word and, per language, those its slice of the filter holds."""
-        grams, owner = [], []
-        for i, w in enumerate(words):
-            g = grams_of(w)
-            grams += g
-            owner += [i] * len(g)
+        """n-grams of each word and, per language, those its slice of the filter holds; all words at once."""
         out = np.zeros((len(words), len(self.langs) + 1), np.int64)
-        if not grams:
-            return out
-        h = np.fromiter((xxhash.xxh3_64_intdigest(g.encode()) for g in grams), np.uint64, len(grams))
-        mask = np.full(len(grams), ~np.uint64(0))
-        for i in range(HASHES):
-            mask &= self.table[(h >> np.uint64(i * SLOT_BITS)) & np.uint64((1 << SLOT_BITS) - 1)]
-        first = np.searchsorted(np.array(owner), np.arange(len(words)))
-        out[:, 0] = np.diff(np.append(first, len(grams)))
-        for l in range(len(self.langs)):
-            out[:, l + 1] = np.add.reduceat(((mask >> np.uint64(l)) & np.uint64(1)).astype(np.int64), first)
+        size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        end = np.cumsum(size)
+        rest = np.repeat(end, size) - np.arange(int(end[-1]) if len(end) else 0)
+        one = letters("".join(f" {w} " for w in words))
+        h = one
+        per_word = lambda x: np.diff(np.cumsum(x)[end - 1], prepend=0)
+        for n in range(1, max(SIZES) + 1):
+            if n > 1:
+                h = pair_hash(h[:-1], one[n - 1 :])
+            if n in SIZES and len(h):
+                inside = np.zeros(len(one), bool)
+                inside[: len(h)] = rest[: len(h)] >= n
+                mask = np.zeros(len(one), np.uint64)
+                mask[: len(h)] = ~np.uint64(0)
+                for slots in self.slots(h):
+                    mask[: len(h)] &= self.table[slots]
+                mask[~inside] = 0
+                out[:, 0] += per_word(inside)
+                for l in range(len(self.langs)):
+                    out[:, l + 1] += per_word((mask >> np.uint64(l)) & np.uint64(1)).astype(np.int64)
         return out
 
 
-def predict(filter_of, cache_words: int = 200_000):
-    """Predictions with the broadcast filter; words' counts are cached up to a bound."""
+def predict(filter_of):
+    """Predictions with the broadcast filter; each distinct word of a few texts is looked up once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f: BitmaskFilter = filter_of.value
-        cache: dict[str, np.ndarray] = {}
         for whole in batches:
             for batch in slices(whole, "text"):
                 doc, code, count, words = word_counts(batch.column("text"))
-                if len(cache) > cache_words:
-                    cache.clear()
-                new = [w for w in words if w and w not in cache]
-                if new:
-                    cache.update(zip(new, f.hits(new), strict=True))
-                zero = np.zeros(len(f.langs) + 1, np.int64)
-                per_word = np.array([cache[w] if w else zero for w in words] or [zero])
+                per_word = f.hits(words)
                 total = np.zeros((batch.num_rows, len(f.langs) + 1))
                 first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, int)
                 if len(doc):
