@@ -215,7 +215,6 @@ def _halves(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1")
 
 
-_LATEST = [F.desc("us"), F.desc("event_id")]
 
 
 @query(f"WITH {_HALVES}, l AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY us DESC, event_id DESC) = 1) SELECT * FROM o WHERE user_id NOT IN (SELECT user_id FROM l) UNION ALL SELECT * FROM l")
