@@ -129,14 +129,20 @@ def search(k: int):
                     # Among equal scores the smaller vec_id is further left: one key orders both.
                     key = score.astype(np.int64) * len(ids) + np.arange(len(ids) - 1, -1, -1) if biggest < (1 << 62) // max(1, len(ids)) else None
                     for i in range(hi - lo):
-                        n = min(len(ids), k + 1)
+                        # The query's own rows, however many, lie side by side and take no place.
+                        a, b = np.searchsorted(ids, qids[lo + i], "left"), np.searchsorted(ids, qids[lo + i], "right")
+                        n = min(len(ids) - (b - a), k)
+                        if not n:
+                            continue
                         if key is not None:
+                            key[i, a:b] = np.iinfo(np.int64).min
                             best = np.argpartition(key[i], len(ids) - n)[len(ids) - n :]
                         else:
-                            best = np.lexsort((np.arange(len(ids)), -score[i]))[:n]
-                        best = best[ids[best] != qids[lo + i]]
+                            best = np.lexsort((np.arange(len(ids)), -score[i]))
+                            best = best[ids[best] != qids[lo + i]][:n]
                         out.append((np.full(len(best), qids[lo + i]), ids[best], score[i][best].astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[j] for o in out])) for j in range(3)], ["query_id", "vec_id", "score"])
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[j] for o in out])) for j in range(3)], ["query_id", "vec_id", "score"])
 
     return run
 

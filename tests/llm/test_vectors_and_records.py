@@ -38,6 +38,20 @@ def test_top_k(spark):
     assert topk.top_k(df.where("false"), df.where("false")).count() == 0
 
 
+def test_top_k_where_own_rows_fill_the_block(spark):
+    """A query whose vec_id has more rows in a block than k, all above the other candidates."""
+    r = np.random.default_rng(4)
+    others = [(i, r.normal(size=8).astype(np.float32).tolist(), 0) for i in range(60)]
+    own = [(900, (9 * np.ones(8)).tolist(), 0)] * 30
+    df = spark.createDataFrame(own + others, SCHEMA).coalesce(1)
+    got = sorted((x.rank, x.vec_id, x.score) for x in topk.top_k(df, df.where("vec_id = 900"), k=5).collect())
+    q = np.full(8, 9 * 64)
+    best = sorted((-int(q @ np.floor(64 * np.array(e, float)).astype(int)), i) for i, e, _ in others)[:5]
+    assert got == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    alone = df.where("vec_id = 900")
+    assert topk.top_k(alone, alone, k=5).count() == 0
+
+
 def test_near_vectors(spark):
     rows = vectors()
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as h1", "2 as leaf", "3 as links").repartition(3)
