@@ -163,14 +163,15 @@ def node_bands(num: int, den: int):
 
 
 def packed_sets(width: int, wanted):
-    """Texts of rows in the membership table to (h1 of the class, sorted shingle hashes as bytes)."""
+    """Texts of rows in the membership table to (h1 and h2 of the class, the row's ``rep``, sorted shingle hashes as bytes)."""
 
     def run(batches):
         for whole in batches:
             for batch in slices(members(whole, wanted.value), "text"):
                 sets = shingle_sets(batch.column("text"), width)
                 h1 = np.array([int(mix(s).sum(dtype=np.uint64)) for s in sets], np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(h1)), pa.array([s.tobytes() for s in sets], pa.binary())], ["h1", "shingles"])
+                h2 = np.array([int(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)) for s in sets], np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(h1)), pa.array(_signed(h2)), batch.column("rep"), pa.array([s.tobytes() for s in sets], pa.binary())], ["h1", "h2", "rep", "shingles"])
 
     return run
 
@@ -256,10 +257,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
     placed = member.join(size.where("members > 1").select("cluster", "band", parts.alias("parts")), ["cluster", "band"])
     placed = placed.withColumn("side", F.pmod(F.xxhash64("h1", "h2"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    cells = placed.select("cluster", "band", "h1", "side", other).select("cluster", "band", "h1", "side", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"))
-    sets = docs.select("text", slot("doc_id").alias("slot")).mapInArrow(packed_sets(width, membership(placed, "rep")), "h1 long, shingles binary")
+    # A null id is named like the smallest: both would be of one class, whose set is the same.
+    named = lambda c: F.coalesce(c, F.lit(-(1 << 63))).alias("rep")
+    cells = placed.select("cluster", "band", "h1", "h2", named("rep"), "side", other)
+    cells = cells.select("cluster", "band", "h1", "h2", "rep", "side", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"))
+    # The table lets other copies of a class through by chance; the join drops them, so that a cell has one set per class.
+    sets = docs.select("text", named("doc_id"), slot("doc_id").alias("slot")).mapInArrow(packed_sets(width, membership(placed, "rep")), "h1 long, h2 long, rep long, shingles binary")
+    sets = sets.groupBy("h1", "h2", "rep").agg(F.first("shingles").alias("shingles"))
     links = (
-        cells.join(sets, "h1")
+        cells.join(sets, ["h1", "h2", "rep"])
+        .select("cluster", "band", "lo", "hi", "side", "h1", "shingles")
         .groupBy("cluster", "band", "lo", "hi")
         .applyInArrow(compare_cell(num, den), "a long, b long")
     )

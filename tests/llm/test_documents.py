@@ -50,6 +50,28 @@ def test_pairs_at_the_threshold_are_found(spark, size):
     assert got == sorted(plain_near(rows))
 
 
+def test_copies_do_not_enter_cells(spark, monkeypatch):
+    """With a membership table that names all rows, a cell still has one set per class."""
+    r = np.random.default_rng(7)
+    base = [f"w{i}" for i in r.integers(0, 500, 80)]
+    rows = [(n, " ".join(base)) for n in range(30)] + [(3, " ".join(base)), (None, " ".join(base)), (40, " ".join([*base, "tail"])), (None, " ".join([*base, "other", "end"]))]
+    compare = ngram_join.compare_cell
+
+    def strict(num, den):
+        run = compare(num, den)
+
+        def checked(table):
+            assert len(set(table.column("h1").to_pylist())) == table.num_rows
+            return run(table)
+
+        return checked
+
+    monkeypatch.setattr(ngram_join, "compare_cell", strict)
+    monkeypatch.setattr(ngram_join, "membership", lambda keys, *columns: keys.sparkSession.sparkContext.broadcast(np.full(1 << 23, 255, np.uint8)))
+    got = rows_of(ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)), "doc_id", "n_shingles", "component_id")
+    assert got == sorted(plain_near(rows), key=key)
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     assert ngram_join.near_duplicates(none).count() == 0
