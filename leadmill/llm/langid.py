@@ -1,7 +1,7 @@
 """Language identification by n-gram filters that answer with a language bitmask.
 
-The filter is a table of bitmasks: bit l of the slots an n-gram hashes to is set if
-language l has the n-gram.  That is a bit-sliced Bloom filter, one slice per language,
+The filter is a table of bitmasks, as many words of 64 bits wide as the languages need: bit l of the slots an
+n-gram hashes to is set if language l has the n-gram.  That is a bit-sliced Bloom filter, one slice per language,
 and the AND of an n-gram's slots gives all languages at once.  A text's n-grams are
 counted per language; a language with a fill of f lets a foreign n-gram through with
 probability f**HASHES, so the count is corrected to (hits - n*p) / (1 - p).
@@ -22,7 +22,7 @@ from leadmill.llm.common import crc_held_out, mix, pair_hash, slices
 SIZES = (1, 2, 3, 4)
 HASHES = 3
 SLOT_BITS = 18
-MAX_LANGUAGES = 64
+WORD = 64
 #: Most documents learned from per language, and most n-grams kept of each.
 SAMPLE_DOCS = 1500
 SAMPLE_GRAMS = 20_000
@@ -84,20 +84,23 @@ def gram_hashes(grams: list[str]) -> np.ndarray:
 class BitmaskFilter:
     def __init__(self, langs: list[str], rows: list[tuple[str, str]]):
         self.langs = langs
-        self.table = np.zeros(1 << SLOT_BITS, np.uint64)
-        bit = np.array([1 << langs.index(lang) for lang, _ in rows], np.uint64)
+        self.table = np.zeros((max(1, -(-len(langs) // WORD)), 1 << SLOT_BITS), np.uint64)
+        at = {lang: l for l, lang in enumerate(langs)}
+        l = np.array([at[lang] for lang, _ in rows], np.int64)
+        bit = np.uint64(1) << (l % WORD).astype(np.uint64)
         for slots in self.slots(gram_hashes([gram for _, gram in rows])):
-            np.bitwise_or.at(self.table, slots, bit)
-        bits = (self.table[:, None] >> np.arange(len(langs), dtype=np.uint64)) & np.uint64(1)
-        self.false_rate = bits.mean(axis=0) ** HASHES
+            np.bitwise_or.at(self.table, (l // WORD, slots), bit)
+        fill = [((self.table[l // WORD] >> np.uint64(l % WORD)) & np.uint64(1)).mean() for l in range(len(langs))]
+        self.false_rate = np.array(fill) ** HASHES
 
     @staticmethod
     def slots(h: np.ndarray) -> list[np.ndarray]:
         return [((h >> np.uint64(i * SLOT_BITS)) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64) for i in range(HASHES)]
 
-    def hits(self, words: list[str]) -> np.ndarray:
-        """n-grams of each word and, per language, those its slice of the filter holds; all words at once."""
-        out = np.zeros((len(words), len(self.langs) + 1), np.int64)
+    def hits(self, words: list[str], at: int = 0) -> np.ndarray:
+        """n-grams of each word and, per language of mask word ``at``, those its slice of the filter holds; all words at once."""
+        table, langs = self.table[at], self.langs[at * WORD : (at + 1) * WORD]
+        out = np.zeros((len(words), len(langs) + 1), np.int64)
         size = np.fromiter(map(len, words), np.int64, len(words)) + 2
         end = np.cumsum(size)
         rest = np.repeat(end, size) - np.arange(int(end[-1]) if len(end) else 0)
@@ -113,10 +116,10 @@ class BitmaskFilter:
                 mask = np.zeros(len(one), np.uint64)
                 mask[: len(h)] = ~np.uint64(0)
                 for slots in self.slots(h):
-                    mask[: len(h)] &= self.table[slots]
+                    mask[: len(h)] &= table[slots]
                 mask[~inside] = 0
                 out[:, 0] += per_word(inside)
-                for l in range(len(self.langs)):
+                for l in range(len(langs)):
                     out[:, l + 1] += per_word((mask >> np.uint64(l)) & np.uint64(1)).astype(np.int64)
         return out
 
@@ -129,11 +132,12 @@ def predict(filter_of):
         for whole in batches:
             for batch in slices(whole, "text"):
                 doc, code, count, words = word_counts(batch.column("text"))
-                per_word = f.hits(words)
                 total = np.zeros((batch.num_rows, len(f.langs) + 1))
                 first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, int)
-                if len(doc):
-                    total[doc[first]] = np.add.reduceat(per_word[code] * count[:, None], first, axis=0)
+                for at in range(len(f.table) if len(doc) else 0):
+                    sums = np.add.reduceat(f.hits(words, at)[code] * count[:, None], first, axis=0)
+                    total[doc[first], 0] = sums[:, 0]
+                    total[doc[first], 1 + at * WORD : at * WORD + sums.shape[1]] = sums[:, 1:]
                 n = total[:, 0]
                 if f.langs:
                     true = np.maximum((total[:, 1:] - n[:, None] * f.false_rate) / np.maximum(1 - f.false_rate, 1e-9), 0)
@@ -150,9 +154,9 @@ def predict(filter_of):
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_grams: int = SAMPLE_GRAMS) -> BitmaskFilter:
     """Learn a filter from (doc_id, text, lang): about ``sample_docs`` whole texts per language, picked by a hash of
-    the id, and of their n-grams the ``sample_grams`` commonest per language.  Only that comes to the driver."""
+    the id, and of their n-grams the ``sample_grams`` commonest per language.  Every language is learned; only that comes to the driver."""
     known = docs.where("lang is not null and text is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    per_lang = known.groupBy("lang").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "lang").limit(MAX_LANGUAGES)
+    per_lang = known.groupBy("lang").agg(F.count("*").alias("c"))
     share = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(9)), F.lit(1 << 30)) * F.col("c") < F.lit(sample_docs * (1 << 30))
     picked = known.join(F.broadcast(per_lang), "lang").where(share)
     counted = picked.select("text", "lang").mapInArrow(count_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))

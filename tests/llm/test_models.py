@@ -57,6 +57,21 @@ def test_language_awkward(documents):
     assert langid.identify(documents.where("false")).count() == 0
 
 
+def test_more_languages_than_a_mask_word_has_bits(spark):
+    import random
+
+    r = random.Random(6)
+    rows = []
+    for l in range(70):
+        words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)]
+        rows += [(100 * l + i, " ".join(r.choice(words) for _ in range(40)), f"l{l:02}") for i in range(9 - l // 20)]
+    out = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    want = {i: lang for i, _, lang in rows}
+    assert len(out) == len(rows)
+    assert {r.lang_pred for r in out} == set(want.values())
+    assert sum(r.lang_pred == want[r.doc_id] for r in out) / len(out) > 0.98
+
+
 def test_mixing_meets_its_targets(spark):
     docs = queries.table(spark, SF, "documents")
     n = docs.where("text is not null").selectExpr("sum(n_chars)").first()[0]
