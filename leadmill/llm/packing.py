@@ -31,7 +31,8 @@ class WordEncoder:
     """Ids of whole texts, word by word, with a bounded cache.
 
     The tokenizer drops white space and no token spans it, so a text's ids are its
-    words' ids in a row.  It lower-cases, so A-Z are folded first.  Letters followed by
+    words' ids in a row.  It lower-cases, so words of ASCII alone are folded first; not those
+    that may hold a special token, which it finds before, nor others, as letters and marks are composed before too.  Letters followed by
     ASCII punctuation are two pre-tokens and are cached apart.
     """
 
@@ -59,9 +60,11 @@ class WordEncoder:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in a row, bounds per text)."""
-        codes, bounds, words = split_words(texts, lower=True)
+        codes, bounds, words = split_words(texts)
         parts = []
         for w in words:
+            if w.isascii() and "<|" not in w:
+                w = w.lower()
             base = w.rstrip(_TAIL)
             parts.append((base, w[len(base) :]) if len(base) != len(w) and base.isalpha() and max(base) < "ɐ" else (w, ""))
         if len(self.known) > self.limit:

@@ -145,3 +145,9 @@ def test_packing_awkward(documents):
 
 def test_packing_table(spark, smoke_dir):
     check_packing(texts_of(queries.table(spark, smoke_dir, "documents")), queries.op4_harmonic_packing(spark, smoke_dir).collect())
+
+
+def test_packing_folds_no_control_token_and_no_composed_letter(spark):
+    texts = ["<|ENDOFTEXT|>", "a<|EndOfText|>B", "<|endoftext|>", "<|StartOfText|> X", "H\u0331", "T\u0308", "xT\u0308y, H\u0331.", "É ÀB, ABC! <|", "E\u0301A"]
+    rows = list(enumerate(texts))
+    check_packing(rows, packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), queries.tokenizer_path()).collect(), least=0)
