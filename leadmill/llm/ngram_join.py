@@ -13,10 +13,10 @@ Two regimes share that rule:
 A block has as many bits as there are hash values, so hardly a bit is toggled twice, and
 is stored as the XOR of the hashes toggled in it.
 
-* up to ``EXACT`` differences, all blocks exist and the T+1 fullest are emitted.
+* below ``EXACT`` differences, all blocks exist and the T+1 fullest are emitted.
   The order (bits set, block) is a function of the key alone, so two documents
   whose keys agree in all but T places share one of their first T+1: no link is lost;
-* above that, a sketch has T / ``SPARE`` blocks, of which the first ``BLOCKS`` are built, and those with one
+* from there on, a sketch has T / ``SPARE`` blocks, of which the first ``BLOCKS`` are built, and those with one
   toggled bit are left out, as a common line alone makes them equal.  Differences fall on blocks by hash: a block
   of a linked pair is equal and has two bits with a chance of 0.25 at the least (0.30 for sets of one size), so that none of
   64 agrees has a chance under 1e-8 (1e-10) for a pair exactly at the threshold and far less above it.
@@ -37,8 +37,9 @@ from pyspark.sql import functions as F
 from leadmill.llm.common import hash_words, materialize, members, membership, mix, pair_hash, slices, slot, split_words, window_hash
 from leadmill.llm.graph import components
 
-#: Up to this T all blocks exist; above, so many of T / SPARE blocks are built, and only those with two toggled bits are keys.
-EXACT, BLOCKS, SPARE = 48, 64, 1.25
+#: Below this T all blocks exist; from it on, so many of T / SPARE blocks are built, and only those with two toggled bits are keys.
+#: T / SPARE is BLOCKS at the least there, so that the chance of a miss holds for every band.
+EXACT, BLOCKS, SPARE = 79, 64, 1.25
 CELL_SHINGLES = 2_000_000
 CELL_MEMBERS = 4096
 INFO = "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>, nodes array<long>"

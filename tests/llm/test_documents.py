@@ -72,6 +72,11 @@ def test_copies_do_not_enter_cells(spark, monkeypatch):
     assert got == sorted(plain_near(rows), key=key)
 
 
+def test_every_band_is_exact_or_has_all_its_loose_blocks():
+    for _, limit in ngram_join.bands(75, 100):
+        assert limit < ngram_join.EXACT or int(limit / ngram_join.SPARE) + 1 >= ngram_join.BLOCKS, limit
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     assert ngram_join.near_duplicates(none).count() == 0
