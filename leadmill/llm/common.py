@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,16 +16,50 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 4 << 20
+#: Most bytes of an Arrow batch between the JVM and Python, whatever the rows' size.
+BATCH_BYTES = 8 << 20
+_ARROW_BYTES, _ARROW_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Arrow batches end at ``most`` bytes from now on, so that rows of any size need the same memory; the user's own setting stays."""
+    if spark.conf.get(_ARROW_BYTES) == _ARROW_DEFAULT:
+        spark.conf.set(_ARROW_BYTES, str(most))
+
+
+def release_memory() -> None:
+    """Give memory that nothing uses back to the system: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def tidy(run: Callable) -> Callable:
+    """``run`` (batches to batches), releasing its worker's memory when a task ends."""
+
+    @functools.wraps(run)
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return whole
 
 
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh path in the folder that driver and executors share.
 
     The cluster names that folder in ``spark.checkpoint.dir``.  Only where it is
-    unset (a local session, as in tests) a temporary folder takes its place.
+    unset in a local session (as in tests) a temporary folder takes its place.
     """
+    bound_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='leadmill-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/leadmill-{uuid.uuid4().hex}"

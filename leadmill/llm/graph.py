@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leadmill.llm.common import discard, materialize
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 100) -> DataFrame:
     """(node, label): the smallest node of each node's component, for nodes that have an edge.
 
     Edges are undirected longs; self-loops and null ends are ignored.  Each round
@@ -17,6 +17,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     so partial aggregation takes care of hubs, and the joins back are plain
     equi-joins that adaptive execution can split.  The edge table shrinks to a
     star forest in O(log n) rounds; each round is a table in the shared folder.
+    A graph that is no star forest after ``rounds`` raises: nothing is returned half done.
     """
     e = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
     e = materialize(e)
@@ -35,5 +36,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         if mark == tuple(now):
             break
         mark = tuple(now)
+    else:
+        raise RuntimeError(f"the components have not settled in {rounds} rounds")
     tops = e.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(tops)

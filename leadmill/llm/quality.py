@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadmill.llm.common import crc_held_out, hash_words, slices, split_words
+from leadmill.llm.common import bound_batches, crc_held_out, hash_words, slices, split_words, tidy
 
 WORD_BUCKETS = 1 << 15
 FACTORS = 8
@@ -147,12 +147,13 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Machine:
     """A machine fitted on at most ``sample_rows`` labelled ids, those with the smallest hashes, and their whole texts."""
+    bound_batches(docs.sparkSession)
     known = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = known.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(sample_rows)
     ids = [(r.doc_id, r.quality) for r in sample.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).collect()]
     picked = docs.join(F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id long, quality int")), "doc_id")
     wide = [c for c in ("text", "n_chars") if c in docs.columns]
-    got = picked.select("quality", *wide).mapInArrow(_extract, "quality int, ids array<int>, x array<float>").toArrow()
+    got = picked.select("quality", *wide).mapInArrow(tidy(_extract), "quality int, ids array<int>, x array<float>").toArrow()
     # Tasks may end in any order; the fit does not depend on it.
     rows, xs, y = [np.asarray(v.values) for v in got.column("ids")], [np.asarray(v.values) for v in got.column("x")], np.asarray(got.column("quality"), np.float32)
     order = sorted(range(len(y)), key=lambda i: (float(y[i]), rows[i].tobytes()))
@@ -161,6 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """``docs`` with a column ``score``: likelihood of label 1 from the whole text and n_chars alone."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
     carried = [c for c in docs.columns if c != "score"]
 
@@ -172,7 +174,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return docs.select(*carried).mapInArrow(run, StructType([*(docs.schema[c] for c in carried), StructField("score", DoubleType())]))
+    return docs.select(*carried).mapInArrow(tidy(run), StructType([*(docs.schema[c] for c in carried), StructField("score", DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, modulus: int = 5) -> DataFrame:

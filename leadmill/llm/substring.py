@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from leadmill.llm.common import CHUNK_BYTES, hash_words, materialize, members, membership, pair_hash, slices, slot, split_words, window_hash
+from leadmill.llm.common import CHUNK_BYTES, hash_words, materialize, members, membership, pair_hash, slices, slot, split_words, tidy, window_hash
 
 SEED_WORDS = 6
 # A position in a document: 24 bits that tell rows of one doc_id apart, 32 of the start, 6 of the path's length.
@@ -228,7 +228,7 @@ def remove_repeats(docs: DataFrame, k: int = 20, carry: list[str] | None = None)
     with_text = carry is not None
     carried = [F.struct(*(F.col(c) for c in carry or []), F.lit(1).alias("_")).alias("carried")] if with_text else []
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), mark.alias("mark"), "text", *carried)
-    paths = docs.select("doc", "mark", "text").mapInArrow(emit_paths(k, SEED_WORDS), "seed long, doc long, pos long, content long")
+    paths = docs.select("doc", "mark", "text").mapInArrow(tidy(emit_paths(k, SEED_WORDS)), "seed long, doc long, pos long, content long")
 
     often = paths.groupBy("seed").agg(F.count("*").alias("c"), F.min("content").alias("lo"), F.max("content").alias("hi")).where("c > 1")
     again = materialize(paths.join(often.select("seed", (F.col("lo") != F.col("hi")).alias("branches")), "seed"))
@@ -240,18 +240,18 @@ def remove_repeats(docs: DataFrame, k: int = 20, carry: list[str] | None = None)
 
     docs = docs.withColumn("slot", slot("doc"))
     schema = StructType([StructField("doc", LongType()), StructField("mark", LongType()), StructField("z", BinaryType()), StructField("size", LongType())])
-    packed = docs.select("doc", "mark", "text", "slot").mapInArrow(compress_texts(membership(heads, "doc")), schema)
-    edges = materialize(packed.join(heads, "doc").mapInArrow(expand_edges(k), "w1 long, w2 long, doc long, pos long"))
+    packed = docs.select("doc", "mark", "text", "slot").mapInArrow(tidy(compress_texts(membership(heads, "doc"))), schema)
+    edges = materialize(packed.join(heads, "doc").mapInArrow(tidy(expand_edges(k)), "w1 long, w2 long, doc long, pos long"))
     lead = edges.groupBy("w1", "w2").agg(F.count("*").alias("c"), F.min(F.struct("doc", "pos")).alias("first")).where("c > 1")
     later = edges.join(lead.select("w1", "w2", "first"), ["w1", "w2"]).where(F.struct("doc", "pos") != F.col("first")).select("doc", "pos")
 
     gone = materialize(copies.unionByName(later).groupBy("doc").agg(F.collect_list("pos").alias("at")))
     touched, wide = membership(gone, "doc"), StructType([*schema, *(docs.schema[c] for c in docs.columns if c == "carried")])
-    some = docs.mapInArrow(compress_texts(touched), wide).join(gone, "doc", "left")
+    some = docs.mapInArrow(tidy(compress_texts(touched)), wide).join(gone, "doc", "left")
     doc_id = F.when(F.col("doc") != -(1 << 63), F.col("doc")).alias("doc_id")
     digest = StructType([StructField("doc_id", LongType()), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_sha256", StringType())])
     if with_text:
         digest = StructType([*digest, StructField("kept_text", StringType()), docs.schema["carried"]])
-    some = some.select(doc_id, *(c for c in some.columns if c != "doc")).mapInArrow(cut(k, with_text), digest)
+    some = some.select(doc_id, *(c for c in some.columns if c != "doc")).mapInArrow(tidy(cut(k, with_text)), digest)
     rest = docs.select(doc_id, *(c for c in docs.columns if c not in ("doc", "mark")))
-    return some.unionByName(rest.mapInArrow(keep_whole(touched, with_text), digest))
+    return some.unionByName(rest.mapInArrow(tidy(keep_whole(touched, with_text)), digest))
