@@ -3,14 +3,16 @@
 A tree splits by the projection on a random direction at the median, level after level.
 Rows close to a split go to both sides, so a near pair is parted only if it lies across
 the split by more than the overlap; several trees make that unlikely in all of them at
-once.  Medians come from a bounded sample; every row is put in its leaves.  Inside a leaf all
-pairs are compared in double precision.  A pair is counted in the first leaf that both
-rows share and nowhere else, so counts are exact without listing pairs.
+once.  Medians come from a bounded sample of each label's rows, in a task per label; every row is put
+in its leaves.  Inside a leaf all pairs are compared in double precision.  A pair is counted in the
+first leaf that both rows share and nowhere else, so counts are exact without listing
+pairs; of a leaf's links a spanning forest is kept, which joins what the links join.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -19,87 +21,108 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadmill.llm.common import materialize
+from leadmill.llm.common import materialize, tidy
 from leadmill.llm.graph import components
 
 TREES = 4
 LEAF_ROWS = 512
-#: Most vectors that the medians are taken from, and the fewest a median is taken from.
-SAMPLE_ROWS, LEAST_MEDIAN = 20_000, 24
-#: Leaves above this many rows are compared in pairs of slices.
-SLICE_ROWS = 4096
+#: About the most vectors, and bytes of them, that one label's medians are taken from, and the fewest a median is taken from.
+SAMPLE_ROWS, SAMPLE_BYTES, LEAST_MEDIAN = 20_000, 32 << 20, 24
+#: Leaves above this many rows are compared in pairs of slices; a label's rows are put in their leaves by a task per so many.
+SLICE_ROWS, PART_ROWS = 4096, 100_000
+SEED = 11
+
+
+def direction(tree: int, level: int, dimension: int) -> np.ndarray:
+    """The unit vector that a level of a tree splits by, the same for all labels."""
+    d = np.random.default_rng((SEED, tree, level)).normal(size=dimension)
+    return d / np.linalg.norm(d)
 
 
 @dataclass
 class Forest:
-    """Directions per tree and level, medians per tree and node; groups share directions."""
+    """The trees of one label: medians per tree, level and node."""
 
     dimension: int
+    depth: int
     spill: float
-    depth: dict[int, int]
-    directions: np.ndarray
-    medians: dict[tuple[int, int, int, int], float] = field(default_factory=dict)
+    trees: int
+    medians: dict[tuple[int, int, int], float] = field(default_factory=dict)
 
     @classmethod
-    def fit(cls, groups: np.ndarray, x: np.ndarray, sizes: dict[int, int], spill: float, trees: int, leaf_rows: int, seed: int = 11) -> Forest:
-        """``groups`` and unit rows ``x`` of the sample; ``sizes``: all rows per group."""
-        depth = {g: max(0, math.ceil(math.log2(n / leaf_rows))) if n > leaf_rows else 0 for g, n in sizes.items()}
-        rng = np.random.default_rng(seed)
-        d = rng.normal(size=(trees, max(depth.values(), default=0), x.shape[1]))
-        d /= np.linalg.norm(d, axis=2, keepdims=True)
-        out = cls(x.shape[1], spill, depth, d)
-        for g in set(groups.tolist()):
-            rows = x[groups == g]
-            for t in range(trees):
-                nodes = {1: np.arange(len(rows))}
-                for level in range(depth.get(g, 0)):
-                    p = rows @ d[t, level]
-                    below = {}
-                    for node, members in nodes.items():
-                        if len(members) >= LEAST_MEDIAN:
-                            m = out.medians[g, t, level, node] = float(np.median(p[members]))
-                            below[2 * node], below[2 * node + 1] = members[p[members] <= m], members[p[members] > m]
-                    nodes = below
+    def fit(cls, x: np.ndarray, rows: int, spill: float, trees: int, leaf_rows: int) -> Forest:
+        """``x``: unit rows of the sample; ``rows``: how many rows the label has."""
+        out = cls(x.shape[1], depth_of(rows, leaf_rows), spill, trees)
+        for t in range(trees):
+            nodes = {1: np.arange(len(x))}
+            for level in range(out.depth):
+                p = x @ direction(t, level, x.shape[1])
+                below = {}
+                for node, members in nodes.items():
+                    if len(members) >= LEAST_MEDIAN:
+                        m = out.medians[t, level, node] = float(np.median(p[members]))
+                        below[2 * node], below[2 * node + 1] = members[p[members] <= m], members[p[members] > m]
+                nodes = below
         return out
 
-    def leaves(self, group: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, leaf id) of unit rows ``x`` of one group over all trees."""
+    def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf id) of unit rows ``x`` over all trees."""
         rows_out, leaf_out = [], []
-        depth = self.depth.get(group, 0) if x.shape[1] == self.dimension else 0
-        for t in range(len(self.directions)):
+        for t in range(self.trees):
             row, node = np.arange(len(x)), np.ones(len(x), np.int64)
-            cut = np.zeros(1)
-            for level in range(depth):
-                p = x @ self.directions[t, level]
+            for level in range(self.depth):
+                p = x @ direction(t, level, self.dimension)
                 known, at = np.unique(node, return_inverse=True)
-                # Below the sample's reach a node splits as the nearest level above at the same direction would: at 0.
-                cut = np.array([self.medians.get((group, t, level, int(n)), 0.0) for n in known])[at]
+                # Below the sample's reach a node splits at 0.
+                cut = np.array([self.medians.get((t, level, int(n)), 0.0) for n in known])[at]
                 low, high = p[row] <= cut + self.spill, p[row] > cut - self.spill
                 row, node = np.concatenate([row[low], row[high]]), np.concatenate([2 * node[low], 2 * node[high] + 1])
             rows_out.append(row)
-            leaf_out.append(node * len(self.directions) + t)
-            if not depth:
+            leaf_out.append(node * self.trees + t)
+            if not self.depth:
                 break
         return np.concatenate(rows_out), np.concatenate(leaf_out)
 
 
+def depth_of(rows: int, leaf_rows: int) -> int:
+    return max(0, math.ceil(math.log2(rows / leaf_rows))) if rows > leaf_rows else 0
+
+
 def _matrix(vectors: pa.Array, dimension: int) -> np.ndarray:
     x = np.asarray(vectors.flatten().cast(pa.float64())).reshape(-1, dimension)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def place(forest_of):
-    """Rows (h1, h2, grp, dim, copies, embedding) to one row per leaf, with all leaves of the row in ``cells``."""
+def fit_label(spill: float, trees: int, leaf_rows: int):
+    """The forest of one label from its sample, a bounded number of rows."""
+
+    def run(table: pa.Table) -> pa.Table:
+        x = _matrix(table.column("embedding").combine_chunks(), int(table.column("dim")[0].as_py()))
+        forest = Forest.fit(x, int(table.column("n")[0].as_py()), spill, trees, leaf_rows)
+        return pa.table({"grp": table.column("grp")[:1], "model": pa.array([pickle.dumps(forest)], pa.binary())})
+
+    return run
+
+
+def place(trees: int):
+    """Rows sorted by label, its model before its vectors, to one row per vector and leaf, with all leaves of the vector in ``cells``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest: Forest = forest_of.value
+        now, forest = None, None
         for batch in batches:
-            grp, dim = np.asarray(batch.column("grp")), np.asarray(batch.column("dim"))
-            for g in np.unique(grp).tolist():
-                here = np.flatnonzero(grp == g)
-                part = batch.take(pa.array(here))
-                row, leaf = forest.leaves(g, _matrix(part.column("embedding"), int(dim[here[0]])))
+            grp, models = np.asarray(batch.column("grp")), batch.column("model")
+            cuts = np.flatnonzero(np.diff(grp)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(grp)], strict=True):
+                if grp[a] != now:
+                    now, forest = grp[a], None
+                while a < b and models[a].is_valid:
+                    forest, a = pickle.loads(models[a].as_py()), a + 1
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a)
+                dim = int(part.column("dim")[0].as_py())
+                row, leaf = (forest or Forest(dim, 0, 0.0, trees)).leaves(_matrix(part.column("embedding"), dim))
                 order = np.lexsort((leaf, row))
                 row, leaf = row[order], leaf[order]
                 bounds = np.searchsorted(row, np.arange(part.num_rows + 1))
@@ -110,8 +133,21 @@ def place(forest_of):
     return run
 
 
+def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``label`` (the smallest member of each row's component) once rows i and j are joined too."""
+    while True:
+        a, b = label[i], label[j]
+        apart = a != b
+        if not apart.any():
+            return label
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while not (label[label] == label).all():
+            label = label[label]
+
+
 def compare_leaf(threshold: float):
-    """Links of one leaf, or of two slices of one: per row how many vectors it is linked with, and a partner to hang under."""
+    """Links of one leaf, or of two slices of one: per row how many vectors it is linked with, and the first row of its component here."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -122,7 +158,7 @@ def compare_leaf(threshold: float):
         side, lo, hi = np.asarray(table.column("side")), table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
         wide = max(map(len, lists))
         cells = np.array([c + [-1] * (wide - len(c)) for c in lists], np.int64)
-        count, low = np.zeros(len(h1), np.int64), h1.copy()
+        count, label = np.zeros(len(h1), np.int64), np.arange(len(h1))
         first, second = (np.flatnonzero(side == lo), np.flatnonzero(side == hi)) if lo != hi else (np.arange(len(h1)), np.arange(len(h1)))
         for at in range(0, len(first), 512):
             block = first[at : at + 512]
@@ -130,24 +166,42 @@ def compare_leaf(threshold: float):
             i, j = block[i], second[j]
             keep = i < j if lo == hi else i != j
             i, j = i[keep], j[keep]
+            label = unite(label, i, j)
             for b in range(0, len(i), 20_000):
                 p, q = i[b : b + 20_000], j[b : b + 20_000]
                 both = np.zeros((len(p), wide), bool)
                 for c in range(wide):
                     both |= (cells[p] == cells[q][:, c : c + 1]) & (cells[p] >= 0)
                 earliest = np.where(both, cells[p], np.iinfo(np.int64).max).min(axis=1)
-                np.minimum.at(low, p, h1[q])
-                np.minimum.at(low, q, h1[p])
                 mine = earliest == leaf
                 np.add.at(count, p[mine], copies[q[mine]])
                 np.add.at(count, q[mine], copies[p[mine]])
-        linked = low < h1
-        some = linked | (count > 0)
-        return pa.table({"h1": pa.array(h1[some]), "links": pa.array(count[some]), "under": pa.array(np.minimum(low, h1)[some])})
+        some = (label != np.arange(len(h1))) | (count > 0)
+        return pa.table({"h1": pa.array(h1[some]), "links": pa.array(count[some]), "under": pa.array(h1[label][some])})
 
     return run
 
 
+def forest_leaves(classes: DataFrame, threshold: float, trees: int, leaf_rows: int) -> DataFrame:
+    """``classes`` (h1, grp, dim, copies, embedding) in all their leaves.
+
+    A label's sample is about ``SAMPLE_ROWS`` rows by a hash and fits in one task; a large label's rows
+    are placed by several tasks, each with a copy of the label's model.
+    """
+    sizes = classes.groupBy("grp", "dim").agg(F.count("*").alias("n"))
+    deep = materialize(sizes.where(F.col("n") > leaf_rows).withColumn("parts", F.ceil(F.col("n") / PART_ROWS).cast("int")))
+    spill = F.lit(math.sqrt(2 - 2 * threshold)) / F.sqrt("dim")
+    most = F.least(F.lit(SAMPLE_ROWS), F.lit(SAMPLE_BYTES) / (8 * F.col("dim")))
+    chance = F.pmod(F.xxhash64("h1", F.lit(5)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = classes.join(deep.drop("dim"), "grp").where(chance < most / F.col("n")).select("grp", "dim", "n", spill.alias("spill"), "embedding")
+    models = sample.groupBy("grp").applyInArrow(lambda t: fit_label(t.column("spill")[0].as_py(), trees, leaf_rows)(t), "grp long, model binary")
+    models = models.join(deep.select("grp", "parts"), "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "model")
+    rows = classes.join(deep.select("grp", "parts"), "grp", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("h1", F.lit(3)), F.col("parts")), F.lit(0)).cast("int"))
+    both = rows.select("grp", "part", "h1", "dim", "copies", "embedding").unionByName(models, allowMissingColumns=True)
+    both = both.repartition("grp", "part").sortWithinPartitions("grp", F.col("model").isNull(), "h1")
+    return both.mapInArrow(tidy(place(trees)), "h1 long, grp long, dim int, copies long, embedding array<double>, cells array<long>, leaf long")
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.98, trees: int = TREES, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``vectors`` (vec_id, embedding, label; others are ignored).
 
@@ -157,7 +211,6 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, trees: int = TREES
     lengths never meet.  A vec_id that repeats has a row each time; component_id is the smallest vec_id of
     the component, a null one only where there is no other.  An empty table gives no rows.
     """
-    spark = vectors.sparkSession
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
     bad = F.exists("embedding", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
     usable = F.col("label").isNotNull() & F.coalesce(~bad & F.exists("embedding", lambda e: e != 0), F.lit(False))
@@ -166,17 +219,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, trees: int = TREES
     classes = good.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.any_value("embedding").alias("embedding"), F.any_value("label").alias("label"), F.any_value("dim").alias("dim"))
     classes = materialize(classes.withColumn("grp", F.xxhash64("label", "dim")).drop("label"))
 
-    sizes = classes.groupBy("grp", "dim").agg(F.count("*").alias("n"))
-    top = [(r.grp, r.dim, r.n) for r in sizes.orderBy(F.desc("n"), "grp").limit(1024).collect()]
-    dimension = top[0][1] if top else 1
-    sample = classes.where(F.col("dim") == dimension).orderBy(F.xxhash64("h1", F.lit(5))).limit(SAMPLE_ROWS).select("grp", "embedding").toArrow()
-    x = _matrix(sample.column("embedding").combine_chunks(), dimension) if sample.num_rows else np.zeros((0, dimension))
-    spill = math.sqrt(2 - 2 * threshold) / math.sqrt(dimension)
-    forest = Forest.fit(np.asarray(sample.column("grp")), x, {g: n for g, d, n in top if d == dimension}, spill, trees, leaf_rows)
-
-    shared = spark.sparkContext.broadcast(forest)
-    placed = classes.select("h1", "grp", "dim", "copies", "embedding").mapInArrow(place(shared), "h1 long, grp long, dim int, copies long, embedding array<double>, cells array<long>, leaf long")
-    placed = materialize(placed)
+    placed = materialize(forest_leaves(classes, threshold, trees, leaf_rows))
     parts = placed.groupBy("grp", "leaf").agg(F.ceil(F.count("*") / SLICE_ROWS).cast("int").alias("parts"), F.count("*").alias("members")).where("members > 1").drop("members")
     cut = placed.join(parts, ["grp", "leaf"]).withColumn("side", F.pmod(F.xxhash64("h1", F.lit(7)), F.col("parts")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"lo": F.least("side", "other"), "hi": F.greatest("side", "other")})
