@@ -29,8 +29,8 @@ BLOCK = "part long, seq long, ids binary, terms binary, weights binary, bounds b
 def quantize(vectors: pa.Array, scale: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row is usable, terms, weights, bounds of usable rows): floor(scale * x), zeros left out.
 
-    Rows that are null or hold a null or non-finite component are not usable; weights are
-    clipped to 31 bits.
+    Rows that are null or hold a null or non-finite component are not usable.  A weight that
+    is no 63-bit integer raises: scores of longs can't hold it.
     """
     offsets = np.asarray(vectors.offsets, np.int64)
     values = vectors.values.slice(offsets[0], offsets[-1] - offsets[0])
@@ -39,7 +39,10 @@ def quantize(vectors: pa.Array, scale: float) -> tuple[np.ndarray, np.ndarray, n
     row = np.repeat(np.arange(len(size)), size)
     ok = np.asarray(vectors.is_valid()) & (np.bincount(row, ~np.isfinite(x), len(size)) == 0)
     term = np.arange(len(x)) - np.repeat(offsets[:-1] - offsets[0], size)
-    w = np.clip(np.floor(np.where(np.isfinite(x), x, 0) * scale), -(1 << 31) + 1, (1 << 31) - 1).astype(np.int64)
+    w = np.floor(np.where(np.isfinite(x) & ok[row], x, 0) * scale)
+    if np.abs(w).max(initial=0) >= 2.0**62:
+        raise OverflowError("a component times the scale is beyond 62 bits")
+    w = w.astype(np.int64)
     keep = ok[row] & (w != 0)
     bounds = np.concatenate(([0], np.cumsum(np.bincount(row[keep], minlength=len(size))[ok])))
     return ok, term[keep].astype(np.int32), w[keep], bounds
@@ -96,7 +99,8 @@ def search(k: int):
                 terms, weights = get("terms", np.int32), get("weights", np.int64)
                 qt, qw = get("q_terms", np.int32), get("q_weights", np.int64)
                 biggest = int(np.abs(weights).max(initial=0)) * int(np.abs(qw).max(initial=0)) * (int(max(terms.max(initial=0), qt.max(initial=0))) + 1)
-                kind = np.int32 if biggest < 1 << 31 else np.int64
+                # Beyond 63 bits the sums are Python's integers: slow, and exact.
+                kind = np.int32 if biggest < 1 << 31 else np.int64 if biggest < 1 << 63 else object
                 postings: dict[int, tuple] = {}
                 rows = place[np.repeat(np.arange(len(ids)), np.diff(bounds))]
                 by_term = np.argsort(terms, kind="stable")
@@ -117,7 +121,7 @@ def search(k: int):
                     score = np.zeros((hi - lo, len(ids)), kind)
                     span = slice(int(qb[lo]), int(qb[hi]))
                     dense = np.zeros((int(qt.max(initial=0)) + 1, hi - lo), kind)
-                    dense[qt[span], query_of[span] - lo] = qw[span]
+                    dense[qt[span], query_of[span] - lo] = qw[span].astype(kind)
                     for t in np.unique(qt[span]).tolist():
                         if t in postings:
                             where, w = postings[t]
@@ -138,8 +142,10 @@ def search(k: int):
                             key[i, a:b] = np.iinfo(np.int64).min
                             best = np.argpartition(key[i], len(ids) - n)[len(ids) - n :]
                         else:
-                            best = np.lexsort((np.arange(len(ids)), -score[i]))
+                            best = np.array(sorted(range(len(ids)), key=lambda j: (-score[i][j], j)))  # noqa: B023
                             best = best[ids[best] != qids[lo + i]][:n]
+                            if kind is object and max(map(abs, score[i][best])) >= 1 << 63:
+                                raise OverflowError(f"a score of query {qids[lo + i]} is beyond a long")
                         out.append((np.full(len(best), qids[lo + i]), ids[best], score[i][best].astype(np.int64)))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[j] for o in out])) for j in range(3)], ["query_id", "vec_id", "score"])
@@ -154,15 +160,20 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64
     A query is not its own candidate; ties go to the smaller vec_id.  Vectors that are null, hold a null or
     a non-finite component, or have no vec_id take no part; a zero vector does.  A row whose vec_id repeats is a candidate each
     time and, as a query, asks once per distinct vec_id's rows; rows of the query's own vec_id are its own.
-    Fewer than k candidates give all of them; an empty table gives no rows.
+    Fewer than k candidates give all of them; an empty table gives no rows.  Sums are exact at any size; a
+    returned score that no long can hold raises.
     """
     clean = lambda df: df.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     vectors, queries = clean(vectors), clean(queries)
-    cells = max(1, -(-vectors.count() // cell_rows))
-    blocks = vectors.mapInArrow(pack_blocks(CANDIDATE_ROWS, scale), BLOCK).withColumn("cell", F.pmod(F.xxhash64("part", "seq"), F.lit(cells)))
+    # A cell per ``cell_rows`` rows, or per core where that is more; the blocks shrink with them, down to 1024 rows.
+    n = vectors.count()
+    cells = max(1, -(-n // cell_rows), min(vectors.sparkSession.sparkContext.defaultParallelism, n // 2048))
+    size = min(CANDIDATE_ROWS, max(1024, n // (2 * cells)))
+    blocks = vectors.mapInArrow(pack_blocks(size, scale), BLOCK).withColumn("cell", F.pmod(F.xxhash64("part", "seq"), F.lit(cells))).repartition(cells, "cell")
     asked = queries.dropDuplicates(["vec_id"]).mapInArrow(pack_blocks(QUERY_ROWS, scale), BLOCK)
-    asked = asked.select(*(F.col(c).alias(f"q_{c}") for c in ("ids", "terms", "weights", "bounds")), F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("q_cell"))
-    pairs = blocks.join(asked, F.col("cell") == F.col("q_cell").cast("long")).select("ids", "terms", "weights", "bounds", "q_ids", "q_terms", "q_weights", "q_bounds")
+    asked = asked.select(*(F.col(c).alias(f"q_{c}") for c in ("ids", "terms", "weights", "bounds")), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))).alias("q_cell"))
+    asked = asked.repartition(cells, "q_cell")
+    pairs = blocks.join(asked, F.col("cell") == F.col("q_cell")).select("ids", "terms", "weights", "bounds", "q_ids", "q_terms", "q_weights", "q_bounds")
     found = pairs.mapInArrow(search(k), "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
