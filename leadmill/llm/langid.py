@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadmill.llm.common import crc_held_out, mix, pair_hash, slices
+from leadmill.llm.common import bound_batches, crc_held_out, mix, pair_hash, slices, tidy
 
 SIZES = (1, 2, 3, 4)
 HASHES = 3
@@ -44,7 +44,8 @@ def word_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, li
     words = coded.dictionary.to_pylist()
     key, count = np.unique(doc * max(1, len(words)) + np.asarray(coded.indices, np.int64), return_counts=True)
     doc, code = key // max(1, len(words)), key % max(1, len(words))
-    full = np.array([bool(w) for w in words] or [False])[code]
+    # Marks alone are no word: a text without a letter has none.
+    full = np.asarray(pc.match_substring_regex(coded.dictionary, r"\pL"))[code] if words else np.zeros(0, bool)
     return doc[full], code[full], count[full], words
 
 
@@ -157,9 +158,9 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_grams: int = SAM
     the id, and of their n-grams the ``sample_grams`` commonest per language.  Every language is learned; only that comes to the driver."""
     known = docs.where("lang is not null and text is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     per_lang = known.groupBy("lang").agg(F.count("*").alias("c"))
-    share = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(9)), F.lit(1 << 30)) * F.col("c") < F.lit(sample_docs * (1 << 30))
+    share = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(9)), F.lit(1 << 30)) / F.lit(float(1 << 30)) < F.lit(sample_docs) / F.col("c")
     picked = known.join(F.broadcast(per_lang), "lang").where(share)
-    counted = picked.select("text", "lang").mapInArrow(count_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = picked.select("text", "lang").mapInArrow(tidy(count_grams), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = counted.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= sample_grams)
     rows = [(r.lang, r.gram) for r in best.select("lang", "gram").collect()]
     return BitmaskFilter(sorted({lang for lang, _ in rows}), rows)
@@ -173,6 +174,7 @@ def identify(docs: DataFrame, modulus: int = 3, remainder: int = 1) -> DataFrame
     as is all where nothing can be learned; ties go to the language that sorts first; the score is the
     share of the text's n-grams that the language explains.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", crc_held_out("doc_id", modulus, remainder).alias("held_out"))
     model = docs.sparkSession.sparkContext.broadcast(fit(docs.where("not held_out")))
-    return docs.select("doc_id", "held_out", "text").mapInArrow(predict(model), "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.select("doc_id", "held_out", "text").mapInArrow(tidy(predict(model)), "doc_id long, held_out boolean, lang_pred string, score double")
