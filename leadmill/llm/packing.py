@@ -20,9 +20,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadmill.llm.common import slices, split_words
+from leadmill.llm.common import bound_batches, slices, split_words, tidy
 
-CACHE_WORDS = 300_000
+#: Most words, and most pieces of words, whose ids a worker keeps.
+CACHE_WORDS = 100_000
 END_ID = 1
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII punctuation but the apostrophe, which starts contractions
 
@@ -42,7 +43,7 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), cache_words, {}
+        self.tokenizer, self.limit, self.known, self.whole = Tokenizer.from_file(path), cache_words, {"": b""}, {}
 
     def _encode(self, words: list[str]) -> None:
         """Add the ids of ``words`` to the cache; 64 at a time make one input, but those that may hold a special token."""
@@ -61,20 +62,21 @@ class WordEncoder:
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in a row, bounds per text)."""
         codes, bounds, words = split_words(texts)
-        parts = []
+        if len(self.known) > self.limit or len(self.whole) > self.limit:
+            self.known, self.whole = {"": b""}, {}
+        whole, known = self.whole, self.known
+        parts = {}
         for w in words:
-            if w.isascii() and "<|" not in w:
-                w = w.lower()
-            base = w.rstrip(_TAIL)
-            parts.append((base, w[len(base) :]) if len(base) != len(w) and base.isalpha() and max(base) < "ɐ" else (w, ""))
-        if len(self.known) > self.limit:
-            self.known.clear()
-        new = {p for two in parts for p in two if p and p not in self.known}
+            if w not in whole:
+                low = w.lower() if w.isascii() and "<|" not in w else w
+                base = low.rstrip(_TAIL)
+                parts[w] = (base, low[len(base) :]) if len(base) != len(low) and base.isalpha() and max(base) < "ɐ" else (low, "")
+        new = {p for two in parts.values() for p in two if p not in known}
         if new:
             self._encode(list(new))
-        known = self.known
-        known[""] = b""
-        raw = [known[a] + known[b] if b else known[a] for a, b in parts]
+        for w, (a, b) in parts.items():
+            whole[w] = known[a] + known[b]
+        raw = [whole[w] for w in words]
         size = np.fromiter(map(len, raw), np.int64, len(raw)) >> 2
         flat = np.frombuffer(b"".join(raw), np.uint32)
         begin = np.cumsum(size) - size
@@ -145,12 +147,13 @@ def pack(tokenizer_path: str, capacity: int, with_ids: bool):
                         piece = (doc, start, ids[start : start + length], len(ids))
                         start += length
                         bin_ = waiting[length]
-                        bin_.append(piece)
-                        if len(bin_) == capacity // length:
-                            for i, p in enumerate(bin_):
+                        if len(bin_) + 1 == capacity // length:
+                            for i, p in enumerate([*bin_, piece]):
                                 put(p, i * length)
                             bin_.clear()
                             sequence += 1
+                        else:  # a copy, as a view would keep the whole document
+                            bin_.append((*piece[:2], piece[2].copy(), piece[3]))
                 if len(rows) > 20_000:
                     yield flush()
 
@@ -186,5 +189,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, w
     repeated rows are packed each; a null doc_id stays null.  ``with_ids`` adds the piece's ids, from
     which a sequence is read by sorting its pieces by offset.  An empty table gives no rows.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(pack(tokenizer_path, capacity, with_ids), PIECES + (", ids array<int>" if with_ids else ""))
+    return docs.mapInArrow(tidy(pack(tokenizer_path, capacity, with_ids)), PIECES + (", ids array<int>" if with_ids else ""))
