@@ -31,10 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadmill.llm.common import hash_words, materialize, members, membership, mix, pair_hash, slices, slot, split_words, window_hash
+from leadmill.llm.common import hash_words, materialize, members, membership, mix, pair_hash, slices, slot, split_words, tidy, window_hash
 from leadmill.llm.graph import components
 
 #: Below this T all blocks exist; from it on, so many of T / SPARE blocks are built, and only those with two toggled bits are keys.
@@ -73,10 +73,10 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     return out
 
 
-def sketch_keys(shingles: np.ndarray, band: int, limit: int) -> np.ndarray:
-    """The block keys of one set in one band, ``limit`` being its T."""
+def sketch_keys(shingles: np.ndarray, band: int, limit: int, below: int | None = EXACT) -> np.ndarray:
+    """The block keys of one set in one band, ``limit`` being its T; exact under ``below``, or always if that is None."""
     spread = mix(shingles + np.uint64(0x51ED2701))
-    exact = limit < EXACT
+    exact = below is None or limit < below
     blocks = int(1.4 * (limit + 1)) + 1 if exact else int(limit / SPARE) + 1
     at = ((spread >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
     if not exact:
@@ -105,7 +105,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
-def sketches(width: int, num: int, den: int):
+def sketches(width: int, num: int, den: int, below: int | None = EXACT):
     edges = bands(num, den)
     lows = np.array([low for low, _ in edges])
 
@@ -125,7 +125,7 @@ def sketches(width: int, num: int, den: int):
                         own = int(np.searchsorted(lows, len(s), "right")) - 1
                         for band in (own, own - 1):
                             if band >= 0:
-                                got = sketch_keys(s, band, edges[band][1])
+                                got = sketch_keys(s, band, edges[band][1], below)
                                 k.append(got)
                                 v.append(np.full(len(got), int(pair_hash(np.array([a], np.uint64), np.array([band], np.uint64))[0]), np.uint64))
                     keys.append(_signed(np.concatenate(k)) if k else None)
@@ -231,7 +231,7 @@ def compare_cell(num: int, den: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, exact: int | None = EXACT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text; other columns are ignored).
 
     Words are lower-cased in A-Z only; fewer than ``width`` words make one shingle.
@@ -239,17 +239,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
     component.  Rows with equal sets are one class (a row per class takes part
     in the join).  Repeated doc_ids are separate rows; a null doc_id takes part and is
     never the smallest of a component unless all are null.  An empty table gives no rows.
+    Sets whose T is ``exact`` or more are found by chance, see above; None makes every band exact, at about 0.6 keys a shingle.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    info = materialize(docs.mapInArrow(sketches(width, num, den), INFO))
+    info = materialize(docs.mapInArrow(tidy(sketches(width, num, den, exact)), INFO))
 
     full = info.where("n_shingles > 0")
-    classes = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"))
-    # Equal sets have equal nodes: a bucket of copies alone has one node and gives no edge.
-    keyed = full.select(F.explode(F.arrays_zip("keys", "nodes")).alias("k")).select("k.keys", "k.nodes")
-    w = Window.partitionBy("keys").orderBy("nodes").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    near = keyed.withColumn("first", F.first("nodes").over(w)).where("nodes <> first").select(F.col("nodes").alias("a"), F.col("first").alias("b"))
+    # One row per class from here on: copies, however many, are grouped where they are read and never meet again.
+    classes = materialize(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"), F.first("nodes").alias("nodes")))
+    keyed = classes.select(F.explode(F.arrays_zip("keys", "nodes")).alias("k")).select("k.keys", "k.nodes")
+    # A key that many classes share is a minimum per task, and a join that can be split: all hang under its smallest node.
+    shared = keyed.groupBy("keys").agg(F.min("nodes").alias("low"), F.max("nodes").alias("high")).where("low <> high").select("keys", "low")
+    near = keyed.join(shared, "keys").where("nodes <> low").select(F.col("nodes").alias("a"), F.col("low").alias("b"))
     clusters = components(near).withColumnRenamed("label", "cluster")
+    classes = classes.drop("keys", "nodes")
 
     member = classes.mapInArrow(node_bands(num, den), "h1 long, h2 long, rep long, n_shingles long, node long, band long")
     member = materialize(member.join(clusters, "node"))
@@ -263,7 +266,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
     cells = placed.select("cluster", "band", "h1", "h2", named("rep"), "side", other)
     cells = cells.select("cluster", "band", "h1", "h2", "rep", "side", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"))
     # The table lets other copies of a class through by chance; the join drops them, so that a cell has one set per class.
-    sets = docs.select("text", named("doc_id"), slot("doc_id").alias("slot")).mapInArrow(packed_sets(width, membership(placed, "rep")), "h1 long, h2 long, rep long, shingles binary")
+    sets = docs.select("text", named("doc_id"), slot("doc_id").alias("slot")).mapInArrow(tidy(packed_sets(width, membership(placed, "rep"))), "h1 long, h2 long, rep long, shingles binary")
     sets = sets.groupBy("h1", "h2", "rep").agg(F.first("shingles").alias("shingles"))
     links = (
         cells.join(sets, ["h1", "h2", "rep"])
