@@ -8,9 +8,12 @@ import math
 import random
 
 import numpy as np
+import pytest
 
 from leadmill.llm import chat, topk, vector_forest, warc
+from leadmill.llm.queries import tokenizer_path
 
+VOCABULARY = tokenizer_path("byte_bpe_50k.json")
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
 
@@ -52,6 +55,51 @@ def test_top_k_where_own_rows_fill_the_block(spark):
     assert topk.top_k(alone, alone, k=5).count() == 0
 
 
+def test_top_k_keeps_large_weights_apart(spark):
+    """Components of 1e9 and scores past 63 bits in between: sums are exact, and what no long can hold raises."""
+    rows = [(0, [3e8, 0.0], 0), (1, [1e9, 1.0], 0), (2, [1e9, 0.0], 0), (3, [2e9, 0.0], 0), (4, [5e9, -5e9], 0), (20, [4.0, 4.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {(x.query_id, x.rank): (x.vec_id, x.score) for x in topk.top_k(df, df.where("vec_id = 20"), k=9, scale=64.0).collect()}
+    want = sorted((-sum(math.floor(64 * a) * 256 for a in e), i) for i, e, _ in rows if i != 20)
+    assert got == {(20, n + 1): (i, -s) for n, (s, i) in enumerate(want)}
+    big = topk.top_k(df, df.where("vec_id = 0"), k=9, scale=1.0)
+    assert [(x.vec_id, x.score) for x in big.orderBy("rank").collect()] == [(4, 1500000000000000000), (3, 600000000000000000), (1, 300000000000000000), (2, 300000000000000000), (20, 1200000000)]
+    with pytest.raises(Exception, match="beyond a long"):
+        topk.top_k(df, df.where("vec_id = 4"), k=9, scale=64.0).collect()
+
+
+def chain(n, step, at=0):
+    return [(at + i, [math.cos(math.radians(step * i)), math.sin(math.radians(step * i))] + [0.0] * 6, at) for i in range(n)]
+
+
+@pytest.mark.parametrize("leaf_rows", [512, 8])
+def test_chains_of_vectors_are_one_component(spark, leaf_rows):
+    """Each is linked with its neighbours alone, or with few: components hold the whole chain."""
+    rows = chain(9, 10) + [(i, e, 1000) for i, e, _ in chain(90, 4, 1000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_forest.near_vectors(df, leaf_rows=leaf_rows).collect()}
+    e = np.array([r[1] for r in rows])
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    near = (e @ e.T >= 0.98) & (np.array([r[2] for r in rows])[:, None] == np.array([r[2] for r in rows]))
+    assert got == {r[0]: (int(near[n].sum()) - 1, 0 if r[2] == 0 else 1000) for n, r in enumerate(rows)}
+
+
+def test_many_labels_and_lengths_have_trees(spark):
+    """2,000 labels, some of another dimension; large ones are split by trees of their own."""
+    r = np.random.default_rng(6)
+    rows = [(i, r.normal(size=6 if i % 7 else 9).round(2).tolist(), i % 2000) for i in range(4000)]
+    rows += [(5000 + i, r.normal(size=5).tolist(), 5000 + i % 2) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+    got = {r.vec_id: r.n_links for r in vector_forest.near_vectors(df, leaf_rows=64).collect()}
+    want = {}
+    for label in {r[2] for r in rows}:
+        mine = [(i, np.array(e) / np.linalg.norm(e)) for i, e, l in rows if l == label]
+        for i, a in mine:
+            want[i] = sum(i != j and len(a) == len(b) and a @ b >= 0.98 for j, b in mine)
+    assert set(got) == set(want) and all(got[i] <= want[i] for i in want)
+    assert sum(got.values()) >= 0.9 * sum(want.values()) > 0
+
+
 def test_near_vectors(spark):
     rows = vectors()
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as h1", "2 as leaf", "3 as links").repartition(3)
@@ -133,8 +181,8 @@ def digests(rows):
 def test_chats(spark):
     rows = conversations()
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as node", "2 as chain", "3 as offset").repartition(3)
-    forest = chat.build(df)
-    got = [tuple(r)[:5] for r in chat.digest(forest).collect()]
+    forest = chat.build(df, VOCABULARY)
+    got = [tuple(r)[:5] for r in chat.digest(forest, VOCABULARY).collect()]
     assert sorted(got, key=str) == sorted(digests(rows), key=str)
     nodes = forest.segments.collect()
     at = 0
@@ -142,17 +190,27 @@ def test_chats(spark):
         assert n.offset == at
         at += n.length
     assert len(nodes) < len(rows)
-    assert chat.digest(chat.build(df.where("false"))).count() == 0
+    assert all(len(n.ids) == n.length for n in nodes)
+    assert chat.digest(chat.build(df.where("false"), VOCABULARY), VOCABULARY).count() == 0
+
+
+def test_a_hot_chain_meets_each_turn_once(spark):
+    """A long conversation whose first turn many others share: the join back makes a row per turn, no more."""
+    rows = [(0, t, "user", f"t{t}") for t in range(300)] + [(c, t, "user", "t0" if t == 0 else f"c{c}") for c in range(1, 300) for t in range(2)]
+    forest = chat.build(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), VOCABULARY)
+    assert forest.paths.selectExpr("sum(turns)").first()[0] == len(rows)
+    got = [tuple(r)[:5] for r in chat.digest(forest, VOCABULARY).collect()]
+    assert sorted(got) == sorted(digests(rows))
 
 
 def test_attention_sees_the_path_alone(spark):
     """What a chain attends to, laid out by position, is its conversation's text before the chain."""
     df = spark.createDataFrame(conversations()[:30], "conv_id long, turn long, role string, text string")
-    forest = chat.build(df)
-    stream = "".join(n.segment for n in sorted(forest.segments.collect(), key=lambda n: n.offset))
+    forest = chat.build(df, VOCABULARY)
+    stream = [i for n in sorted(forest.segments.collect(), key=lambda n: n.offset) for i in n.ids]
     paths = {}
     for p in forest.paths.collect():
         paths.setdefault(p.conv, []).append((p.position, stream[p.offset : p.offset + p.length]))
     for c in forest.chains.collect():
-        seen = "".join(stream[a.offset : a.offset + a.length] for a in c.attends) + stream[c.offset : c.offset + c.length]
-        assert seen == "".join(t for _, t in sorted(paths[c.chain]))
+        seen = [i for a in c.attends for i in stream[a.offset : a.offset + a.length]] + stream[c.offset : c.offset + c.length]
+        assert seen == [i for _, t in sorted(paths[c.chain]) for i in t]
