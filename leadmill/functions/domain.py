@@ -56,6 +56,27 @@ def normalize_domain_text(url: Column) -> Column:
     return F.rtrim(c, F.lit("."))
 
 
+def host(url: Column) -> Column:
+    """The host of an absolute URL, lower case; empty for anything else."""
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+
+
+def bare_host(url: Column) -> Column:
+    return F.regexp_replace(host(url), r"^www\.", "")
+
+
+def home_url(domain: Column) -> Column:
+    """https and the domain; schemes written out and outer slashes go."""
+    c = F.replace(F.replace(F.coalesce(domain, F.lit("")), F.lit("https://"), F.lit("")), F.lit("http://"), F.lit(""))
+    return F.concat(F.lit("https://"), F.regexp_replace(c, "^/+|/+$", ""))
+
+
+def same_site(url: Column, base_host: Column) -> Column:
+    """The URL's host is the base host, or under it; www. aside."""
+    h, b = bare_host(url), F.regexp_replace(F.lower(F.coalesce(base_host, F.lit(""))), r"^www\.", "")
+    return (h != "") & ((h == b) | F.endswith(h, F.concat(F.lit("."), b)))
+
+
 def is_social(domain: Column) -> Column:
     return F.coalesce(domain.rlike(SOCIAL), F.lit(False))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from leadmill.functions.domain import domains_match, registrable_domain
 
 PATTERN = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}"
-VALID = r"^[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,24}$"
+VALID = r"^[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}$"
 
 # Fixed values of the extraction rules.
 SYSTEM_LOCALS = ["noreply", "no-reply", "donotreply", "do-not-reply", "mailer-daemon", "postmaster", "bounce", "bounces", "daemon", "abuse", "spam", "webmaster"]
@@ -30,6 +30,18 @@ ROT13_FROM, ROT13_TO = "abcdefghijklmnopqrstuvwxyz", "nopqrstuvwxyzabcdefghijklm
 OBFUSCATED = [(r"\s*[\[({]\s*at\s*[\])}]\s*", "@"), (r"\s+at\s+", "@"), (r"\s*[\[({]\s*dot\s*[\])}]\s*", "."), (r"\s+dot\s+", "."), (r"\s*[\[(]\s*punkt\s*[\])]\s*", "."), (r"\s+punkt\s+", ".")]
 
 
+def only_local(email: Column) -> Column:
+    """The part before the one @; empty if there is not exactly one."""
+    parts = F.split(F.lower(F.trim(F.coalesce(email, F.lit("")))), "@")
+    return F.when(F.size(parts) == 2, parts[0]).otherwise("")
+
+
+def only_domain(email: Column) -> Column:
+    """The part after the one @; empty if there is not exactly one."""
+    parts = F.split(F.lower(F.trim(F.coalesce(email, F.lit("")))), "@")
+    return F.when(F.size(parts) == 2, parts[1]).otherwise("")
+
+
 def local_part(email: Column) -> Column:
     return F.split_part(email, F.lit("@"), F.lit(1))
 
@@ -75,18 +87,32 @@ def is_free_mail(email: Column) -> Column:
 
 
 def reason(email: Column) -> Column:
-    """Why an address is not valid, or NULL."""
-    at = F.length(email) - F.length(F.replace(email, F.lit("@"), F.lit("")))
-    dom = domain_part(email)
+    """Why an address is not valid, or NULL; the texts are fixed values."""
+    e = F.lower(F.trim(F.coalesce(email, F.lit(""))))
+    at = F.length(e) - F.length(F.replace(e, F.lit("@"), F.lit("")))
+    local, dom = local_part(e), domain_part(e)
     return (
-        F.when(email.isNull() | (F.length(email) < 6), "too short")
-        .when(F.length(email) > 254, "too long")
-        .when(at != 1, "number of @")
-        .when(local_part(email) == "", "no local part")
-        .when(~dom.contains("."), "no dot")
-        .when(dom.contains("..") | dom.startswith(".") | dom.endswith("."), "empty label")
-        .when(~email.rlike(VALID), "pattern")
+        F.when(e == "", "Email is empty or None")
+        .when(F.length(e) < 6, "Email too short (minimum 6 characters)")
+        .when(F.length(e) > 254, "Email too long (maximum 254 characters)")
+        .when(at == 0, "Missing @ symbol")
+        .when(at > 1, F.concat(F.lit("Invalid number of @ symbols (found "), at.cast("string"), F.lit(")")))
+        .when(local == "", "Local part (before @) is empty")
+        .when(dom == "", "Domain part (after @) is empty")
+        .when(~dom.contains("."), "Domain must contain at least one dot")
+        .when(dom.contains("..") | dom.startswith(".") | dom.endswith("."), "Domain contains empty parts (consecutive dots)")
+        .when(~e.rlike(VALID), "Email does not match valid pattern")
+    )
+
+
+def warnings(email: Column) -> Column:
+    """What is odd about a valid address; the texts are fixed values."""
+    e = F.lower(F.trim(email))
+    odd = F.array(
+        F.when(F.length(local_part(e)) < 2, "Local part is very short"),
+        F.when(F.length(domain_part(e)) < 4, "Domain is very short"),
     )
+    return F.when(reason(email).isNull(), F.array_compact(odd)).otherwise(F.array().cast("array<string>"))
 
 
 def quality(email: Column) -> Column:

@@ -15,6 +15,56 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
 
 
+def canonical(text: Column) -> Column:
+    """Without case and outer and repeated white space; ss for the sharp s, as case folding has it."""
+    return F.replace(F.lower(squeeze(text)), F.lit("ß"), F.lit("ss"))
+
+
+def truncated(text: Column, most: int, mark: str = "…") -> Column:
+    """At most ``most`` characters, a mark where more were."""
+    return F.when(F.length(text) > most, F.concat(F.rtrim(F.substring(text, 1, most)), F.lit(mark))).otherwise(text)
+
+
+def without_emphasis(text: Column) -> Column:
+    """Model output without bold and italic marks, blank lines and blanks squeezed."""
+    c = F.coalesce(text, F.lit(""))
+    for pattern in (r"\*\*(.+?)\*\*", r"__(.+?)__", r"(?<!\w)\*(.+?)\*(?!\w)", r"(?<!\w)_(.+?)_(?!\w)"):
+        c = F.regexp_replace(c, pattern, "$1")
+    return F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(c, r"^\s+|\s+$", "")), r"\n{3,}", "\n\n"), " {2,}", " ")
+
+
+def impressum_tail(markdown: Column) -> Column:
+    """From the heading of the legal notice to the end; empty without one."""
+    return F.regexp_replace(F.regexp_extract(F.coalesce(markdown, F.lit("")), r"(?ims)(^\s*(#{1,6}\s*)?(impressum|imprint)[ \t]*$.*)", 1), r"^\s+|\s+$", "")
+
+
+def visible_text(html: Column) -> Column:
+    """Tags and invisible characters out, white space squeezed."""
+    c = F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), "<[^>]+>", ""), r"[\u00ad\u200b\u200c\u200d\u2060]", "")
+    return squeeze(F.replace(c, F.lit("\u00a0"), F.lit(" ")))
+
+
+#: Parts of a browser's error and what they mean, the first that fits.
+CRAWL_ERRORS = [
+    ("ERR_NAME_NOT_RESOLVED", "Domain not found (DNS error)"), ("ERR_CONNECTION_REFUSED", "Connection refused"), ("ERR_CONNECTION_TIMED_OUT|Timeout", "Connection timeout"),
+    ("ERR_NETWORK_CHANGED", "Network changed during request"), ("ERR_CONNECTION_RESET", "Connection reset"), ("ERR_CONNECTION_CLOSED", "Connection closed"),
+    ("ERR_EMPTY_RESPONSE", "Empty response from server"), ("ERR_SSL|SSL", "SSL certificate error"), ("ERR_CERT", "Certificate error"), ("ERR_TOO_MANY_REDIRECTS", "Too many redirects"),
+    ("ERR_UNSAFE_REDIRECT", "Unsafe redirect"), ("ERR_BLOCKED_BY_CLIENT", "Blocked by client"), ("ERR_BLOCKED_BY_RESPONSE", "Blocked by response"), ("404", "Page not found (404)"),
+    ("403", "Access forbidden (403)"), ("500", "Server error (500)"), ("502", "Bad gateway (502)"), ("503", "Service unavailable (503)"), ("504", "Gateway timeout (504)"),
+]
+
+
+def crawl_error(error: Column) -> Column:
+    """A short name for an error; else its first telling line, at most 80 characters."""
+    e = F.coalesce(error, F.lit(""))
+    lines = F.filter(F.transform(F.split(e, "\n"), lambda l: F.regexp_replace(l, r"^\s+|\s+$", "")), lambda l: (l != "") & ~l.rlike(r"^(Error:|Call log:|Code context:|-|→)"))
+    short = lambda c: F.when(F.length(c) > 80, F.concat(F.substring(c, 1, 80), F.lit("..."))).otherwise(c)
+    out = F.when(e == "", "")
+    for part, name in CRAWL_ERRORS:
+        out = out.when(e.rlike(part), name)
+    return out.when(e.contains("Empty content"), e).when(F.size(lines) > 0, short(F.get(lines, F.lit(0)))).otherwise(short(e))
+
+
 def blank_to_null(text: Column) -> Column:
     return F.nullif(F.trim(text), F.lit(""))
 

@@ -6,40 +6,15 @@ captured pages, orders and line items a funnel with its pages, events a mail tra
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadmill.functions import domain as D
 from leadmill.functions import email as E
 from leadmill.functions import text as T
 from leadmill.operators import funnel, links, merge, select
-from leadmill.plans import views
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def micros(c: Column) -> Column:
-    """Microseconds since 1970 of a time with or without a zone; the session's zone is UTC."""
-    return F.unix_micros(c.cast("timestamp"))
-
+from leadmill.plans import enrich, views
+from leadmill.plans.registry import ORACLES, QUERIES, micros, query, table
 
 # Pieces of SQL that several twins share.
 HOST_SQL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^([a-z][a-z0-9+.-]*:)?//', ''), '[/?#].*$', ''), '^www\.', ''), ':\d+$', ''), '^[a-z][a-z0-9+.-]*:', ''), '\.+$', '')"""
@@ -106,9 +81,7 @@ def email_extract(spark, sf_dir):
 
 
 _LOCAL, _DOM = "split_part(email, '@', 1)", "split_part(email, '@', 2)"
-REASON_SQL = rf"""CASE WHEN length(email) < 6 THEN 'too short' WHEN length(email) > 254 THEN 'too long' WHEN length(email) - length(replace(email, '@', '')) <> 1 THEN 'number of @'
-WHEN {_LOCAL} = '' THEN 'no local part' WHEN NOT contains({_DOM}, '.') THEN 'no dot' WHEN contains({_DOM}, '..') OR starts_with({_DOM}, '.') OR ends_with({_DOM}, '.') THEN 'empty label'
-WHEN NOT regexp_matches(email, '^[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{{2,24}}$') THEN 'pattern' END"""
+REASON_SQL = enrich.reason_sql("email")
 QUALITY_SQL = f"""CASE WHEN reason IS NULL THEN greatest(0, least(100, 100 - CASE WHEN length({_LOCAL}) < 2 THEN 10 ELSE 0 END - CASE WHEN length({_DOM}) < 4 THEN 10 ELSE 0 END
 + CASE WHEN regexp_matches({_LOCAL}, 'info|contact|hello|mail|office') THEN 10 ELSE 0 END - CASE WHEN {_LOCAL} IN ('a','b','c','x','y','z') THEN 30 ELSE 0 END
 + CASE WHEN length(email) BETWEEN 10 AND 50 THEN 5 ELSE 0 END - CASE WHEN length(email) > 100 THEN 20 ELSE 0 END)) ELSE 0 END"""
