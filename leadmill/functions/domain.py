@@ -10,18 +10,14 @@ from leadmill.functions.idna import to_ascii
 SOCIAL = r"(^|\.)(facebook|instagram)\.com$"
 #: Second-level labels that are part of a public suffix.
 PUBLIC_SECOND = ["co", "com", "org", "net", "gov", "edu"]
+#: Scheme, www., a scheme without slashes (a name before a port is none), the host, trailing dots, port and the rest: one match, so that plans stay small.
+URL = r"(?s)^(?:(?:[a-z][a-z0-9+.-]*:)?//)?(?:www\.)?(?:[a-z][a-z0-9+.-]*:(?!\d+(?:[/?#]|$)))?([^/?#:]*?)\.*(?::\d+)?(?:[/?#].*)?$"
 HOST = r"^[a-z0-9]([a-z0-9-]*[a-z0-9])?(\.[a-z0-9]([a-z0-9-]*[a-z0-9])?)*$"
 
 
 def url_host(url: Column) -> Column:
     """Host of anything that looks like a URL or a bare domain, lower case, without www., port and path."""
-    c = F.lower(F.trim(url))
-    c = F.regexp_replace(c, r"^([a-z][a-z0-9+.-]*:)?//", "")
-    c = F.regexp_replace(c, r"[/?#].*$", "")
-    c = F.regexp_replace(c, r"^www\.", "")
-    c = F.regexp_replace(c, r":\d+$", "")
-    c = F.regexp_replace(c, r"^[a-z][a-z0-9+.-]*:", "")
-    return F.regexp_replace(c, r"\.+$", "")
+    return F.regexp_extract(F.lower(F.trim(url)), URL, 1)
 
 
 def valid_host(host: Column) -> Column:

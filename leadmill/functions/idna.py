@@ -1,4 +1,4 @@
-"""The three string functions Spark has no expression for, as Arrow-batched UDFs."""
+"""The three string functions Spark has no expression for, as Arrow-batched UDFs; rows that need none are passed as NULL."""
 
 from __future__ import annotations
 

@@ -37,6 +37,13 @@ def change_flags(now: DataFrame, seen: DataFrame, key: str, enrichment: str, mai
     return j.select(key, newer(enrichment, "_e").alias("enrichment_changed"), newer(mail, "_m").alias("mail_changed")).withColumn("any_changed", F.col("enrichment_changed") | F.col("mail_changed"))
 
 
+def views_due(flags: DataFrame, key: str) -> DataFrame:
+    """(key, view) of each view that the change flags call for; no change, no view."""
+    e, m = F.coalesce("enrichment_changed", F.lit(False)), F.coalesce("mail_changed", F.lit(False))
+    due = F.array(F.when(e, "jobs"), F.when(e | m, "master"), F.when(e | m, "leads"), F.when(m, "mails"))
+    return flags.select(key, F.explode(F.array_compact(due)).alias("view"))
+
+
 def release_stale(df: DataFrame, status: str, started: str, now: Column, minutes: int = 5) -> DataFrame:
     """Claims older than ``minutes``, or without a time, are given back."""
     stale = (F.col(status) == "processing") & (F.col(started).isNull() | (F.col(started) < now - F.expr(f"INTERVAL {minutes} MINUTES")))

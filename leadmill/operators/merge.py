@@ -13,24 +13,35 @@ from pyspark.sql import functions as F
 
 
 def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """DISTINCT ON: the first row of each key in ``order``, which should end in a tie-break."""
+    """DISTINCT ON: the first row of each key in ``order``, which should end in a tie-break.
+
+    Spark keeps a key's first row per task before it shuffles (WindowGroupLimit), so a hot key is one row per
+    task.  Null keys are a key of their own; an empty table gives no rows.
+    """
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
 def upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """ON CONFLICT DO UPDATE: the batch's last row per key replaces the target's."""
-    batch = last_per_key(batch, keys, order)
-    return target.join(batch, list(keys), "left_anti").unionByName(batch, allowMissingColumns=True)
+    """ON CONFLICT DO UPDATE: the batch's last row per key replaces the target's.
+
+    As in a unique index, a null key equals none: such rows of either side are all kept.  Columns of one side alone
+    are null in the other's rows; an empty batch leaves the target.
+    """
+    nameless = F.lit(False)
+    for k in keys:
+        nameless = nameless | F.col(k).isNull()
+    named = last_per_key(batch.where(~nameless), keys, order)
+    return target.join(named, list(keys), "left_anti").unionByName(named, allowMissingColumns=True).unionByName(batch.where(nameless), allowMissingColumns=True)
 
 
 def insert_if_absent(target: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """ON CONFLICT DO NOTHING; of equal keys inside the batch one is kept."""
+    """ON CONFLICT DO NOTHING; of equal keys inside the batch one is kept, and one of those with a null key."""
     return target.unionByName(batch.dropDuplicates(list(keys)).join(target, list(keys), "left_anti"), allowMissingColumns=True)
 
 
 def replace_partition(target: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Delete and reinsert: all rows of the keys in the batch are replaced by the batch."""
+    """Delete and reinsert: all rows of the keys in the batch are replaced by the batch; null keys replace none."""
     return target.join(batch.select(*keys).distinct(), list(keys), "left_anti").unionByName(batch, allowMissingColumns=True)
 
 
@@ -47,10 +58,47 @@ def update_keep_old(target: DataFrame, updates: DataFrame, keys: Sequence[str],
 
 def propagate(target: DataFrame, source: DataFrame, key: str, other_than: str, **values) -> DataFrame:
     """Set values where a source row has the same key but another ``other_than``."""
-    s = source.select(F.col(key).alias("_k"), F.col(other_than).alias("_o"))
-    hit = target.join(s, (F.col(key) == F.col("_k")) & (F.col(other_than) != F.col("_o")), "left_semi").withColumns({c: F.lit(v) for c, v in values.items()})
-    miss = target.join(s, (F.col(key) == F.col("_k")) & (F.col(other_than) != F.col("_o")), "left_anti")
-    return hit.unionByName(miss)
+    hit = has_other(target, source, key, other_than)
+    return hit.withColumns({c: F.when(F.col("_hit"), F.lit(v)).otherwise(F.col(c)) for c, v in values.items()}).drop("_hit")
+
+
+def has_other(target: DataFrame, source: DataFrame, key: str, other_than: str) -> DataFrame:
+    """``target`` with ``_hit``: a source row has the same key but another ``other_than``.
+
+    Two bounds per key say so: one of them differs unless all are equal, so the join is an equi-join of one row per key.
+    """
+    s = source.where(F.col(other_than).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.min(other_than).alias("_lo"), F.max(other_than).alias("_hi"))
+    hit = F.coalesce((F.col("_lo") != F.col(other_than)) | (F.col("_hi") != F.col(other_than)), F.lit(False))
+    return target.join(s, F.col(key) == F.col("_k"), "left").withColumn("_hit", hit).drop("_k", "_lo", "_hi")
+
+
+def update_by_other_key(target: DataFrame, updates: DataFrame, key: str, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(the updated table, ``updates`` with ``matched``): rows found by a secondary key take the updates' values.
+
+    Of several updates for one key the one with the largest values counts; a null key matches nothing.
+    """
+    one = updates.groupBy(key).agg(F.max(F.struct(*columns)).alias("_u"))
+    out = target.join(one, key, "left").withColumns({c: F.when(F.col("_u").isNotNull(), F.col(f"_u.{c}")).otherwise(F.col(c)) for c in columns}).drop("_u")
+    known = target.select(key).distinct().withColumn("_m", F.lit(True))
+    return out, updates.join(known, key, "left").withColumn("matched", F.coalesce("_m", F.lit(False))).drop("_m")
+
+
+def finalize(df: DataFrame, where: Column, **values) -> tuple[DataFrame, DataFrame]:
+    """(``df`` with the values set where the predicate holds, one row with how many ``updated``)."""
+    return update_where(df, where, **values), df.agg(F.count_if(F.coalesce(where, F.lit(False))).alias("updated"))
+
+
+def delete_by_key(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows without those whose key is in ``keys``; a null key stays."""
+    return df.join(keys.distinct(), keys.columns, "left_anti")
+
+
+def where_all(df: DataFrame, **wanted) -> DataFrame:
+    """Rows that equal every given value; a value of None asks nothing."""
+    for column, value in wanted.items():
+        if value is not None:
+            df = df.where(F.col(column) == F.lit(value))
+    return df
 
 
 def merge_candidates(existing: DataFrame, candidates: DataFrame, source: str, first: str = "hunter") -> DataFrame:

@@ -60,7 +60,11 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
 
-def nearest(vectors: DataFrame, query: Sequence[float], k: int) -> DataFrame:
-    """The k rows closest to one literal vector; a TakeOrdered, no shuffle of the table."""
-    q = F.array(*(F.lit(float(x)) for x in query))
-    return vectors.withColumn("score", F.round(cosine(F.col("embedding"), q), 6)).orderBy(F.desc("score"), "vec_id").limit(k)
+def nearest(vectors: DataFrame, query: DataFrame, k: int) -> DataFrame:
+    """The k rows closest to one query vector, ties to the smaller vec_id; a TakeOrdered, no shuffle of the table.
+
+    ``query`` is one row, broadcast.  Vectors of another length, or null, take no part; without a query vector there is no row; a
+    zero norm scores 0.
+    """
+    both = vectors.crossJoin(F.broadcast(query)).where(F.size("embedding") == F.size("query"))
+    return both.withColumn("score", F.round(cosine(F.col("embedding"), F.col("query")), 6)).orderBy(F.desc("score"), "vec_id").limit(k)

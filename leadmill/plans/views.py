@@ -2,32 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadmill.operators.merge import last_per_key
-from leadmill.streaming.streams import scratch
-
-
-def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
-    """Row numbers of all rows; ``order`` ends in a tie-break.
-
-    Ranges are sorted and numbered apart, and shifted by the rows of the ranges before; one count per range comes to the driver.
-    """
-    path = scratch(df.sparkSession)
-    walk = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    walk.write.parquet(path)
-    walk = df.sparkSession.read.schema(walk.schema).parquet(path)
-    part, local = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = sorted(tuple(r) for r in walk.groupBy(part.alias("part")).count().collect())
-    base, total = [], 0
-    for p, n in sizes:
-        base.append((p, total))
-        total += n
-    bases = df.sparkSession.createDataFrame(base, "_part long, _base long")
-    return walk.withColumn("_part", part).join(F.broadcast(bases), "_part").withColumn(name, (F.col("_base") + local + 1).cast("int")).drop("_part", "_base", "_at")
 
 
 def send_status(contacted: Column, tracker: Column, mail: Column) -> Column:
@@ -35,6 +13,11 @@ def send_status(contacted: Column, tracker: Column, mail: Column) -> Column:
     return F.when(contacted, "CONTACTED").when(F.upper(tracker) == "FAILED", "READY").otherwise(F.coalesce(mail, F.lit("VERIFY")))
 
 
+def mail_status(tracker: Column, mail: Column) -> Column:
+    """A failed tracker before the mail's own status, VERIFY where there is none."""
+    return F.when(F.upper(tracker) == "FAILED", "FAILED").otherwise(F.coalesce(F.nullif(mail, F.lit("")), F.lit("VERIFY")))
+
+
 def leads_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as leads: the latest order as enrichment, its line items as mail content, events as tracker."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadmill.operators.funnel import change_flags
+from leadmill.operators.ranks import scratch
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,11 +20,6 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='leadmill-stream-')}"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Write what there is to a Parquet table in the shared folder and read it."""
     spark, path = stream.sparkSession, scratch(stream.sparkSession)

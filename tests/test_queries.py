@@ -9,7 +9,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from leadmill.plans import catalogue, views
+from leadmill.operators import ranks
+from leadmill.plans import catalogue
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages embeddings benchmark labels conversations".split()
 
@@ -46,9 +47,9 @@ def test_runs(spark, smoke_dir, name):
 def test_all_rows_are_numbered_in_ranges(spark, smoke_dir):
     """Every order gets its rank, nulls last, and no task ranks them all."""
     o = catalogue.table(spark, smoke_dir, "orders").selectExpr("o_orderkey", "if(o_orderkey % 5 = 0, null, o_custkey) as m").repartition(3)
-    out = views.numbered(o, [F.desc_nulls_last("m"), F.asc("o_orderkey")], "rank")
+    out = ranks.numbered(o, [F.desc_nulls_last("m"), F.asc("o_orderkey")], "rank")
     assert "Window" not in out._jdf.queryExecution().toString()
     rows = sorted((r.rank, r.m is None, -(r.m or 0), r.o_orderkey) for r in out.collect())
     assert [r[0] for r in rows] == list(range(1, o.count() + 1))
     assert [r[1:] for r in rows] == sorted(r[1:] for r in rows)
-    assert views.numbered(o.where("false"), [F.asc("o_orderkey")], "rank").count() == 0
+    assert ranks.numbered(o.where("false"), [F.asc("o_orderkey")], "rank").count() == 0
