@@ -35,7 +35,7 @@ def with_ascii_domain(df: DataFrame, url: str, name: str = "domain") -> DataFram
 
     The host is a column of its own, so that the chain of expressions is generated once, before the Arrow UDF.
     """
-    return df.withColumn("_host", url_host(F.col(url))).withColumn("_ascii", to_ascii(F.col("_host"))).withColumn(name, valid_host(F.col("_ascii"))).drop("_host", "_ascii")
+    return df.withColumn("_host", url_host(F.col(url))).withColumn("_ascii", F.coalesce(to_ascii(F.when(F.col("_host").rlike(r"[^\x00-\x7F]"), F.col("_host"))), F.when(~F.col("_host").rlike(r"[^\x00-\x7F]"), F.col("_host")))).withColumn(name, valid_host(F.col("_ascii"))).drop("_host", "_ascii")
 
 
 def normalize_domain_loose(url: Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,7 +25,6 @@ PAGE_PRIORITY = {"impressum": 100, "imprint": 100, "contact": 90, "kontakt": 90,
 GENERIC_LOCALS = ["info", "kontakt", "hello", "office", "support", "mail", "contact"]
 VENDOR_WORDS = ["valantic", "agency", "marketing", "digital", "web", "hosting", "media", "consulting"]
 ROT13_FROM, ROT13_TO = "abcdefghijklmnopqrstuvwxyz", "nopqrstuvwxyzabcdefghijklm"
-OBFUSCATED = [(r"\s*[\[({]\s*at\s*[\])}]\s*", "@"), (r"\s+at\s+", "@"), (r"\s*[\[({]\s*dot\s*[\])}]\s*", "."), (r"\s+dot\s+", "."), (r"\s*[\[(]\s*punkt\s*[\])]\s*", "."), (r"\s+punkt\s+", ".")]
 
 
 def only_local(email: Column) -> Column:
@@ -54,14 +51,8 @@ def normalize_email(email: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(F.coalesce(email, F.lit("")))), r"^[<>.,;:]+|[<>.,;:]+$", "")
 
 
-def deobfuscate(text: Column) -> Column:
-    """[at], (dot), punkt and their likes; eats the blanks around them."""
-    return reduce(lambda c, p: F.regexp_replace(c, f"(?i){p[0]}", p[1]), OBFUSCATED, text)
-
-
-def extract(text: Column, deobfuscated: bool = False) -> Column:
-    """Distinct lower-case addresses of a text, in order."""
-    text = deobfuscate(text) if deobfuscated else text
+def extract(text: Column) -> Column:
+    """Distinct lower-case addresses of a text as it stands, in order; ``extraction.addresses`` undoes disguises."""
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"({PATTERN})"), F.lit(1)), F.lower))
 
 

@@ -27,7 +27,10 @@ def guardrail(df: DataFrame, keys: Sequence[str], raw: str, protected: Column, o
 
 
 def group_evidence(df: DataFrame, keys: Sequence[str], value: Column, evidence: Column, seq: Column, rank: Column | None = None) -> DataFrame:
-    """Values grouped without case: first-seen spelling, evidence in order of rank and then seq."""
+    """Values grouped without case: first-seen spelling, evidence in order of rank and then seq.
+
+    The evidence is a list in one row, for values that few rows name; ``evidence.grouped`` keeps it in rows.
+    """
     rank = rank if rank is not None else F.lit(0)
     d = df.select(*keys, value.alias("_v"), F.struct(rank.alias("rank"), seq.alias("seq"), evidence.alias("evidence")).alias("_e"), seq.alias("_s"))
     d = d.where(F.trim("_v") != "").groupBy(*keys, F.lower(F.trim("_v")).alias("key"))

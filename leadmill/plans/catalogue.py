@@ -52,9 +52,9 @@ def domain_other_readings(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", D.normalize_domain_loose(u).alias("loose"), D.normalize_domain_text(u).alias("literal"))
 
 
-@query()
+@query(f"SELECT domain, count(*) AS pages FROM (SELECT {DOMAIN_SQL} AS domain FROM pages UNION ALL SELECT unnest(['xn--bhler-hrimarkt-vpbg.de', 'xn--superimmunitt-mfb.de'])) GROUP BY 1")
 def idna_domain(spark, sf_dir):
-    """Non-ASCII hosts through the Arrow UDF, the pages' own hosts beside them."""
+    """Hosts outside ASCII through the Arrow UDF, the pages' own hosts beside them; what the two must become is stated beside."""
     given = table(spark, sf_dir, "pages").select("url")
     extra = spark.createDataFrame([("http://www.böhler-hörimarkt.de/",), ("https://superimmunität.de/x",)], "url string")
     return D.with_ascii_domain(given.unionByName(extra), "url").groupBy("domain").agg(F.count("*").alias("pages"))
@@ -138,8 +138,8 @@ def guardrail_select(spark, sf_dir):
 @query("""SELECT lower(trim(p_type)) AS key, min_by(trim(p_type), p_partkey) AS value, array_to_string(list(p_brand ORDER BY CASE WHEN p_brand = 'Brand#11' THEN 0 ELSE 1 END, p_partkey), '|') AS evidence
 FROM part WHERE trim(p_type) <> '' GROUP BY ALL""")
 def company_group_evidence(spark, sf_dir):
-    p = table(spark, sf_dir, "part").withColumn("one", F.lit(1))
-    g = select.group_evidence(p, ["one"], F.col("p_type"), F.col("p_brand"), F.col("p_partkey"), F.when(F.col("p_brand") == "Brand#11", 0).otherwise(1))
+    p = table(spark, sf_dir, "part")
+    g = select.group_evidence(p, [], F.col("p_type"), F.col("p_brand"), F.col("p_partkey"), F.when(F.col("p_brand") == "Brand#11", 0).otherwise(1))
     return g.select("key", "value", F.array_join("evidence", "|").alias("evidence"))
 
 
@@ -406,32 +406,9 @@ def anchor_links(spark, sf_dir):
     return links.tagged_links(table(spark, sf_dir, "pages"), links.ANCHOR, 1).select("page_id", "pos", "href")
 
 
-@query()
-def link_topk(spark, sf_dir):
-    """Six best links of a page, absolute, entities undone."""
-    p = table(spark, sf_dir, "pages")
-    l = links.resolve(links.tagged_links(p, links.ANCHOR, 1).where(links.fetchable(F.col("href"))), p).withColumn("score", links.score(F.col("href"), F.col("text")))
-    return select.top_n(l, ["page_id"], [F.desc("score"), F.asc("pos")], 6).select("page_id", "rank", "href", "score")
-
-
-@query()
-def tier_cascade(spark, sf_dir):
-    """Anchors before buttons, per page and kind."""
-    p = table(spark, sf_dir, "pages")
-    both = links.tagged_links(p, links.ANCHOR, 1).unionByName(links.tagged_links(p, links.BUTTON, 3))
-    return links.cascade(both).select("page_id", "kind", "tier", "pos", "href")
-
-
-@query()
-def html_unescape_text(spark, sf_dir):
-    from leadmill.functions.idna import html_unescape
-
-    return table(spark, sf_dir, "pages").select("page_id", T.squeeze(html_unescape(T.strip_html(F.col("html")))).alias("text"))
-
-
 # -- views and streams ------------------------------------------------------------------------------
 
-from leadmill.plans import mailing  # noqa: E402, F401
+from leadmill.plans import crawling, discovery, mailing  # noqa: E402, F401
 
 QUERIES["leads_view"], ORACLES["leads_view"] = views.leads_view, views.LEADS_SQL
 QUERIES["jobs_view"], ORACLES["jobs_view"] = views.jobs_view, views.JOBS_SQL
@@ -439,4 +416,4 @@ QUERIES["jobs_view"], ORACLES["jobs_view"] = views.jobs_view, views.JOBS_SQL
 from leadmill.streaming import streams  # noqa: E402
 
 QUERIES |= streams.QUERIES
-ORACLES |= streams.ORACLES
+ORACLES |= streams.ORACLES | {"stream_crawl": enrich.CRAWL_SQL}

@@ -8,8 +8,8 @@ from leadmill.functions import domain as D
 from leadmill.functions import email as E
 from leadmill.functions import extraction as X
 from leadmill.functions import text as T
-from leadmill.operators import evidence
-from leadmill.plans.registry import Sample, query, shared, table
+from leadmill.operators import evidence, records
+from leadmill.plans.registry import Sample, micros, query, shared, table
 
 # -- SQL of the twins ----------------------------------------------------------------------
 
@@ -211,7 +211,8 @@ _HOST = r"regexp_replace(regexp_replace(lower(url), '^[a-z]+://(www\.)?', ''), '
 _PAGES_SQL = f"(SELECT * FROM {CAPTURED.sql} UNION ALL SELECT page_id::BIGINT, {_HOST}, url, NULL, CASE WHEN page_id % 3 = 0 THEN 'contact' ELSE 'other' END, html, NULL, NULL FROM pages)"
 
 
-def _pages(spark, sf_dir):
+def captured_pages(spark, sf_dir):
+    """Planted captures, and all pages as captures."""
     own = table(spark, sf_dir, "pages").select(
         F.col("page_id").cast("long").alias("page_id"), F.expr(_HOST.replace("\\", "\\\\")).alias("domain"), "url", F.lit(None).cast("string").alias("final_url"), F.when(F.col("page_id") % 3 == 0, "contact").otherwise("other").alias("page_type"),
         F.col("html").alias("cleaned_html"), F.lit(None).cast("string").alias("markdown"), F.lit(None).cast("string").alias("error"),
@@ -230,7 +231,7 @@ def stage_one_pages(spark, sf_dir):
     """What stage one stores of every page, with an empty list where it finds nothing, and the page's status."""
     blank = X.page_text(F.col("cleaned_html"), F.col("markdown")) == ""
     failed = F.coalesce(F.col("error"), F.lit("")) != ""
-    d = X.page_emails(_pages(spark, sf_dir))
+    d = X.page_emails(captured_pages(spark, sf_dir))
     status = F.when(failed | blank, "failed").otherwise("succeeded")
     kind = F.coalesce(T.blank_to_null(F.lower("page_type")), F.lit("other"))
     return d.select("page_id", kind.alias("page_type"), status.alias("status"), F.when(failed, F.col("error")).when(blank, "empty_content").alias("error"), F.to_json("emails").alias("emails_json"))
@@ -248,7 +249,7 @@ k AS (SELECT *, round(CASE WHEN own THEN 1000 ELSE 0 END + p * 0.4 + greatest(0,
 SELECT domain, (row_number() OVER (PARTITION BY domain ORDER BY score DESC, email))::INTEGER AS rank, email, u AS source_url, score FROM k QUALIFY rank <= 5""")
 def domain_emails(spark, sf_dir):
     """The five best addresses of each domain over all of its pages."""
-    return X.emails_of_domains(_pages(spark, sf_dir))
+    return X.emails_of_domains(captured_pages(spark, sf_dir))
 
 
 # -- evidence, selection, aggregation -------------------------------------------------------------
@@ -317,7 +318,7 @@ def evidence_contacts(spark, sf_dir):
 
 @query(f"SELECT * FROM {_grouped_sql(_PLAIN)}")
 def evidence_plain_emails(spark, sf_dir):
-    return evidence.grouped(evidence.plain_emails(_det(extracted_pages(spark, sf_dir)), KEYS), KEYS)
+    return evidence.grouped(evidence.plain_emails(_det(extractedcaptured_pages(spark, sf_dir)), KEYS), KEYS)
 
 
 _REG = lambda d: f"CASE WHEN len(string_split({d}, '.')) >= 3 AND string_split({d}, '.')[-2] IN ('co','com','org','net','gov','edu') THEN array_to_string(string_split({d}, '.')[-3:], '.') ELSE array_to_string(string_split({d}, '.')[-2:], '.') END"
@@ -430,3 +431,51 @@ def url_parts(spark, sf_dir):
     """Hosts, home pages and same-site checks on one row per case."""
     u = F.col("url")
     return URLS.df(spark).select("id", D.host(u).alias("host"), D.bare_host(u).alias("api_domain"), D.normalize_domain(u).alias("domain"), D.home_url(u).alias("home"), D.same_site(u, F.lit("www.firma.de")).alias("same"))
+
+
+CRAWL_SQL = f"""SELECT domain, count(*) AS pages, CASE WHEN max(status = 'failed') THEN 'failed' ELSE 'succeeded' END AS status, sum(found)::BIGINT AS found FROM (SELECT p.domain, CASE WHEN coalesce(error, '') <> '' OR {_TEXT_SQL} = '' THEN 'failed' ELSE 'succeeded' END AS status,
+(SELECT count(*) FROM (SELECT *, {reason_sql('email')} AS reason FROM {_STAGE}) s WHERE s.page_id = p.page_id AND NOT ({system_sql('email')}) AND NOT {asset_sql('email')} AND {quality_sql('email')} >= 50) AS found FROM {_PAGES_SQL} p) GROUP BY 1"""
+
+
+# -- model records -----------------------------------------------------------------------------
+
+SECTIONS = Sample(
+    "id long, section string",
+    (
+        (1, '{"source_url": "https://a.de", "extracted": {"emails": [{"email": " x@a.de ", "evidence": {"quote": "mail x"}}, {"email": "bad", "evidence": {"quote": "q"}}, {"email": "y@a.de"}], "contacts": [{"name": " Ann ", "role": "CEO", "evidence": {"quote": "' + "q" * 320 + '"}}, {"name": "", "evidence": {"quote": "n"}}, {"name": "Bo", "evidence": {"quote": "bo"}}]}}'),
+        (2, '{"source_url": "", "extracted": {"emails": [{"email": "z@a.de", "evidence": {"quote": "mail"}}]}}'), (3, "oops"), (4, None), (5, '{"source_url": "https://b.de", "extracted": {"contacts": [{"name": "' + "n" * 161 + '", "role": null, "evidence": {"quote": "long name"}}]}}'),
+    ),
+)
+SECTIONS_READ = Sample(
+    "id long, kind string, value string, role string, url string, quote_length int, problems string",
+    ((1, "email", "x@a.de", None, "https://a.de", 6, ""), (1, "contact", "Ann", "CEO", "https://a.de", 300, ""), (1, "contact", "Bo", None, "https://a.de", 2, "quote short"), (5, "contact", "n" * 161, None, "https://b.de", 9, "name long")),
+)
+
+
+@query(f"SELECT * FROM {SECTIONS_READ.sql}")
+def model_records(spark, sf_dir):
+    """Sections of a model's answer flattened, quotes cut, lengths checked; stated beside."""
+    s = SECTIONS.df(spark)
+    quote = records.short_quote(F.col("quote"))
+    mails = records.section_emails(s, ["id"]).withColumn("quote", quote)
+    people = records.section_contacts(s, ["id"]).withColumn("quote", quote)
+    mails = records.checked(mails, {"quote": "quote"}).select("id", F.lit("email").alias("kind"), F.col("email").alias("value"), F.lit(None).cast("string").alias("role"), "url", "quote", "problems")
+    people = records.checked(people, {"name": "name", "role": "role", "quote": "quote"}, optional=["role"]).select("id", F.lit("contact").alias("kind"), F.col("name").alias("value"), "role", "url", "quote", "problems")
+    return mails.unionByName(people).select("id", "kind", "value", "role", "url", F.length("quote").alias("quote_length"), F.array_join("problems", "; ").alias("problems"))
+
+
+@query("SELECT count(*) AS returned, count(*) FILTER (page_id % 3 = 0) AS kept, max(length(html)) AS longest FROM pages")
+def source_counters(spark, sf_dir):
+    """Counters of a source taken while its rows are written: no pass of their own."""
+    from leadmill.operators.ranks import scratch
+
+    p = table(spark, sf_dir, "pages").select("page_id", "html")
+    watched, seen = records.observed(p, "pages", returned=F.count("*"), kept=F.count_if(F.col("page_id") % 3 == 0), longest=F.max(F.length("html")).cast("long"))
+    watched.write.parquet(scratch(spark))
+    return spark.createDataFrame([tuple(seen.get[c] for c in ("returned", "kept", "longest"))], "returned long, kept long, longest long")
+
+
+@query("SELECT event_id, event_type, epoch_us(ts) AS us FROM events ORDER BY ts DESC, event_id DESC LIMIT 100")
+def recent_events(spark, sf_dir):
+    """The last hundred events: a report."""
+    return table(spark, sf_dir, "events").select("event_id", "event_type", micros(F.col("ts")).alias("us")).orderBy(F.desc("us"), F.desc("event_id")).limit(100)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leadmill import schemas
 from leadmill.functions import text as T
 from leadmill.operators import jobs, merge, ranks, sheets
 from leadmill.plans.leads import lead_table, sql
@@ -288,3 +289,13 @@ def views_to_refresh(spark, sf_dir):
 
     flags = lead_table(spark, sf_dir, "enrichment").groupBy("request_id").agg(F.max(F.col("updated_us") % 3 == 0).alias("enrichment_changed"), F.max(F.col("updated_us") % 7 == 1).alias("mail_changed"))
     return views_due(flags, "request_id")
+
+
+OLDER = Sample("request_id string, domain string, organisation string, updated_at string, gone string", (("r1", "a.de", "A", "2024-05-01 10:00:00", "x"), ("r2", None, None, None, None)))
+
+
+@query("SELECT request_id, NULL::VARCHAR AS job_id, domain, organisation, NULL::VARCHAR AS company, NULL::VARCHAR AS send_status, epoch_us(updated_at::TIMESTAMP) AS updated_us FROM " + OLDER.sql)
+def schema_conform(spark, sf_dir):
+    """Rows of an older table in today's columns: missing ones null, others gone, types cast."""
+    d = schemas.conform(OLDER.df(spark), schemas.TABLES["mail_content"])
+    return d.select("request_id", "job_id", "domain", "organisation", "company", "send_status", F.unix_micros(F.col("updated_at").cast("timestamp")).alias("updated_us"))
