@@ -100,8 +100,8 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
             yield batch.slice(a, b - a)
 
 
-def split_words(texts: pa.Array, lower: bool = False, raw: bool = False) -> tuple[np.ndarray, np.ndarray, list]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of each text: (code per word, bounds per text, distinct words, as bytes if ``raw``)."""
+def split_words(texts: pa.Array, lower: bool = False, raw: bool = False, arrow: bool = False) -> tuple[np.ndarray, np.ndarray, list]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of each text: (code per word, bounds per text, distinct words, as bytes if ``raw``, as an Arrow array if ``arrow``)."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     lists = pc.ascii_split_whitespace(texts)
     flat = lists.flatten()
@@ -111,8 +111,8 @@ def split_words(texts: pa.Array, lower: bool = False, raw: bool = False) -> tupl
     bounds = bounds - bounds[0]
     coded = flat.dictionary_encode()
     codes = np.asarray(coded.indices, dtype=np.int64)
-    words = coded.dictionary.cast(pa.large_binary()) if raw else coded.dictionary
-    words = words.to_numpy(zero_copy_only=False).tolist()
+    words = coded.dictionary.cast(pa.large_binary() if raw else pa.string() if arrow else pa.large_string())
+    words = words if arrow else words.to_numpy(zero_copy_only=False).tolist()
     full = np.asarray(pc.greater(pc.binary_length(flat), 0)) if len(flat) else np.zeros(0, bool)
     if not full.all():
         kept = np.concatenate(([0], np.cumsum(full)))

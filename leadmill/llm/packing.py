@@ -16,18 +16,36 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadmill.llm.common import bound_batches, slices, split_words, tidy
 
-#: Most words, and most pieces of words, whose ids a worker keeps.
-CACHE_WORDS = 100_000
+#: Most words whose ids a worker keeps, about 50 MB.
+CACHE_WORDS = 250_000
 END_ID = 1
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII punctuation but the apostrophe, which starts contractions
 
 
+def _parts(words: pa.Array) -> tuple[list[str], list[str]]:
+    """(what is encoded, punctuation behind it) of each word: ASCII words without ``<|`` in lower case, letters apart from a tail.
+
+    A capital I with a dot becomes a letter and a mark, which joins a tail, so words with it are not split.
+    """
+    plain = pc.and_(pc.equal(pc.binary_length(words), pc.cast(pc.utf8_length(words), pa.int32())), pc.invert(pc.match_substring(words, "<|")))
+    low = pc.if_else(plain, pc.ascii_lower(words), words)
+    base = pc.utf8_rtrim(low, _TAIL)
+    split = pc.and_(pc.and_(pc.not_equal(pc.binary_length(base), pc.binary_length(low)), pc.utf8_is_alpha(base)), pc.match_substring_regex(base, r"^[\x{0}-\x{12F}\x{131}-\x{24F}]+$"))
+    listed = lambda x: x.to_numpy(zero_copy_only=False).tolist()
+    bases, tails = listed(pc.if_else(split, base, low)), [""] * len(words)
+    at = np.flatnonzero(np.asarray(split))
+    for i, w in zip(at.tolist(), listed(low.take(pa.array(at))), strict=True):
+        tails[i] = w[len(bases[i]) :]
+    return bases, tails
+
+
 class WordEncoder:
     """Ids of whole texts, word by word, with a bounded cache.
 
@@ -43,15 +61,34 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.known, self.whole = Tokenizer.from_file(path), cache_words, {"": b""}, {}
+        self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), cache_words, {"": b""}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a pre-token
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def _encode(self, words: list[str]) -> None:
-        """Add the ids of ``words`` to the cache; 64 at a time make one input, but those that may hold a special token."""
+        """Add the ids of ``words`` to the cache: letters 128 at a time in one line, others 64 at a time, each alone that may hold a special token."""
+        lines, rest = [], []
+        simple = [w for w in words if w.isalpha() and max(w) < "ɐ"]
+        for at in range(0, len(simple), 128):
+            lines.append(simple[at : at + 128])
+        for group, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(g) for g in lines], add_special_tokens=False), strict=True):
+            # A run of letters is one pre-token, and its last id says so; where a letter changes on the way, the words go the longer way.
+            ids = np.array(e.ids, np.uint32)
+            cuts = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            if len(cuts) == len(group):
+                raw, a = ids.tobytes(), 0
+                for w, b in zip(group, cuts, strict=True):
+                    self.known[w] = raw[a:b]
+                    a = b
+            else:
+                rest += group
         for w in words:
             if "<|" in w:
                 self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32).tobytes()
-        words = [w for w in words if "<|" not in w]
-        groups = [words[i : i + 64] for i in range(0, len(words), 64)]
+        taken = set(simple)
+        rest += [w for w in words if "<|" not in w and w not in taken]
+        groups = [rest[i : i + 64] for i in range(0, len(rest), 64)]
         for group, e in zip(groups, self.tokenizer.encode_batch(groups, is_pretokenized=True, add_special_tokens=False), strict=True):
             ids, at = np.array(e.ids, np.uint32), np.array(e.word_ids, np.int64)
             cuts = np.searchsorted(at, np.arange(len(group) + 1))
@@ -61,22 +98,15 @@ class WordEncoder:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in a row, bounds per text)."""
-        codes, bounds, words = split_words(texts)
-        if len(self.known) > self.limit or len(self.whole) > self.limit:
-            self.known, self.whole = {"": b""}, {}
-        whole, known = self.whole, self.known
-        parts = {}
-        for w in words:
-            if w not in whole:
-                low = w.lower() if w.isascii() and "<|" not in w else w
-                base = low.rstrip(_TAIL)
-                parts[w] = (base, low[len(base) :]) if len(base) != len(low) and base.isalpha() and max(base) < "ɐ" else (low, "")
-        new = {p for two in parts.values() for p in two if p not in known}
+        codes, bounds, words = split_words(texts, arrow=True)
+        bases, tails = _parts(words)
+        if len(self.known) > self.limit:
+            self.known = {"": b""}
+        known = self.known
+        new = {p for p in (*bases, *set(tails)) if p not in known}
         if new:
             self._encode(list(new))
-        for w, (a, b) in parts.items():
-            whole[w] = known[a] + known[b]
-        raw = [whole[w] for w in words]
+        raw = [known[a] + known[b] for a, b in zip(bases, tails, strict=True)]
         size = np.fromiter(map(len, raw), np.int64, len(raw)) >> 2
         flat = np.frombuffer(b"".join(raw), np.uint32)
         begin = np.cumsum(size) - size

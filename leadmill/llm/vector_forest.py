@@ -11,6 +11,7 @@ pairs; of a leaf's links a spanning forest is kept, which joins what the links j
 
 from __future__ import annotations
 
+import functools
 import math
 import pickle
 from collections.abc import Iterator
@@ -33,6 +34,7 @@ SLICE_ROWS, PART_ROWS = 4096, 100_000
 SEED = 11
 
 
+@functools.lru_cache(maxsize=4096)
 def direction(tree: int, level: int, dimension: int) -> np.ndarray:
     """The unit vector that a level of a tree splits by, the same for all labels."""
     d = np.random.default_rng((SEED, tree, level)).normal(size=dimension)

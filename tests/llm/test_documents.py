@@ -156,3 +156,20 @@ def test_packing_folds_no_control_token_and_no_composed_letter(spark):
     texts = ["<|ENDOFTEXT|>", "a<|EndOfText|>B", "<|endoftext|>", "<|StartOfText|> X", "H\u0331", "T\u0308", "xT\u0308y, H\u0331.", "É ÀB, ABC! <|", "E\u0301A"]
     rows = list(enumerate(texts))
     check_packing(rows, packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), queries.tokenizer_path()).collect(), least=0)
+
+
+def test_the_encoder_is_the_tokenizer():
+    """Random texts of letters, marks, digits, signs and control strings, with a cache so small that it is cleared."""
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    t, encode, r = Tokenizer.from_file(path), packing.WordEncoder(path, cache_words=300), random.Random(1)
+    letters = [*"abcXYZ äöüßÉİıǅ'’s.,!-<|>0123456789\n\t日本🙂ΣςŉĲ", "\u0331", "\u0308", "<|endoftext|>", "<|STARTOFTEXT|>", "'s", "'LL", " the", "  "]
+    for _ in range(40):
+        texts = ["".join(r.choice(letters) for _ in range(r.randrange(60))) for _ in range(80)] + [None, ""]
+        ids, bounds = encode(pa.array(texts, pa.string()))
+        for text, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True):
+            assert ids[a:b].tolist() == t.encode(text or "", add_special_tokens=False).ids, text
