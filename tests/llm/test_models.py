@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from leadmill.llm import langid, mixing, quality, queries
 
@@ -74,14 +75,37 @@ def test_more_languages_than_a_mask_word_has_bits(spark):
 
 def test_mixing_meets_its_targets(spark):
     docs = queries.table(spark, SF, "documents")
-    n = docs.where("text is not null").selectExpr("sum(n_chars)").first()[0]
-    out = mixing.mix(docs, rounds=4)
-    kept = out.where("_mix_kept").selectExpr("sum(n_chars)").first()[0]
-    assert 0.3 < kept / n < 0.7
-    p = [r[0] for r in out.select("_mix_probability").distinct().collect()]
-    assert all(0 <= x <= 1 for x in p)
-    weight = out.groupBy("_mix_lang").agg({"*": "count"}).count()
-    assert weight == docs.select("lang").distinct().count()
+    cells = mixing.materialize(mixing.token_cells(mixing.describe(docs)))
+    targets = mixing.default_targets(cells)
+    raked = mixing.rake(cells, targets)
+    marginals = mixing.reached(raked, targets).collect()
+    assert len({r.dimension for r in marginals}) == 3
+    for d in mixing.DIMENSIONS:
+        assert abs(sum(r.target for r in marginals if r.dimension == d) - 1) < 1e-9
+    assert max(abs(r.target - r.share) for r in marginals) < 0.003
+    have, want = cells.agg({"tokens": "sum"}).first()[0], raked.agg({"weight": "sum"}).first()[0]
+    assert abs(want / have - mixing.KEEP) < 0.003
+    out = mixing.mix(docs)
+    kept = {r[0]: r[1] for r in out.where("_mix_kept").groupBy("_mix_source").sum("_mix_tokens").collect()}
+    total = sum(kept.values())
+    for r in marginals:
+        if r.dimension == "source":
+            assert abs(kept.get(r.value, 0) / total - r.target) < 0.03
+
+
+def test_mixing_to_given_targets(spark):
+    """Targets of the caller over cells that can meet them, and a topic column of the caller's."""
+    rows = [(i, "w " * 10, f"s{i % 2}", f"l{i % 3}", "odd" if i % 5 == 0 else "even") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, kind string")
+    share = lambda **x: spark.createDataFrame(list(x.items()), "value string, target double")
+    targets = {"source": share(s0=0.7, s1=0.3), "lang": share(l0=0.5, l1=0.25, l2=0.25), "topic": share(odd=0.3, even=0.7)}
+    cells = mixing.materialize(mixing.token_cells(mixing.describe(docs, F.col("kind"))))
+    got = mixing.reached(mixing.rake(cells, targets, keep=0.3), targets).collect()
+    assert max(abs(r.target - r.share) for r in got) < 1e-6
+    out = mixing.mix(docs, targets, keep=0.3, topic=F.col("kind")).where("_mix_kept")
+    assert abs(out.count() / 3000 - 0.3) < 0.05 and abs(out.where("source = 's0'").count() / out.count() - 0.7) < 0.05
+    lost = mixing.mix(docs, {**targets, "lang": share(l0=1.0)}, keep=0.1, topic=F.col("kind"))
+    assert lost.where("_mix_kept and lang <> 'l0'").count() == 0
 
 
 def test_mixing_awkward(documents):
