@@ -2,7 +2,8 @@
 
 score = sigmoid(w0 + sum w_i x_i + 1/2 sum_f ((sum v_if x_i)^2 - sum v_if^2 x_i^2)): all pairwise
 interactions in time linear in a text's features.  Features are computed in the tasks
-for whole texts; the machine is fitted with numpy on a bounded sample of labelled rows.
+for whole texts; the machine is fitted with numpy on a bounded sample of labelled rows, and
+its margins are calibrated on halves that it has not seen.
 """
 
 from __future__ import annotations
@@ -93,9 +94,13 @@ def features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 @dataclass
 class Machine:
+    """``slope`` and ``shift`` turn a margin into the log odds of label 1."""
+
     w0: float
     w: np.ndarray
     v: np.ndarray
+    slope: float = 1.0
+    shift: float = 0.0
 
     def margin(self, row: np.ndarray, ids: np.ndarray, x: np.ndarray, n_rows: int) -> np.ndarray:
         first = np.searchsorted(row, np.arange(n_rows))
@@ -137,6 +142,40 @@ def fit(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, epochs:
     return m
 
 
+def likelihood(margin: np.ndarray, slope: float = 1.0, shift: float = 0.0) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(slope * margin + shift, -40, 40)))
+
+
+def calibrate(margin: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 40) -> tuple[float, float]:
+    """Slope and shift of the logistic fit of labels to margins of rows that the machine did not see.
+
+    The fit weighs both labels alike, this gives their shares back.  A little ridge keeps slopes finite where the margins part the labels.
+    """
+    beta, x = np.array([1.0, 0.0]), np.stack([margin, np.ones(len(margin))], axis=1)
+    prior = np.array([1.0, 0.0])
+    for _ in range(steps):
+        p = likelihood(x @ beta)
+        slope = x.T @ (p - y) + ridge * len(y) * (beta - prior)
+        curve = (x * (p * (1 - p))[:, None]).T @ x + ridge * len(y) * np.eye(2)
+        beta = beta - np.linalg.solve(curve, slope)
+    return float(max(beta[0], 1e-3)), float(beta[1])
+
+
+def fit_calibrated(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray) -> Machine:
+    """A machine of all rows; each half of them, seen by a machine of the other half, calibrates it.  Under 40 rows of either label nothing is calibrated."""
+    machine = fit(rows, values, y)
+    if min((y > 0.5).sum(), (y <= 0.5).sum()) < 40:
+        return machine
+    margin, half = np.zeros(len(y)), np.arange(len(y)) % 2
+    for side in (0, 1):
+        seen, unseen = np.flatnonzero(half != side), np.flatnonzero(half == side)
+        part = fit([rows[i] for i in seen], [values[i] for i in seen], y[seen])
+        row = np.repeat(np.arange(len(unseen)), [len(rows[i]) for i in unseen])
+        margin[unseen] = part.margin(row, np.concatenate([rows[i] for i in unseen]), np.concatenate([values[i] for i in unseen]), len(unseen))
+    machine.slope, machine.shift = calibrate(margin, y)
+    return machine
+
+
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "text"):
@@ -157,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     # Tasks may end in any order; the fit does not depend on it.
     rows, xs, y = [np.asarray(v.values) for v in got.column("ids")], [np.asarray(v.values) for v in got.column("x")], np.asarray(got.column("quality"), np.float32)
     order = sorted(range(len(y)), key=lambda i: (float(y[i]), rows[i].tobytes()))
-    return fit([rows[i] for i in order], [xs[i] for i in order], y[order])
+    return fit_calibrated([rows[i] for i in order], [xs[i] for i in order], y[order])
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
@@ -169,8 +208,9 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                margin = shared.value.margin(*features(batch), batch.num_rows)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(1 / (1 + np.exp(-np.clip(margin, -40, 40))), pa.float64())], [*carried, "score"])
+                m: Machine = shared.value
+                margin = m.margin(*features(batch), batch.num_rows)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(likelihood(margin, m.slope, m.shift), pa.float64())], [*carried, "score"])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 

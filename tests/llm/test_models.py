@@ -42,6 +42,56 @@ def test_margin_is_the_pairwise_sum():
     assert np.isclose(m.margin(np.zeros(4, int), ids, x, 1)[0], 0.3 + m.w[ids] @ x + pairs)
 
 
+def plain_features(text, n_chars):
+    """{feature: value} of one text, word by word and character by character."""
+    import re
+
+    import numpy as np
+    import xxhash
+
+    raw = (text or "").encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    bucket = [xxhash.xxh3_64_intdigest(w, 0) % quality.WORD_BUCKETS for w in words]
+    kinds = {b: bucket.count(b) for b in set(bucket)}
+    n, size, lines = max(len(words), 1), max(len(raw), 1), (text or "").split("\n")
+    of = lambda c: sum(quality._CLASS[b] == c for b in raw) / size
+    stats = [
+        *(of(c) for c in range(6)), of(6) * 4, len(kinds) / n, max(kinds.values(), default=0) / n,
+        sum(quality._CLASS[w[-1]] in (4, 6) or w[-2:] == b"!!" for w in words) / n, 1 - len(set(lines)) / len(lines), sum(a == b for a, b in zip(words, words[1:])) / n,
+        len(words), len(lines), sum(map(len, words)) / n, n / len(lines), -1 if n_chars is None else n_chars,
+    ]
+    out = {b: 1 / np.sqrt(len(kinds)) for b in kinds}
+    for i, ((_, edges), x) in enumerate(zip(quality.STRUCTURE, stats, strict=True)):
+        out[quality.WORD_BUCKETS + i * quality._WIDTH + int(np.searchsorted(edges, x, "right"))] = 0.5
+    return out
+
+
+def test_quality_plain_version(spark, documents):
+    """Scores of awkward rows and of a table against features and pairs computed one by one."""
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    m = quality.Machine(0.1, r.normal(scale=0.3, size=quality.DIMENSION), r.normal(scale=0.1, size=(quality.DIMENSION, 3)), 1.3, -0.2)
+    for docs in (documents, queries.table(spark, "/root/testdata/sf0.001", "documents")):
+        for row in quality.score(docs.select("doc_id", "text", "n_chars"), m).collect():
+            f = plain_features(row.text, row.n_chars)
+            ids = sorted(f)
+            x = np.array([f[i] for i in ids])
+            g = (m.v[ids] @ m.v[ids].T) * np.outer(x, x)
+            margin = m.w0 + m.w[ids] @ x + (g.sum() - np.trace(g)) / 2
+            assert abs(row.score - 1 / (1 + np.exp(-(1.3 * margin - 0.2)))) < 1e-4
+
+
+def test_calibration_gives_shares_back():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    margin = r.normal(size=20_000) * 2
+    y = (r.random(20_000) < 1 / (1 + np.exp(-(0.5 * margin - 1)))).astype(float)
+    slope, shift = quality.calibrate(margin, y)
+    assert abs(slope - 0.5) < 0.05 and abs(shift + 1) < 0.1
+
+
 def test_language_held_out(spark):
     langs = {r.doc_id: r.lang for r in queries.table(spark, SF, "documents").collect()}
     rows = queries.op9_language_id(spark, SF).collect()
@@ -125,3 +175,48 @@ def test_sql_twin(spark, smoke_dir, name):
     got = queries.queries()[name](spark, smoke_dir)
     assert sorted(got.columns) == sorted(columns)
     assert sorted(map(tuple, got.select(*columns).collect())) == sorted(want.fetchall())
+
+
+def test_language_plain_version(spark):
+    """Predictions against n-gram sets without a filter: counts per language are exact there."""
+    import re
+    import zlib
+    from collections import Counter
+
+    docs = queries.table(spark, "/root/testdata/sf0.001", "documents")
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    rows = docs.select("doc_id", "text", "lang").collect()
+    split = lambda t: [w for w in re.split(r"(?:[^\w]|[\d_])+", (t or "").lower()) if any(c.isalpha() for c in w)]
+    counts = {}
+    for r in rows:
+        if r.lang and r.text is not None and not held(r.doc_id):
+            c = counts.setdefault(r.lang, Counter())
+            for w, n in Counter(split(r.text)).items():
+                for g in langid.grams_of(w):
+                    c[g] += n
+    sets = {lang: {g for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[: langid.SAMPLE_GRAMS]} for lang, c in counts.items()}
+    got = {r.doc_id: r for r in queries.op9_language_id(spark, "/root/testdata/sf0.001").collect()}
+    alike = total = 0
+    for r in rows:
+        grams = [g for w in split(r.text) for g in langid.grams_of(w)]
+        if grams:
+            share = {lang: sum(g in s for g in grams) / len(grams) for lang, s in sets.items()}
+            best = max(share.values())
+            total += 1
+            alike += share[got[r.doc_id].lang_pred] == best and abs(got[r.doc_id].score - best) < 0.05
+        else:
+            assert got[r.doc_id].lang_pred == "und" and got[r.doc_id].score == 0
+    assert alike >= 0.98 * total
+
+
+def test_marks_alone_are_no_language(spark):
+    rows = [(i, f"das ist ein text {i}", "de") for i in range(30)] + [(40, "\u0301\u0308 \u0331", "de"), (41, "123 !?", "de"), (42, None, "de"), (43, "", None)]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i] == ("und", 0.0) for i in (40, 41, 42, 43)) and got[3][0] == "de"
+
+
+def test_more_languages_than_a_mask_word_has_bits(spark):
+    rows = [(i, f"wort{chr(97 + l % 26)}{chr(97 + l // 26)} xx{chr(97 + l // 26)}{chr(97 + l % 26)}yy " * 3, f"l{l:02d}") for l in range(70) for i in range(l * 10, l * 10 + 10)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    want = {i: lang for i, _, lang in rows}
+    assert len({r.lang_pred for r in got}) == 70 and sum(r.lang_pred == want[r.doc_id] for r in got) > 0.9 * len(got)
