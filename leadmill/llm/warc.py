@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, WriterCommitMessage
 
-from leadmill.llm.common import scratch_dir, slices
+from leadmill.llm.common import scratch_dir, slices, tidy
 
 READ_SCHEMA = "record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 #: Column of the data source to the WARC header it is read from.
@@ -68,26 +68,50 @@ def member(head: bytes, body: bytes, level: int = 1) -> bytes:
     return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", len(extra)) + extra + data + struct.pack("<II", crc, plain & 0xFFFFFFFF)
 
 
+#: Names under which Hadoop and Arrow know the same stores.
+ARROW_SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "abfss": "abfss"}
+
+
+def file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system for a Spark path; a path without a scheme is local."""
+    scheme, colon, rest = uri.partition("://")
+    return fs.FileSystem.from_uri(f"{ARROW_SCHEMES.get(scheme, scheme)}://{rest}" if colon else uri)
+
+
 class MemberReader:
-    """Gzip members of one file, headers first."""
+    """Gzip members of one file, headers first.
+
+    The buffer is read from ``start`` on and cut when what is behind it is large, so that every byte is moved a bounded number of times.
+    """
 
     def __init__(self, f):
-        self.f, self.buffer, self.at = f, b"", 0
+        self.f, self.data, self.start = f, bytearray(), 0
+
+    @property
+    def buffer(self) -> memoryview:
+        return memoryview(self.data)[self.start :]
 
     def _fill(self, n: int) -> bool:
-        while len(self.buffer) < n:
-            more = self.f.read(max(1 << 18, n - len(self.buffer)))
+        while len(self.data) - self.start < n:
+            more = self.f.read(max(1 << 18, n - len(self.data) + self.start))
             if not more:
                 return False
-            self.buffer += more
+            if self.start > 1 << 20:
+                self.data, self.start = self.data[self.start :], 0
+            self.data += more
         return True
 
     def _skip(self, n: int) -> None:
-        if n <= len(self.buffer):
-            self.buffer = self.buffer[n:]
+        here = len(self.data) - self.start
+        if n <= here:
+            self.start += n
         else:
-            self.f.seek(self.f.tell() + n - len(self.buffer))
-            self.buffer = b""
+            self.f.seek(self.f.tell() + n - here)
+            self.data, self.start = bytearray(), 0
+
+    def _find(self, byte: bytes, start: int) -> int:
+        at = self.data.find(byte, self.start + start)
+        return at - self.start if at >= 0 else -1
 
     def __iter__(self):
         """(headers of WARC, headers of HTTP, call that returns the payload) per record."""
@@ -97,25 +121,24 @@ class MemberReader:
             if flags & 4:
                 (n,) = struct.unpack_from("<H", self.buffer, 10)
                 self._fill(12 + n)
-                extra = self.buffer[12 : 12 + n]
+                extra = bytes(self.buffer[12 : 12 + n])
                 if extra[:2] == b"sl":
                     whole = struct.unpack_from("<I", extra, 4)[0]
                 start = 12 + n
             for bit in (8, 16):  # a name, a comment
-                while flags & bit and (end := self.buffer.find(b"\0", start)) < 0 and self._fill(len(self.buffer) + 1):
+                while flags & bit and (end := self._find(b"\0", start)) < 0 and self._fill(len(self.data) - self.start + 1):
                     pass
                 start = end + 1 if flags & bit else start
             start += 2 if flags & 2 else 0
-            z, plain, fed = zlib.decompressobj(-15), b"", start
+            z, plain, fed = zlib.decompressobj(-15), bytearray(), start
 
-            def more(z=z):
-                nonlocal plain, fed
+            def more(z=z, plain=plain):
+                nonlocal fed
                 if z.eof or not self._fill(fed + 1):
                     return False
-                part = self.buffer[fed : fed + (1 << 16)]
-                got = z.decompress(part)
+                part = bytes(self.buffer[fed : fed + (1 << 16)])
+                plain += z.decompress(part)
                 fed += len(part) - len(z.unused_data)
-                plain += got
                 return True
 
             ends: list[int] = []
@@ -125,13 +148,13 @@ class MemberReader:
                     ends.append(at + 4)
                 elif not more():
                     ends += [len(plain)] * (2 - len(ends))
-            warc, http = parse(plain[: ends[0]]), parse(plain[ends[0] : ends[1]])
+            warc, http = parse(bytes(plain[: ends[0]])), parse(bytes(plain[ends[0] : ends[1]]))
 
-            def payload():
+            def payload(more=more, plain=plain, warc=warc, ends=ends):
                 while more():
                     pass
                 size = int(warc.get("content-length", 0)) - (ends[1] - ends[0])
-                return plain[ends[1] : ends[1] + max(0, size)]
+                return bytes(plain[ends[1] : ends[1] + max(0, size)])
 
             yield warc, http, payload
             if not whole:
@@ -169,7 +192,7 @@ class WarcReader(DataSourceReader):
 
     def partitions(self):
         """Files in groups of about ``partbytes``; a file is read by one task."""
-        where, path = fs.FileSystem.from_uri(self.path)
+        where, path = file_system(self.path)
         found = [x for x in where.get_file_info(fs.FileSelector(path)) if x.is_file and x.base_name.endswith(".warc.gz")]
         prefix = self.path.rstrip("/")
         out, room = [], 0
@@ -185,7 +208,7 @@ class WarcReader(DataSourceReader):
         schema = pa.schema([("record_type", pa.string()), ("record_id", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
         rows, held = [], 0
         for uri in partition.uris:
-            where, path = fs.FileSystem.from_uri(uri)
+            where, path = file_system(uri)
             with where.open_input_file(path) as f:
                 for warc, http, payload in MemberReader(f):
                     got = {c: (_unline(v.strip("<>")) if (v := warc.get(h.lower())) is not None else None) for c, h in HEADER_OF.items()}
@@ -221,7 +244,7 @@ class WarcWriter(DataSourceArrowWriter):
         self.path, self.date = options["path"].rstrip("/"), options.get("date", "2000-01-01T00:00:00Z")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        where, path = fs.FileSystem.from_uri(self.path)
+        where, path = file_system(self.path)
         where.create_dir(f"{path}/_pending", recursive=True)
         names, out, size = [], None, 0
         for batch in iterator:
@@ -241,7 +264,7 @@ class WarcWriter(DataSourceArrowWriter):
         return Written(names)
 
     def commit(self, messages) -> None:
-        where, path = fs.FileSystem.from_uri(self.path)
+        where, path = file_system(self.path)
         for m in messages:
             for name in m.names if m else []:
                 where.move(f"{path}/_pending/{name}", f"{path}/{name}")
@@ -249,7 +272,7 @@ class WarcWriter(DataSourceArrowWriter):
             where.delete_dir(f"{path}/_pending")
 
     def abort(self, messages) -> None:
-        where, path = fs.FileSystem.from_uri(self.path)
+        where, path = file_system(self.path)
         if where.get_file_info(f"{path}/_pending").type != fs.FileType.NotFound:
             where.delete_dir(f"{path}/_pending")
 
@@ -302,11 +325,11 @@ def write_archives(pages: DataFrame, path: str, min_payload: int = 0) -> None:
     """
     register(pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
-    thin = pages.mapInArrow(_payloads(False), "page_id long, payload_digest string, payload_bytes long")
+    thin = pages.mapInArrow(tidy(_payloads(False)), "page_id long, payload_digest string, payload_bytes long")
     first = thin.where(F.col("payload_bytes") >= min_payload).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).where("c > 1 and first is not null")
     again = thin.where(F.col("payload_bytes") >= min_payload).join(first.select("payload_digest", "first"), "payload_digest").where("page_id is null or page_id <> first")
     again = again.select("page_id", F.col("payload_digest").alias("digest"), "first").distinct()
-    full = pages.mapInArrow(_payloads(True), "page_id long, url string, payload_digest string, payload binary")
+    full = pages.mapInArrow(tidy(_payloads(True)), "page_id long, url string, payload_digest string, payload binary")
     rows = full.join(again, full["page_id"].eqNullSafe(again["page_id"]) & (full["payload_digest"] == again["digest"]), "left")
     urn = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(c.cast("string"), F.lit("none")))
     rows.select(
