@@ -10,7 +10,12 @@ path.  Equal windows have equal minimizers at equal offsets, so:
    all but the first by source coordinates go as a whole;
 3. only where one minimizer has several contents (the path branches there), the first
    path of each content is expanded into edges again, which are compared one by one
-   by a 128-bit hash and their coordinates.
+   by a 128-bit hash and their coordinates;
+4. paths and edges that follow each other both in their document and in the source are
+   compacted into spans: a span ends where the walk branches, that is where the next edge has
+   another source or none;
+5. a span is verified at its coordinates: the words in the document are compared with the words at
+   the source by a digest of both, and stay where these differ.
 
 Texts move compressed, keyed by document, and only those of documents with windows to compare
 or to take out; all else that moves is a few longs per path.
@@ -25,15 +30,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from leadmill.llm.common import CHUNK_BYTES, hash_words, materialize, members, membership, pair_hash, slices, slot, split_words, tidy, window_hash
 
 SEED_WORDS = 6
-# A position in a document: 24 bits that tell rows of one doc_id apart, 32 of the start, 6 of the path's length.
-_LEN_BITS, _START_BITS = 6, 32
+# A position in a document: the start and, in the last 6 bits, the path's length.  A row is its doc_id and a hash of its text.
+_LEN_BITS = 6
+ROW = ["doc", "mark"]
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -92,9 +98,8 @@ def emit_paths(k: int, s: int):
             for batch in slices(whole, "text"):
                 h, bounds = _words(batch)
                 doc, start, n, seed, content = paths_of(h, bounds, k, s)
-                mark = np.asarray(batch.column("mark"))[doc]
-                pos = (mark << (_START_BITS + _LEN_BITS)) | (start << _LEN_BITS) | n
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(seed)), batch.column("doc").take(pa.array(doc)), pa.array(pos), pa.array(_signed(content))], ["seed", "doc", "pos", "content"])
+                at = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(seed)), batch.column("doc").take(at), batch.column("mark").take(at), pa.array((start << _LEN_BITS) | n), pa.array(_signed(content))], ["seed", "doc", "mark", "pos", "content"])
 
     return run
 
@@ -113,13 +118,10 @@ def compress_texts(wanted):
     return run
 
 
-def _runs(lists: pa.Array, marks: np.ndarray):
-    """(row, start, windows) of the positions listed for each row that belong to the row with its mark."""
-    p, sizes = np.asarray(lists.flatten(), np.int64), np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    mine = (p >> (_START_BITS + _LEN_BITS)) == marks[row]
-    p, row = p[mine], row[mine]
-    return row, (p >> _LEN_BITS) & ((1 << _START_BITS) - 1), p & ((1 << _LEN_BITS) - 1)
+def _rows_of(lists: pa.Array) -> np.ndarray:
+    """The row of each element of a column of lists."""
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
+    return np.repeat(np.arange(len(sizes)), sizes)
 
 
 def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -134,8 +136,8 @@ def expand_edges(k: int):
 
     def run(batches):
         for batch in (part for whole in batches for part in _parts(whole)):
-            mark = np.asarray(batch.column("mark"))
-            row, start, n = _runs(batch.column("at"), mark)
+            row, at = _rows_of(batch.column("at")), np.asarray(batch.column("at").flatten(), np.int64)
+            start, n = at >> _LEN_BITS, at & ((1 << _LEN_BITS) - 1)
             texts = pa.array([_unzip(z, size) for z, size in zip(batch.column("z").to_pylist(), batch.column("size").to_pylist(), strict=True)], pa.large_binary())
             codes, bounds, words = split_words(texts.view(pa.large_string()), raw=True)
             if not len(row) or len(codes) < k:
@@ -144,28 +146,65 @@ def expand_edges(k: int):
             w1 = window_hash(hash_words(words)[codes], k)[i]
             w2 = window_hash(hash_words(words, 1)[codes], k)[i]
             row = np.searchsorted(bounds, i, "right") - 1
-            pos = (mark[row] << (_START_BITS + _LEN_BITS)) | ((i - bounds[row]) << _LEN_BITS) | 1
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(w1)), pa.array(_signed(w2)), batch.column("doc").take(pa.array(row)), pa.array(pos)], ["w1", "w2", "doc", "pos"])
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(w1)), pa.array(_signed(w2)), batch.column("doc").take(at), batch.column("mark").take(at), pa.array(((i - bounds[row]) << _LEN_BITS) | 1)], ["w1", "w2", "doc", "mark", "pos"])
+
+    return run
+
+
+def compact(records: DataFrame) -> DataFrame:
+    """``records`` (doc, mark, pos, source) of repeated paths and edges to spans (doc, mark, start, n, sdoc, smark, sstart).
+
+    Records that follow each other in their row and in one source row are one span; a row's records are sorted in a task.
+    """
+    d = records.select(*ROW, F.shiftright("pos", _LEN_BITS).alias("start"), F.col("pos").bitwiseAND((1 << _LEN_BITS) - 1).alias("n"), F.col("source.doc").alias("sdoc"), F.col("source.mark").alias("smark"), F.shiftright("source.pos", _LEN_BITS).alias("sstart"))
+    w = Window.partitionBy(*ROW).orderBy("start", "n")
+    before = F.lag(F.struct((F.col("start") + F.col("n")).alias("end"), (F.col("sstart") + F.col("n")).alias("send"), "sdoc", "smark")).over(w)
+    follows = F.coalesce(before == F.struct(F.col("start").alias("end"), F.col("sstart").alias("send"), "sdoc", "smark"), F.lit(False))
+    d = d.withColumn("_new", (~follows).cast("int")).withColumn("_span", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    ends = d.groupBy(*ROW, "_span").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("_end"), F.min("sdoc").alias("sdoc"), F.min("smark").alias("smark"), F.min("sstart").alias("sstart"))
+    return ends.select(*ROW, "start", (F.col("_end") - F.col("start")).alias("n"), "sdoc", "smark", "sstart")
+
+
+def _digest(words: list[bytes], start: int, n: int, k: int) -> bytes:
+    return hashlib.blake2b(b" ".join(words[start : start + n + k - 1]), digest_size=16).digest()
+
+
+def read_spans(k: int):
+    """(doc, mark, sstart, n, digest) of the words under each span named in ``at``."""
+
+    def run(batches):
+        for batch in (part for whole in batches for part in _parts(whole)):
+            row, spans = _rows_of(batch.column("at")), batch.column("at").flatten()
+            start, n = (np.asarray(spans.field(f), np.int64) for f in ("sstart", "n"))
+            begin = np.searchsorted(row, np.arange(batch.num_rows + 1)).tolist()
+            digests = []
+            for i, (z, size) in enumerate(zip(batch.column("z").to_pylist(), batch.column("size").to_pylist(), strict=True)):
+                words = _unzip(z, size).split()
+                digests += [_digest(words, *x, k) for x in zip(start[begin[i] : begin[i + 1]].tolist(), n[begin[i] : begin[i + 1]].tolist(), strict=True)]
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([batch.column("doc").take(at), batch.column("mark").take(at), pa.array(start), pa.array(n), pa.array(digests, pa.binary())], ["sdoc", "smark", "sstart", "n", "digest"])
 
     return run
 
 
 def cut(k: int, with_text: bool):
-    """What is left of each document once the windows named in ``at`` are taken out."""
+    """What is left of each document once the spans named in ``at`` are taken out whose words are those at their sources."""
 
     def run(batches):
         for batch in (part for whole in batches for part in _parts(whole)):
-            row, start, n = _runs(batch.column("at"), np.asarray(batch.column("mark")))
-            order = np.argsort(row, kind="stable")
-            start, end = start[order], (start + n)[order] + (k - 1)
-            begin = np.searchsorted(row[order], np.arange(batch.num_rows + 1)).tolist()
+            row, spans = _rows_of(batch.column("at")), batch.column("at").flatten()
+            start, n = (np.asarray(spans.field(f), np.int64) for f in ("start", "n"))
+            end, source = start + n + (k - 1), spans.field("digest").to_pylist()
+            begin = np.searchsorted(row, np.arange(batch.num_rows + 1)).tolist()
             n_words, removed, digest, texts = [], [], [], []
             for i, (z, size) in enumerate(zip(batch.column("z").to_pylist(), batch.column("size").to_pylist(), strict=True)):
                 words = _unzip(z, size).split()
                 n_words.append(len(words))
                 gone, (a, b) = 0, begin[i : i + 2]
-                if b > a:
-                    edge = np.bincount(start[a:b], minlength=len(words) + 1) - np.bincount(end[a:b], minlength=len(words) + 1)
+                same = np.array([j for j in range(a, b) if _digest(words, int(start[j]), int(n[j]), k) == source[j]], np.int64)
+                if len(same):
+                    edge = np.bincount(start[same], minlength=len(words) + 1) - np.bincount(end[same], minlength=len(words) + 1)
                     stay = np.cumsum(edge)[:-1] == 0
                     gone = len(words) - int(stay.sum())
                     words = list(itertools.compress(words, stay.tolist()))
@@ -221,33 +260,38 @@ def remove_repeats(docs: DataFrame, k: int = 20, carry: list[str] | None = None)
     ``carried`` and adds ``kept_text``: the kept words joined by one space for rows that lost words, else
     the text as it was.  A null, empty or short text loses nothing.
     Earlier means smaller doc_id (null is smallest), then earlier start; rows that share a
-    doc_id but not the text are ordered by a hash of the text, and fully equal rows keep their
+    doc_id, or have none, but not the text are ordered by a hash of the text, and fully equal rows keep their
     words both, as neither starts earlier.  An empty table gives no rows.
     """
-    mark = F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 40)
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
     with_text = carry is not None
     carried = [F.struct(*(F.col(c) for c in carry or []), F.lit(1).alias("_")).alias("carried")] if with_text else []
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), mark.alias("mark"), "text", *carried)
-    paths = docs.select("doc", "mark", "text").mapInArrow(tidy(emit_paths(k, SEED_WORDS)), "seed long, doc long, pos long, content long")
+    paths = docs.select("doc", "mark", "text").mapInArrow(tidy(emit_paths(k, SEED_WORDS)), "seed long, doc long, mark long, pos long, content long")
+    here = F.struct("doc", "mark", "pos")
 
     often = paths.groupBy("seed").agg(F.count("*").alias("c"), F.min("content").alias("lo"), F.max("content").alias("hi")).where("c > 1")
     again = materialize(paths.join(often.select("seed", (F.col("lo") != F.col("hi")).alias("branches")), "seed"))
-    first = again.groupBy("seed", "content").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("c"))
-    copies = again.join(first.where("c > 1").select("seed", "content", "first"), ["seed", "content"]).where(F.struct("doc", "pos") != F.col("first"))
-    copies = copies.select("doc", "pos")
-    heads = again.where("branches").join(first.select("seed", "content", "first"), ["seed", "content"]).where(F.struct("doc", "pos") == F.col("first"))
-    heads = materialize(heads.groupBy("doc").agg(F.collect_list("pos").alias("at")))
+    first = again.groupBy("seed", "content").agg(F.min(here).alias("source"), F.count("*").alias("c"))
+    copies = again.join(first.where("c > 1").select("seed", "content", "source"), ["seed", "content"]).where(here != F.col("source"))
+    copies = copies.select(*ROW, "pos", "source")
+    heads = again.where("branches").join(first.select("seed", "content", "source"), ["seed", "content"]).where(here == F.col("source"))
+    heads = materialize(heads.groupBy(*ROW).agg(F.collect_list("pos").alias("at")))
 
-    docs = docs.withColumn("slot", slot("doc"))
+    docs = docs.withColumn("slot", slot(*ROW))
     schema = StructType([StructField("doc", LongType()), StructField("mark", LongType()), StructField("z", BinaryType()), StructField("size", LongType())])
-    packed = docs.select("doc", "mark", "text", "slot").mapInArrow(tidy(compress_texts(membership(heads, "doc"))), schema)
-    edges = materialize(packed.join(heads, "doc").mapInArrow(tidy(expand_edges(k)), "w1 long, w2 long, doc long, pos long"))
-    lead = edges.groupBy("w1", "w2").agg(F.count("*").alias("c"), F.min(F.struct("doc", "pos")).alias("first")).where("c > 1")
-    later = edges.join(lead.select("w1", "w2", "first"), ["w1", "w2"]).where(F.struct("doc", "pos") != F.col("first")).select("doc", "pos")
-
-    gone = materialize(copies.unionByName(later).groupBy("doc").agg(F.collect_list("pos").alias("at")))
-    touched, wide = membership(gone, "doc"), StructType([*schema, *(docs.schema[c] for c in docs.columns if c == "carried")])
-    some = docs.mapInArrow(tidy(compress_texts(touched)), wide).join(gone, "doc", "left")
+    packed = lambda keys: docs.select(*ROW, "text", "slot").mapInArrow(tidy(compress_texts(membership(keys, *ROW))), schema).join(keys, ROW)
+    edges = materialize(packed(heads).mapInArrow(tidy(expand_edges(k)), "w1 long, w2 long, doc long, mark long, pos long"))
+    lead = edges.groupBy("w1", "w2").agg(F.count("*").alias("c"), F.min(here).alias("source")).where("c > 1")
+    later = edges.join(lead.select("w1", "w2", "source"), ["w1", "w2"]).where(here != F.col("source")).select(*ROW, "pos", "source")
+
+    spans = materialize(compact(copies.unionByName(later)))
+    sources = materialize(spans.select(F.col("sdoc").alias("doc"), F.col("smark").alias("mark"), "sstart", "n").distinct().groupBy(*ROW).agg(F.collect_list(F.struct("sstart", "n")).alias("at")))
+    digests = packed(sources).mapInArrow(tidy(read_spans(k)), "sdoc long, smark long, sstart long, n long, digest binary")
+    named = spans.join(digests.distinct(), ["sdoc", "smark", "sstart", "n"])
+    gone = materialize(named.groupBy(*ROW).agg(F.collect_list(F.struct("start", "n", "digest")).alias("at")))
+    touched, wide = membership(gone, *ROW), StructType([*schema, *(docs.schema[c] for c in docs.columns if c == "carried")])
+    some = docs.mapInArrow(tidy(compress_texts(touched)), wide).join(gone, ROW, "left").drop("mark")
     doc_id = F.when(F.col("doc") != -(1 << 63), F.col("doc")).alias("doc_id")
     digest = StructType([StructField("doc_id", LongType()), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_sha256", StringType())])
     if with_text:

@@ -173,3 +173,13 @@ def test_the_encoder_is_the_tokenizer():
         ids, bounds = encode(pa.array(texts, pa.string()))
         for text, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True):
             assert ids[a:b].tolist() == t.encode(text or "", add_special_tokens=False).ids, text
+
+
+def test_rows_of_one_id_and_of_none_keep_a_passage_once(spark):
+    """Different texts under one doc_id, and under none, are rows of their own: of a passage they share one copy stays."""
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(7, passage + " a"), (7, "b " + passage), (None, passage + " c"), (None, "d " + passage), (None, "e " + passage + " f")]
+    got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sum(r.n_words - r.n_removed for r in got) == 40 + 6
+    assert sorted(r.n_removed for r in got) == [0, 40, 40, 40, 40]
+    assert [r.doc_id for r in got if not r.n_removed] == [None]
