@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadmill.llm.common import hash_words, materialize, members, membership, mix, pair_hash, slices, slot, split_words, tidy, window_hash
@@ -42,7 +42,12 @@ from leadmill.llm.graph import components
 EXACT, BLOCKS, SPARE = 79, 64, 1.25
 CELL_SHINGLES = 2_000_000
 CELL_MEMBERS = 4096
-INFO = "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>, nodes array<long>"
+INFO = "doc_id long, mark long, n_shingles long, h1 long, h2 long, keys array<long>, nodes array<long>"
+
+
+def text_mark(text: Column) -> Column:
+    """A hash that tells rows of one doc_id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def bands(num: int, den: int, upto: int = 1 << 40) -> list[tuple[int, int]]:
@@ -133,13 +138,14 @@ def sketches(width: int, num: int, den: int, below: int | None = EXACT):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").cast(pa.int64()),
+                        batch.column("mark"),
                         pa.array(n, pa.int64()),
                         pa.array(_signed(np.array(h1, np.uint64))),
                         pa.array(_signed(np.array(h2, np.uint64))),
                         pa.array(keys, pa.list_(pa.int64())),
                         pa.array(nodes, pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "n_shingles", "h1", "h2", "keys", "nodes"],
+                    ["doc_id", "mark", "n_shingles", "h1", "h2", "keys", "nodes"],
                 )
 
     return run
@@ -232,7 +238,7 @@ def compare_cell(num: int, den: int):
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, exact: int | None = EXACT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text; other columns are ignored).
+    """(doc_id, n_shingles, component_id, mark) of every row of ``docs`` (doc_id, text; other columns are ignored); ``mark`` is the text's ``text_mark``.
 
     Words are lower-cased in A-Z only; fewer than ``width`` words make one shingle.
     A null, empty or blank text has no shingle, is linked with nothing and is its own
@@ -241,7 +247,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
     never the smallest of a component unless all are null.  An empty table gives no rows.
     Sets whose T is ``exact`` or more are found by chance, see above; None makes every band exact, at about 0.6 keys a shingle.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_mark(F.col("text")).alias("mark"))
     info = materialize(docs.mapInArrow(tidy(sketches(width, num, den, exact)), INFO))
 
     full = info.where("n_shingles > 0")
@@ -279,5 +285,5 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
     tops = classes.join(linked, classes["h1"] == linked["node"]).select("h1", "h2", "label", "rep")
     tops = tops.join(tops.groupBy("label").agg(F.min("rep").alias("top")), "label").select("h1", "h2", "top")
     merged = classes.join(tops, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("top", "rep").alias("component"))
-    out = info.select("doc_id", "n_shingles", "h1", "h2").join(merged, ["h1", "h2"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    out = info.select("doc_id", "mark", "n_shingles", "h1", "h2").join(merged, ["h1", "h2"], "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), "mark")

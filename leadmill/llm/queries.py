@@ -31,7 +31,7 @@ def op6_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), width=5, num=75, den=100)
+    return near_duplicates(table(spark, sf_dir, "documents"), width=5, num=75, den=100).select("doc_id", "n_shingles", "component_id")
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,3 +49,12 @@ def test_stages_on_awkward_rows(spark, documents):
             assert docs.columns == corpus_pipeline.COLUMNS, name
         pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
         assert (pieces.count() > 0) == (docs.count() > 0)
+
+
+def test_near_copies_judges_texts_not_ids(spark):
+    """Under one doc_id a copy of an earlier document goes and another text stays."""
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, base), (5, base + " tail"), (5, " ".join(f"x{i}" for i in range(60))), (6, None), (6, ""), (1, base)]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.doc_id, (r.text or "")[:2]) for r in dict(corpus_pipeline.STAGES)["near_copies"](spark, docs, SF).collect())
+    assert got == [(1, "w0"), (5, "x0"), (6, "")]
