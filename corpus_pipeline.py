@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from leadmill.llm.common import crc_held_out, materialize
 from leadmill.llm.mixing import mix
-from leadmill.llm.ngram_join import near_duplicates
+from leadmill.llm.ngram_join import near_duplicates, text_mark
 from leadmill.llm.packing import pack_documents
 from leadmill.llm.quality import score, train
 from leadmill.llm.queries import tokenizer_path
@@ -32,25 +32,33 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays.
 
-    Of rows with one doc_id, one stays where they are copies; a null doc_id is kept, as nothing names it.
+    Of equal rows one stays; rows of one doc_id with different texts are judged each by its own group; a null doc_id is kept, as
+    nothing names it, and so is a null, empty or blank text, which is a copy of nothing.
     """
-    keep = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").select(*COLUMNS).join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    keep = near_duplicates(docs).where("doc_id = component_id").select("doc_id", F.col("mark").alias("_mark")).distinct()
+    named = docs.where("doc_id is not null").select(*COLUMNS).withColumn("_mark", text_mark(F.col("text")))
+    named = named.join(keep, ["doc_id", "_mark"], "left_semi").dropDuplicates(["doc_id", "_mark"])
     return named.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of passages that occur earlier go; documents that lose none keep their text as it is, and none goes."""
+    """Words of passages that occur earlier go; documents that lose none keep their text as it is, and none goes.
+
+    A null, empty or short text loses nothing; a null doc_id counts as the smallest; fully equal rows keep their words both.
+    """
     return with_repeats_removed(docs.select(*COLUMNS))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are sampled so that sources, languages and topics meet their target weights."""
+    """Documents are sampled so that sources, languages and topics meet their target weights.
+
+    A null source or language is a value of its own; texts without a word stay; rows of one doc_id and cell are drawn together.
+    """
     return mix(docs.select(*COLUMNS)).where("_mix_kept").select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 2048 ids."""
+    """The pieces of all documents in sequences of 2048 ids; a null or empty text is its end id alone, repeated rows are packed each."""
     return pack_documents(docs, tokenizer_path(), capacity=2048)
 
 
