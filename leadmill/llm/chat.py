@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -80,6 +81,22 @@ def tokenizer(path: str):
     return t
 
 
+@functools.cache
+def id_bytes(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(all ids' bytes in a row, bounds per id) of a byte-level vocabulary.
+
+    Its tokens are written in printable characters: a byte that is one stands for itself, the others follow from 256 on.
+    """
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in set(shown)]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(other)}
+    vocabulary = tokenizer(path).get_vocab()
+    raw = [b""] * (max(vocabulary.values()) + 1)
+    for token, i in vocabulary.items():
+        raw[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
+    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw])))
+
+
 _TURN = pa.schema([("conv", pa.int64()), ("depth", pa.int64()), ("node", pa.binary()), ("position", pa.int64()), ("length", pa.int64()), ("ids", pa.list_(pa.int32())), ("loss_from", pa.int64()), ("loss_length", pa.int64())])
 TURNS = "conv long, depth long, node binary, position long, length long, ids array<int>, loss_from long, loss_length long"
 
@@ -96,15 +113,16 @@ def format_turns(path: str):
                 turns = [(conv, role or "", text or "") for conv, role, text in _rows(iter([batch]))]
                 heads = [f"{START}{_escape_role(role)}\n" for _, role, _ in turns]
                 known = sorted(set(heads))
-                ids_of = dict(zip([*known, END], [e.ids for e in encode([*known, f"{END}\n"], add_special_tokens=False)], strict=True))
+                ids_of = dict(zip([*known, END], [np.array(e.ids, np.int32) for e in encode([*known, f"{END}\n"], add_special_tokens=False)], strict=True))
                 for at in range(0, len(turns), 256):
                     bodies = [escape(text) for _, _, text in turns[at : at + 256]]
                     for (conv, role, _), head, body, e in zip(turns[at : at + 256], heads[at : at + 256], bodies, encode(bodies, add_special_tokens=False), strict=True):
                         if conv != now:
                             now, depth, node, position = conv, 0, b"", 0
-                        ids = [*ids_of[head], *e.ids, *ids_of[END]]
+                        body_ids = np.array(e.ids, np.int32)
+                        ids = np.concatenate([ids_of[head], body_ids, ids_of[END]])
                         node = hashlib.blake2b(node + f"{head}{body}{END}\n".encode(), digest_size=16).digest()
-                        loss = (len(ids_of[head]), len(e.ids)) if role == "assistant" else (0, 0)
+                        loss = (len(ids_of[head]), len(body_ids)) if role == "assistant" else (0, 0)
                         yield conv, depth, node, position, len(ids), ids, *loss
                         depth, position = depth + 1, position + len(ids)
 
@@ -212,15 +230,19 @@ def read_back(path: str):
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple]:
-    """(conv, position, tokens, segment, text under the loss mask) per row; equal segments of a batch are decoded once."""
-    decode = tokenizer(path).decode
+    """(conv, position, tokens, segment, text under the loss mask) per row; the ids of a batch become bytes all at once."""
+    table, bounds = id_bytes(path)
     for batch in batches:
-        known: dict[tuple, tuple[str, str]] = {}
-        for conv, position, ids, start, length in _rows(iter([batch])):
-            at = (tuple(ids), start, length)
-            if at not in known:
-                known[at] = decode(ids, skip_special_tokens=False), decode(ids[start : start + length], skip_special_tokens=False)
-            yield conv, position, len(ids), *known[at]
+        lists = batch.column("ids")
+        ids, n = np.asarray(lists.flatten(), np.int64), np.asarray(pc.list_value_length(lists), np.int64)
+        size = bounds[ids + 1] - bounds[ids]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        raw = table[np.repeat(bounds[ids] - ends[:-1], size) + np.arange(ends[-1])].tobytes()
+        first = np.cumsum(n) - n
+        start, length = (np.asarray(batch.column(c), np.int64) for c in ("loss_from", "loss_length"))
+        cuts = np.stack([ends[first], ends[first + n], ends[first + start], ends[first + start + length]], axis=1).tolist()
+        for conv, position, tokens, (a, b, c, d) in zip(batch.column("conv").to_pylist(), batch.column("position").to_pylist(), n.tolist(), cuts, strict=True):
+            yield conv, position, tokens, raw[a:b].decode(), raw[c:d].decode()
 
 
 def _digests(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
