@@ -7,8 +7,9 @@ import json
 from pyspark.sql import functions as F
 
 from leadmill.functions import domain as D
-from leadmill.operators import merge, places
+from leadmill.operators import jobs, merge, places, ranks
 from leadmill.plans.registry import Sample, query, table
+from leadmill.sources import json_store
 
 _J = json.dumps
 
@@ -200,3 +201,31 @@ def index_match(spark, sf_dir):
 
     v = INDEX.df(spark).withColumn("embedding", F.from_json("embedding", "array<double>"))
     return places.valid_index(v, 2).select("name", F.round(cosine(F.col("embedding"), F.array(F.lit(2.0), F.lit(1.0))), 6).alias("score"))
+
+
+STORE = """{"j1": {"job_id": "j1", "tool": "hunter", "request_id": "r1", "state": "RUNNING", "at_us": 5}, "j2": {"job_id": "j2", "tool": "Google Maps", "request_id": "r1", "state": "SUCCEEDED", "at_us": 9},
+"bad": {"tool": "x"}, "worse": 7, "j3": {"job_id": "j3", "tool": "", "request_id": "r2", "state": "QUEUED", "at_us": 7}}"""
+STORED = Sample("rank long, job_id string, tool string, state string, updated_us long", ((1, "j2", "google_maps", "SUCCEEDED", 9), (2, "j3", "unknown", "QUEUED", 7), (3, "j1", "hunter", "RUNNING", 5)))
+
+
+@query(f"SELECT * FROM {STORED.sql}")
+def job_store_scan(spark, sf_dir):
+    """A store file of jobs, its valid entries newest first; stated beside."""
+    path = ranks.scratch(spark)
+    spark.createDataFrame([(STORE,)], "value string").coalesce(1).write.option("lineSep", " ").text(path)
+    log, _ = jobs.read_log(json_store.entries(spark, path))
+    return ranks.numbered(jobs.fold(log), [F.desc("updated_us"), F.asc("job_id")], "rank").select("rank", "job_id", "tool", "state", "updated_us")
+
+
+INDEX_FILE = '[{"industry": "tea", "embedding": [1, 2]}, {"industry": " ", "embedding": [1, 2]}, {"industry": "short", "embedding": [1]}, {"industry": "text", "embedding": "x"}, 5, {"industry": "holes", "embedding": [1, null]}, {"industry": "mate", "embedding": [0.5, 0]}]'
+
+
+@query("SELECT name, score::DOUBLE AS score FROM (VALUES ('tea', 1.0), ('mate', 0.447214)) t(name, score)")
+def index_file_match(spark, sf_dir):
+    """An index file's valid rows against one vector."""
+    from leadmill.operators.select import cosine
+
+    path = ranks.scratch(spark)
+    spark.createDataFrame([(INDEX_FILE,)], "value string").coalesce(1).write.text(path)
+    rows = places.valid_index(json_store.index_rows(spark, path), 2)
+    return rows.select("name", F.round(cosine(F.col("embedding"), F.array(F.lit(1.0), F.lit(2.0))), 6).alias("score"))

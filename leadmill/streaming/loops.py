@@ -6,7 +6,8 @@ rewritten per batch; with a v2 table the fold is a MERGE INTO.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,12 +27,43 @@ def _state(spark: SparkSession, path: str, epoch: int, schema: StructType) -> Da
     return spark.read.schema(schema).parquet(f"{path}/epoch={epoch - 1}")
 
 
-def fold_stream(stream: DataFrame, fold: Fold, schema: StructType, report: Fold | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """(last state, all reports by epoch) of ``fold(state, batch)`` over a stream run to its end.
+@dataclass(frozen=True)
+class Parts:
+    """A source that is fed part by part: each part's files are dropped into one folder, and a stream that goes on from its checkpoint reads them as a batch."""
 
-    ``report(state, batch)`` sees the state before the batch and gives rows to keep; an empty stream leaves an empty state.
+    parts: Sequence[DataFrame]
+
+    @property
+    def schema(self) -> StructType:
+        return self.parts[0].schema
+
+    def select(self, *columns) -> Parts:
+        return Parts([p.select(*columns) for p in self.parts])
+
+    def streams(self) -> Iterator[DataFrame]:
+        spark = self.parts[0].sparkSession
+        path = scratch(spark)
+        for part in self.parts:
+            part.write.mode("append").parquet(path)
+            yield spark.readStream.schema(self.schema).parquet(path)
+
+
+def in_parts(df: DataFrame, *cuts: Column) -> Parts:
+    """``df`` in parts: the rows of the first cut that holds, the rest last."""
+    parts, rest = [], F.lit(True)
+    for cut in [*cuts, F.lit(True)]:
+        parts.append(df.where(rest & F.coalesce(cut, F.lit(False))))
+        rest = rest & ~F.coalesce(cut, F.lit(False))
+    return Parts(parts)
+
+
+def fold_stream(source: DataFrame | Parts, fold: Fold, schema: StructType, report: Fold | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(last state, all reports by epoch) of ``fold(state, batch)`` over a stream, or over parts, run to the end.
+
+    ``report(state, batch)`` sees the state before the batch and gives rows to keep; an empty source leaves an empty state.
     """
-    spark, path = stream.sparkSession, scratch(stream.sparkSession)
+    spark = source.parts[0].sparkSession if isinstance(source, Parts) else source.sparkSession
+    path = scratch(spark)
     said: list[tuple[int, StructType]] = []
 
     def step(batch: DataFrame, epoch: int) -> None:
@@ -45,33 +77,25 @@ def fold_stream(stream: DataFrame, fold: Fold, schema: StructType, report: Fold
         batch.unpersist()
         said.append((epoch, None))
 
-    stream.writeStream.option("checkpointLocation", f"{path}/offsets").foreachBatch(step).trigger(availableNow=True).start().awaitTermination()
+    for stream in source.streams() if isinstance(source, Parts) else [source]:
+        stream.writeStream.option("checkpointLocation", f"{path}/offsets").foreachBatch(step).trigger(availableNow=True).start().awaitTermination()
     last = max((e for e, _ in said), default=-1)
     reports = None
     for epoch, rows_schema in said:
         if rows_schema is not None:
             part = spark.read.schema(rows_schema).parquet(f"{path}/report/epoch={epoch}").withColumn("epoch", F.lit(epoch))
             reports = part if reports is None else reports.unionByName(part)
+    if report is not None and reports is None:
+        reports = report(_state(spark, path, 0, schema), spark.createDataFrame([], source.schema)).limit(0).withColumn("epoch", F.lit(0))
     return _state(spark, f"{path}/state", last + 1, schema), reports
 
 
-def in_parts(df: DataFrame, *cuts: Column) -> DataFrame:
-    """``df`` as a stream of one micro-batch per part: rows of the first cut that holds, the rest last."""
-    spark, path = df.sparkSession, scratch(df.sparkSession)
-    rest = F.lit(True)
-    for n, cut in enumerate([*cuts, F.lit(True)]):
-        df.where(rest & F.coalesce(cut, F.lit(False))).coalesce(1).write.parquet(f"{path}/{n}")
-        rest = rest & ~F.coalesce(cut, F.lit(False))
-    # One file per part: small tables stand in for what a producer would drop there.
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
-
-
 def greatest_marks(state: DataFrame, batch: DataFrame, key: str, marks: list[str]) -> DataFrame:
     """High-water marks folded: per key the greatest of old and new."""
     return state.unionByName(batch.select(key, *marks)).groupBy(key).agg(*(F.max(m).alias(m) for m in marks))
 
 
-def watch_changes(stream: DataFrame, key: str, enrichment: str, mail: str) -> DataFrame:
+def watch_changes(stream: DataFrame | Parts, key: str, enrichment: str, mail: str) -> DataFrame:
     """(epoch, key, enrichment_changed, mail_changed, any_changed): each batch's keys against the marks of the batches before it."""
     schema = stream.select(key, enrichment, mail).schema
     now = lambda batch: batch.groupBy(key).agg(F.max(enrichment).alias(enrichment), F.max(mail).alias(mail))
@@ -82,7 +106,7 @@ def watch_changes(stream: DataFrame, key: str, enrichment: str, mail: str) -> Da
 CRAWLED = "page_id long, domain string, status string, emails array<string>"
 
 
-def crawl_loop(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+def crawl_loop(pages: DataFrame | Parts) -> tuple[DataFrame, DataFrame]:
     """(pages done, domains) of a stream of captured pages: stage one per page, the last capture of a page counts; a domain fails if a page did.
 
     Each batch is extracted and upserted by page; the roll-up of domains and their e-mails is one aggregate over the state.
@@ -103,7 +127,7 @@ def crawl_loop(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return done, domains
 
 
-def mail_loop(requests: DataFrame, write: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def mail_loop(requests: DataFrame | Parts, write: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The mail table after a stream of its rows: of each key the last row, approved rows without content written by ``write``."""
     schema = requests.schema
 

@@ -33,9 +33,9 @@ def test_registrable(spark, domain, want):
 
 def test_anchors_win_over_buttons_per_kind(spark):
     html = """<a href="/impressum">Impressum</a><button onclick="location.href='/kontakt'">Kontakt</button><button onclick="location='/i2'">Impressum</button>"""
-    pages = spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")
-    both = links.tagged_links(pages, links.ANCHOR, 1).unionByName(links.tagged_links(pages, links.BUTTON, 3))
-    assert sorted((r.kind, r.tier, r.href) for r in links.cascade(both).collect()) == [("contact", 3, "/kontakt"), ("impressum", 1, "/impressum")]
+    pages = spark.createDataFrame([(1, "https://a.de", html, None), (2, "https://b.de", None, None)], "page_id long, url string, html string, links_json string")
+    got = sorted((r.kind, r.tier, r.url) for r in links.discovered(pages).collect())
+    assert got == [("contact", 3, "https://a.de/kontakt"), ("impressum", 2, "https://a.de/impressum")]
 
 
 def test_merge_keeps_the_first_source(spark):
