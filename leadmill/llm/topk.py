@@ -165,9 +165,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64
     """
     clean = lambda df: df.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     vectors, queries = clean(vectors), clean(queries)
-    # A cell per ``cell_rows`` rows, or per core where that is more; the blocks shrink with them, down to 1024 rows.
+    # A cell per ``cell_rows`` rows, or four per core where that is more, as cells meet in partitions by hash; the blocks shrink with them, down to 1024 rows.
     n = vectors.count()
-    cells = max(1, -(-n // cell_rows), min(vectors.sparkSession.sparkContext.defaultParallelism, n // 2048))
+    cells = max(1, -(-n // cell_rows), min(4 * vectors.sparkSession.sparkContext.defaultParallelism, n // 2048))
     size = min(CANDIDATE_ROWS, max(1024, n // (2 * cells)))
     blocks = vectors.mapInArrow(pack_blocks(size, scale), BLOCK).withColumn("cell", F.pmod(F.xxhash64("part", "seq"), F.lit(cells))).repartition(cells, "cell")
     asked = queries.dropDuplicates(["vec_id"]).mapInArrow(pack_blocks(QUERY_ROWS, scale), BLOCK)
