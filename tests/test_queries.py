@@ -39,9 +39,8 @@ def test_sql_twin(spark, con, smoke_dir, name):
     assert got == sorted(tuple(map(norm, r)) for r in want.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
-def test_runs(spark, smoke_dir, name):
-    assert catalogue.QUERIES[name](spark, smoke_dir).count() >= 0
+def test_every_query_has_a_twin():
+    assert set(catalogue.QUERIES) == set(catalogue.ORACLES)
 
 
 def test_all_rows_are_numbered_in_ranges(spark, smoke_dir):
