@@ -85,7 +85,9 @@ def addresses(normalized: Column, distinct: bool = True) -> Column:
         return F.when(whole.contains("%"), decoded).otherwise(F.array(plain))
 
     out = F.filter(F.flatten(F.transform(candidates, read)), plausible)
-    return F.array_distinct(out) if distinct else out
+    # Most texts have neither sign, and need no search.
+    some = normalized.contains("@") | F.lower(normalized).contains("mailto:")
+    return F.when(some, F.array_distinct(out) if distinct else out).otherwise(F.array().cast("array<string>"))
 
 
 def spots(normalized: Column) -> Column:

@@ -114,8 +114,9 @@ def flat_links(spark, sf_dir):
 ENTITIES = Sample("page_id long, html string", ((-1, "<p>Fish &amp; chips &lt;3 &quot;x&quot;</p>"), (-2, "<script>a&amp;b</script>plain"), (-3, None), (-4, "&copy; 2020 &middot; x&#64;y")))
 _STRIPPED = "trim(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\\b.*?</script>|<style\\b.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))"
 _PLAIN = _STRIPPED
-for _e, _c in (("&copy;", "©"), ("&middot;", "·"), ("&#64;", "@"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
-    _PLAIN = f"replace({_PLAIN}, '{_e}', '{_c}')"
+# The semicolon may be missing, as where a page is cut off.
+for _e, _c in (("&copy;?", "©"), ("&middot;?", "·"), ("&#64;", "@"), ("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&amp;?", "&")):
+    _PLAIN = f"regexp_replace({_PLAIN}, '{_e}', '{_c}', 'g')"
 
 
 @query(f"SELECT page_id, trim(regexp_replace({_PLAIN}, '\\s+', ' ', 'g')) AS text FROM (SELECT * FROM {ENTITIES.sql} UNION ALL SELECT page_id::BIGINT, html FROM pages)")
