@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from leadmill.llm import chat
+from leadmill.llm import chat, filter_audit, vector_codes, winnowing
 from leadmill.llm.langid import identify
 from leadmill.llm.mixing import mixture, mixture_sql
 from leadmill.llm.ngram_join import near_duplicates
@@ -74,8 +75,21 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"), min_payload=0)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = vector_codes.compress(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256.0)
+    return out.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", "codebooks_sha256")
+
+
+def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.edited_and_next(table(spark, sf_dir, "documents"), k=12, window=40, share=4)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_quality_classifier, op2_exact_top_k, op3_source_mixing, op4_harmonic_packing, op5_substring_dedup, op6_chat_prefix_tree, op7_ngram_jaccard_join, op8_embedding_near_dedup, op9_language_id, op10_warc_round_trip)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_exact_top_k, op3_source_mixing, op4_harmonic_packing, op5_substring_dedup, op6_chat_prefix_tree, op7_ngram_jaccard_join, op8_embedding_near_dedup, op9_language_id, op10_warc_round_trip, op11_vector_codes, op12_winnowing, op13_filter_audit)}
 
 
 OP2_SQL = """
@@ -113,4 +127,4 @@ FROM v JOIN m ON m.n = v.vec_id LEFT JOIN (SELECT a, count(*) AS c FROM l GROUP
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_top_k": OP2_SQL, "op3_source_mixing": mixture_sql(), "op6_chat_prefix_tree": OP6_SQL, "op8_embedding_near_dedup": OP8_SQL}
+    return {"op2_exact_top_k": OP2_SQL, "op3_source_mixing": mixture_sql(), "op6_chat_prefix_tree": OP6_SQL, "op8_embedding_near_dedup": OP8_SQL, "op11_vector_codes": vector_codes.sql(), "op13_filter_audit": filter_audit.SQL}
