@@ -14,8 +14,8 @@ path.  Equal windows have equal minimizers at equal offsets, so:
 4. paths and edges that follow each other both in their document and in the source are
    compacted into spans: a span ends where the walk branches, that is where the next edge has
    another source or none;
-5. a span is verified at its coordinates: the words in the document are compared with the words at
-   the source by a digest of both, and stay where these differ.
+5. a document's spans with one source row are one record; they are verified at their coordinates: the words in
+   the document are compared with the words at the source by a digest of both, and stay where these differ.
 
 Texts move compressed, keyed by document, and only those of documents with windows to compare
 or to take out; all else that moves is a few longs per path.
@@ -153,17 +153,19 @@ def expand_edges(k: int):
 
 
 def compact(records: DataFrame) -> DataFrame:
-    """``records`` (doc, mark, pos, source) of repeated paths and edges to spans (doc, mark, start, n, sdoc, smark, sstart).
+    """``records`` (doc, mark, pos, source) of repeated paths and edges to spans: (doc, mark, sdoc, smark, at), ``at`` the (start, sstart, n) of a row's spans with one source row.
 
-    Records that follow each other in their row and in one source row are one span; a row's records are sorted in a task.
+    Records that follow each other in their row and in one source row are one span; a row's records are sorted in a task.  Equal rows
+    have equal records, which count once.
     """
-    d = records.select(*ROW, F.shiftright("pos", _LEN_BITS).alias("start"), F.col("pos").bitwiseAND((1 << _LEN_BITS) - 1).alias("n"), F.col("source.doc").alias("sdoc"), F.col("source.mark").alias("smark"), F.shiftright("source.pos", _LEN_BITS).alias("sstart"))
+    d = records.distinct().select(*ROW, F.shiftright("pos", _LEN_BITS).alias("start"), F.col("pos").bitwiseAND((1 << _LEN_BITS) - 1).alias("n"), F.col("source.doc").alias("sdoc"), F.col("source.mark").alias("smark"), F.shiftright("source.pos", _LEN_BITS).alias("sstart"))
     w = Window.partitionBy(*ROW).orderBy("start", "n")
     before = F.lag(F.struct((F.col("start") + F.col("n")).alias("end"), (F.col("sstart") + F.col("n")).alias("send"), "sdoc", "smark")).over(w)
     follows = F.coalesce(before == F.struct(F.col("start").alias("end"), F.col("sstart").alias("send"), "sdoc", "smark"), F.lit(False))
     d = d.withColumn("_new", (~follows).cast("int")).withColumn("_span", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     ends = d.groupBy(*ROW, "_span").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("_end"), F.min("sdoc").alias("sdoc"), F.min("smark").alias("smark"), F.min("sstart").alias("sstart"))
-    return ends.select(*ROW, "start", (F.col("_end") - F.col("start")).alias("n"), "sdoc", "smark", "sstart")
+    spans = ends.select(*ROW, "sdoc", "smark", F.struct("start", "sstart", (F.col("_end") - F.col("start")).alias("n")).alias("span"))
+    return spans.groupBy(*ROW, "sdoc", "smark").agg(F.sort_array(F.collect_list("span")).alias("at"))
 
 
 def _digest(words: list[bytes], start: int, n: int, k: int) -> bytes:
@@ -171,19 +173,22 @@ def _digest(words: list[bytes], start: int, n: int, k: int) -> bytes:
 
 
 def read_spans(k: int):
-    """(doc, mark, sstart, n, digest) of the words under each span named in ``at``."""
+    """(sdoc, smark, spots, digests) of the words under the spans of each list in ``at``."""
 
     def run(batches):
         for batch in (part for whole in batches for part in _parts(whole)):
-            row, spans = _rows_of(batch.column("at")), batch.column("at").flatten()
-            start, n = (np.asarray(spans.field(f), np.int64) for f in ("sstart", "n"))
+            row, lists = _rows_of(batch.column("at")), batch.column("at").flatten()
             begin = np.searchsorted(row, np.arange(batch.num_rows + 1)).tolist()
             digests = []
             for i, (z, size) in enumerate(zip(batch.column("z").to_pylist(), batch.column("size").to_pylist(), strict=True)):
-                words = _unzip(z, size).split()
-                digests += [_digest(words, *x, k) for x in zip(start[begin[i] : begin[i + 1]].tolist(), n[begin[i] : begin[i + 1]].tolist(), strict=True)]
+                words, known = _unzip(z, size).split(), {}
+                for spots in lists.slice(begin[i], begin[i + 1] - begin[i]).to_pylist():
+                    for s in spots:
+                        if (x := (s["sstart"], s["n"])) not in known:
+                            known[x] = _digest(words, *x, k)
+                    digests.append([known[s["sstart"], s["n"]] for s in spots])
             at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column("doc").take(at), batch.column("mark").take(at), pa.array(start), pa.array(n), pa.array(digests, pa.binary())], ["sdoc", "smark", "sstart", "n", "digest"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc").take(at), batch.column("mark").take(at), lists, pa.array(digests, pa.list_(pa.binary()))], ["sdoc", "smark", "spots", "digests"])
 
     return run
 
@@ -276,7 +281,7 @@ def remove_repeats(docs: DataFrame, k: int = 20, carry: list[str] | None = None)
     copies = again.join(first.where("c > 1").select("seed", "content", "source"), ["seed", "content"]).where(here != F.col("source"))
     copies = copies.select(*ROW, "pos", "source")
     heads = again.where("branches").join(first.select("seed", "content", "source"), ["seed", "content"]).where(here == F.col("source"))
-    heads = materialize(heads.groupBy(*ROW).agg(F.collect_list("pos").alias("at")))
+    heads = materialize(heads.groupBy(*ROW).agg(F.collect_set("pos").alias("at")))
 
     docs = docs.withColumn("slot", slot(*ROW))
     schema = StructType([StructField("doc", LongType()), StructField("mark", LongType()), StructField("z", BinaryType()), StructField("size", LongType())])
@@ -285,11 +290,13 @@ def remove_repeats(docs: DataFrame, k: int = 20, carry: list[str] | None = None)
     lead = edges.groupBy("w1", "w2").agg(F.count("*").alias("c"), F.min(here).alias("source")).where("c > 1")
     later = edges.join(lead.select("w1", "w2", "source"), ["w1", "w2"]).where(here != F.col("source")).select(*ROW, "pos", "source")
 
-    spans = materialize(compact(copies.unionByName(later)))
-    sources = materialize(spans.select(F.col("sdoc").alias("doc"), F.col("smark").alias("mark"), "sstart", "n").distinct().groupBy(*ROW).agg(F.collect_list(F.struct("sstart", "n")).alias("at")))
-    digests = packed(sources).mapInArrow(tidy(read_spans(k)), "sdoc long, smark long, sstart long, n long, digest binary")
-    named = spans.join(digests.distinct(), ["sdoc", "smark", "sstart", "n"])
-    gone = materialize(named.groupBy(*ROW).agg(F.collect_list(F.struct("start", "n", "digest")).alias("at")))
+    pairs = compact(copies.unionByName(later))
+    pairs = materialize(pairs.withColumn("spots", F.transform("at", lambda x: F.struct(x["sstart"].alias("sstart"), x["n"].alias("n")))))
+    sources = materialize(pairs.select(F.col("sdoc").alias("doc"), F.col("smark").alias("mark"), "spots").distinct().groupBy(*ROW).agg(F.collect_list("spots").alias("at")))
+    digests = packed(sources).mapInArrow(tidy(read_spans(k)), "sdoc long, smark long, spots array<struct<sstart:long,n:long>>, digests array<binary>")
+    named = pairs.join(digests.distinct(), ["sdoc", "smark", "spots"])
+    named = named.select(*ROW, F.zip_with("at", "digests", lambda x, d: F.struct(x["start"].alias("start"), x["n"].alias("n"), d.alias("digest"))).alias("at"))
+    gone = materialize(named.groupBy(*ROW).agg(F.flatten(F.collect_list("at")).alias("at")))
     touched, wide = membership(gone, *ROW), StructType([*schema, *(docs.schema[c] for c in docs.columns if c == "carried")])
     some = docs.mapInArrow(tidy(compress_texts(touched)), wide).join(gone, ROW, "left").drop("mark")
     doc_id = F.when(F.col("doc") != -(1 << 63), F.col("doc")).alias("doc_id")

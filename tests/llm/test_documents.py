@@ -102,6 +102,30 @@ def test_repeats_table(spark, smoke_dir):
     assert got == sorted(plain_repeats(texts_of(docs)), key=key)
 
 
+@pytest.mark.parametrize("times", [1, 40])
+def test_repeated_rows_count_once_before_they_are_compacted(spark, monkeypatch, times):
+    """However often a row repeats, its repeated passages are as many spans, and each row loses the same words."""
+    r = np.random.default_rng(3)
+    words = [f"w{i}" for i in r.integers(0, 900, 400)]
+    base, mixed = " ".join(words), " ".join([*words[:150], "new", *words[100:260], *words[40:90]])
+    rows = [(5, base)] * times + [(7, mixed)] * times + [(1, " ".join(words[60:90])), (9, base)]
+    seen = []
+    compact = substring.compact
+    monkeypatch.setattr(substring, "compact", lambda records: (lambda pairs: (seen.append(sum(len(x.at) for x in pairs.collect())), pairs)[1])(compact(records)))
+    got = rows_of(substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == sorted(plain_repeats(rows), key=key)
+    assert 0 < seen[0] < 30
+
+
+def test_words_that_repeat_in_a_cycle_are_one_record_per_source(spark):
+    """A text of two alternating words starts all its windows at two places; the spans with one source row are verified together."""
+    cycle = " ".join(["a", "b"] * 400)
+    rows = [(1, "x y " + cycle), (2, cycle + " z"), (3, " ".join(["a", "b", "c"] * 90))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = rows_of(substring.remove_repeats(df), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == sorted(plain_repeats(rows), key=key)
+
+
 def test_kept_text_is_the_digest(documents):
     import hashlib
 
