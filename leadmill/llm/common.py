@@ -7,6 +7,7 @@ import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -75,9 +76,33 @@ def materialize(df: DataFrame) -> DataFrame:
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     TABLES.append(path)
+    made = _MADE.get()
+    if made is not None:
+        made.append(path)
     return out
 
 
+_MADE: ContextVar[list[str] | None] = ContextVar("tables of this run", default=None)
+
+
+class RunTables:
+    """The tables that ``materialize`` writes inside ``with``, and no other run's."""
+
+    def __enter__(self) -> RunTables:
+        self.made: list[str] = []
+        self._token = _MADE.set(self.made)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _MADE.reset(self._token)
+
+    def keep(self, df: DataFrame) -> None:
+        """Delete all of them but the one behind ``df``, which needs none of the others."""
+        for path in [p for p in self.made if p != df._scratch_path]:
+            _delete(df.sparkSession, path)
+            self.made.remove(path)
+
+
 #: Paths of the tables that this driver has written and not deleted, the newest last.
 TABLES: list[str] = []
 
