@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadmill.llm.common import TABLES, crc_held_out, discard_since, materialize
+from leadmill.llm.common import RunTables, crc_held_out, materialize
 from leadmill.llm.mixing import mix
 from leadmill.llm.ngram_join import near_duplicates, text_mark
 from leadmill.llm.packing import pack_documents
@@ -69,8 +69,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), len(TABLES)
-    for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
-        discard_since(spark, before, docs)  # the stage's own tables and its input
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    with RunTables() as tables:  # other runs in this driver keep theirs
+        for _, stage in STAGES[:-1]:
+            docs = materialize(stage(spark, docs, sf_dir))
+            tables.keep(docs)  # the stage's own tables and its input go
     return STAGES[-1][1](spark, docs, sf_dir)
