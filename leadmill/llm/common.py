@@ -75,7 +75,6 @@ def materialize(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch_path = path
-    TABLES.append(path)
     made = _MADE.get()
     if made is not None:
         made.append(path)
@@ -103,16 +102,6 @@ class RunTables:
             self.made.remove(path)
 
 
-#: Paths of the tables that this driver has written and not deleted, the newest last.
-TABLES: list[str] = []
-
-
-def discard_since(spark: SparkSession, count: int, kept: DataFrame) -> None:
-    """Delete the tables written since there were ``count`` of them, but the one behind ``kept``, which needs none of the others."""
-    for path in [p for p in TABLES[count:] if p != kept._scratch_path]:
-        _delete(spark, path)
-
-
 def discard(df: DataFrame) -> None:
     """Delete a table made by ``materialize`` that nothing reads any more."""
     path = getattr(df, "_scratch_path", None)
@@ -123,8 +112,6 @@ def discard(df: DataFrame) -> None:
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    if path in TABLES:
-        TABLES.remove(path)
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
