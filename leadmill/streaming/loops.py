@@ -40,12 +40,16 @@ class Parts:
     def select(self, *columns) -> Parts:
         return Parts([p.select(*columns) for p in self.parts])
 
-    def streams(self) -> Iterator[DataFrame]:
-        spark = self.parts[0].sparkSession
-        path = scratch(spark)
+    def paths(self) -> Iterator[str]:
+        """The folder, as often as there are parts, each time with one part more in it."""
+        path = scratch(self.parts[0].sparkSession)
         for part in self.parts:
             part.write.mode("append").parquet(path)
-            yield spark.readStream.schema(self.schema).parquet(path)
+            yield path
+
+    def streams(self) -> Iterator[DataFrame]:
+        for path in self.paths():
+            yield self.parts[0].sparkSession.readStream.schema(self.schema).parquet(path)
 
 
 def in_parts(df: DataFrame, *cuts: Column) -> Parts:
