@@ -48,23 +48,6 @@ def tier_cascade(spark, sf_dir):
     return links.discovered(_pages(spark, sf_dir)).select("page_id", "kind", "tier", "url")
 
 
-CASES = Sample(
-    "page_id long, contact_case string, imprint_url string, about_url string, about_case string",
-    (
-        (-1, "1", "https://www.tea.de/impressum", "https://www.tea.de/about-us", "about_anchor"), (-2, "2", "https://cup.de/i.php", None, "about_not_found"), (-3, "2", "https://js.de/legal/impressum.html", None, "about_not_found"), (-4, "2", "https://guess.de/impressum", None, "about_not_found"),
-        (-5, "5.1", "https://urls.de/imprint", "https://urls.de/ueber-uns", "about_link"), (-6, "4", None, None, None), (-7, "4", None, None, None), (-8, "3", None, None, "about_not_found"), (-9, "5.3", None, None, "about_not_found"),
-    ),
-)
-NOTICES = Sample("url string, markdown string", (("https://www.tea.de/impressum", "# Impressum\nTea"), ("https://urls.de/imprint", "x\nImprint\ny"), ("https://cup.de/i.php", "no heading: Impressum")))
-
-
-@query(f"SELECT * FROM {CASES.sql}")
-def contact_cases(spark, sf_dir):
-    """How planted sites name themselves, their notice and their about page; stated beside."""
-    tails = NOTICES.df(spark).select("url", T.impressum_tail(F.col("markdown")).alias("tail"))
-    return links.site_links(PAGES.df(spark), tails)
-
-
 URLS = Sample(
     "page_id long, base string, pos int, url string",
     (
@@ -102,15 +85,6 @@ def best_url(spark, sf_dir):
     return links.best_urls(URLS.df(spark).unionByName(own), ["page_id"], F.col("base")).select("page_id", "url")
 
 
-RAW = Sample("id long, raw string", ((1, '["https://a.de", " http://b.de ", "c", ""]'), (2, '{"internal": [{"href": "https://a.de"}, {"url": "https://b.de"}, {"link": "HTTP://c.de"}, {"x": 1}], "external": ["https://d.de"], "n": []}'), (3, None), (4, "oops"), (5, "{}")))
-
-
-@query("SELECT * FROM (VALUES (1::BIGINT, 'https://a.de http://b.de'), (2, 'https://a.de https://b.de HTTP://c.de https://d.de'), (3, ''), (4, ''), (5, '')) t(id, urls)")
-def flat_links(spark, sf_dir):
-    """Polymorphic link lists made flat; stated beside."""
-    return RAW.df(spark).select("id", F.array_join(F.coalesce(links.flat_links(F.col("raw")), F.array().cast("array<string>")), " ").alias("urls"))
-
-
 ENTITIES = Sample("page_id long, html string", ((-1, "<p>Fish &amp; chips &lt;3 &quot;x&quot;</p>"), (-2, "<script>a&amp;b</script>plain"), (-3, None), (-4, "&copy; 2020 &middot; x&#64;y")))
 _STRIPPED = "trim(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\\b.*?</script>|<style\\b.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))"
 _PLAIN = _STRIPPED
