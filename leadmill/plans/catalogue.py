@@ -374,7 +374,8 @@ def percentiles(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_type", "value")
     p = ranks.percentiles(e, "event_type", "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
     ends = e.groupBy("event_type").agg(F.min("value").alias("low"), F.max("value").alias("high"))
-    return ends.join(p, "event_type", "left").select("event_type", *(F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")), "low", "high")
+    p = p.withColumnRenamed("event_type", "_t")
+    return ends.join(p, F.col("event_type").eqNullSafe(F.col("_t")), "left").select("event_type", *(F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")), "low", "high")
 
 
 @query("SELECT l_partkey, arg_max((l_suppkey)::BIGINT, (l_quantity, -l_orderkey, -l_linenumber)) AS supplier, max(l_quantity) AS priority FROM lineitem GROUP BY 1")
@@ -408,7 +409,7 @@ def anchor_links(spark, sf_dir):
 
 # -- views and streams ------------------------------------------------------------------------------
 
-from leadmill.plans import crawling, discovery, flows, mailing, projected  # noqa: E402, F401
+from leadmill.plans import crawling, discovery, flows, mailing, projected, telemetry  # noqa: E402, F401
 
 QUERIES["leads_view"], ORACLES["leads_view"] = views.leads_view, views.LEADS_SQL
 QUERIES["jobs_view"], ORACLES["jobs_view"] = views.jobs_view, views.JOBS_SQL
