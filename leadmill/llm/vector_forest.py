@@ -7,6 +7,10 @@ once.  Medians come from a bounded sample of each label's rows, in a task per la
 in its leaves.  Inside a leaf all pairs are compared in double precision.  A pair is counted in the
 first leaf that both rows share and nowhere else, so counts are exact without listing
 pairs; of a leaf's links a spanning forest is kept, which joins what the links join.
+
+A node whose rows lie so close to every split tried that splitting would not lessen the pairs is a leaf.  Where such a leaf is
+large, its tight groups have a representative: rows within half the angle of it are linked with one another, so they are
+counted, not compared, and only rows further out meet them.
 """
 
 from __future__ import annotations
@@ -29,27 +33,30 @@ TREES = 4
 LEAF_ROWS = 512
 #: About the most vectors, and bytes of them, that one label's medians are taken from, and the fewest a median is taken from.
 SAMPLE_ROWS, SAMPLE_BYTES, LEAST_MEDIAN = 20_000, 32 << 20, 24
-#: Leaves above this many rows are compared in pairs of slices; a label's rows are put in their leaves by a task per so many.
-SLICE_ROWS, PART_ROWS = 4096, 100_000
+#: Leaves above this many rows, or bytes, are compared in pairs of slices; a label's rows are put in their leaves by a task per so many.
+SLICE_ROWS, SLICE_BYTES, PART_ROWS = 16_384, 16 << 20, 100_000
+#: Share of a node's rows in both of its halves from which on splitting makes more pairs than it parts, 2 ((1 + s) / 2)^2 = 1; the
+#: directions tried before a node becomes a leaf; the fewest rows of a tight group with a representative.
+MOST_SPILL, DIRECTIONS, GROUP_ROWS = math.sqrt(2) - 1, 4, 4096
 SEED = 11
 
 
 @functools.lru_cache(maxsize=4096)
-def direction(tree: int, level: int, dimension: int) -> np.ndarray:
-    """The unit vector that a level of a tree splits by, the same for all labels."""
-    d = np.random.default_rng((SEED, tree, level)).normal(size=dimension)
+def direction(tree: int, level: int, dimension: int, pick: int = 0) -> np.ndarray:
+    """The unit vectors that a level of a tree splits by, the same for all labels; the first but where it parts badly."""
+    d = np.random.default_rng((SEED, tree, level, pick) if pick else (SEED, tree, level)).normal(size=dimension)
     return d / np.linalg.norm(d)
 
 
 @dataclass
 class Forest:
-    """The trees of one label: medians per tree, level and node."""
+    """The trees of one label: per tree, level and node the direction and the median, or None for a leaf."""
 
     dimension: int
     depth: int
     spill: float
     trees: int
-    medians: dict[tuple[int, int, int], float] = field(default_factory=dict)
+    splits: dict[tuple[int, int, int], tuple[int, float] | None] = field(default_factory=dict)
 
     @classmethod
     def fit(cls, x: np.ndarray, rows: int, spill: float, trees: int, leaf_rows: int) -> Forest:
@@ -58,26 +65,48 @@ class Forest:
         for t in range(trees):
             nodes = {1: np.arange(len(x))}
             for level in range(out.depth):
-                p = x @ direction(t, level, x.shape[1])
                 below = {}
                 for node, members in nodes.items():
                     if len(members) >= LEAST_MEDIAN:
-                        m = out.medians[t, level, node] = float(np.median(p[members]))
-                        below[2 * node], below[2 * node + 1] = members[p[members] <= m], members[p[members] > m]
+                        split = out.splits[t, level, node] = out.best_split(x[members], t, level)
+                        if split is not None:
+                            low = x[members] @ direction(t, level, out.dimension, split[0]) <= split[1]
+                            below[2 * node], below[2 * node + 1] = members[low], members[~low]
                 nodes = below
+            if out.splits.get((t, 0, 1), 0) is None:
+                break
         return out
 
+    def best_split(self, x: np.ndarray, tree: int, level: int) -> tuple[int, float] | None:
+        """The first direction whose median parts enough of the rows; None if none does."""
+        for pick in range(DIRECTIONS):
+            p = x @ direction(tree, level, self.dimension, pick)
+            m = float(np.median(p))
+            if np.mean(np.abs(p - m) <= self.spill) < MOST_SPILL:
+                return pick, m
+        return None
+
     def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf id) of unit rows ``x`` over all trees."""
+        whole = next((t for t in range(self.trees) if self.splits.get((t, 0, 1), 0) is None), None)
+        if whole is not None:  # one leaf has every pair
+            return np.arange(len(x)), np.full(len(x), self.trees + whole)
         rows_out, leaf_out = [], []
         for t in range(self.trees):
             row, node = np.arange(len(x)), np.ones(len(x), np.int64)
             for level in range(self.depth):
-                p = x @ direction(t, level, self.dimension)
                 known, at = np.unique(node, return_inverse=True)
                 # Below the sample's reach a node splits at 0.
-                cut = np.array([self.medians.get((t, level, int(n)), 0.0) for n in known])[at]
-                low, high = p[row] <= cut + self.spill, p[row] > cut - self.spill
+                split = [self.splits.get((t, level, int(n)), (0, 0.0)) for n in known]
+                pick, cut = np.array([-1 if c is None else c[0] for c in split])[at], np.array([0.0 if c is None else c[1] for c in split])[at]
+                p = np.zeros(len(row))
+                for d in np.unique(pick[pick >= 0]).tolist():
+                    mine = pick == d
+                    p[mine] = (x @ direction(t, level, self.dimension, d))[row[mine]]
+                done = pick < 0  # a leaf is a leaf on every level below; its left child has its rows
+                low, high = done | (p <= cut + self.spill), ~done & (p > cut - self.spill)
+                for n in known[[c is None for c in split]].tolist():
+                    self.splits[t, level + 1, 2 * n] = None
                 row, node = np.concatenate([row[low], row[high]]), np.concatenate([2 * node[low], 2 * node[high] + 1])
             rows_out.append(row)
             leaf_out.append(node * self.trees + t)
@@ -204,6 +233,34 @@ def forest_leaves(classes: DataFrame, threshold: float, trees: int, leaf_rows: i
     return both.mapInArrow(tidy(place(trees)), "h1 long, grp long, dim int, copies long, embedding array<double>, cells array<long>, leaf long")
 
 
+def close_to(bound: float):
+    """Rows whose cosine with their representative (``centre``) is over ``bound``."""
+
+    def run(batches):
+        for batch in batches:
+            for dim in np.unique(np.asarray(batch.column("dim"))).tolist():
+                part = batch.filter(pa.array(np.asarray(batch.column("dim")) == dim))
+                near = np.einsum("ij,ij->i", _matrix(part.column("embedding"), dim), _matrix(part.column("centre"), dim)) >= bound
+                kept = part.filter(pa.array(near))
+                yield pa.RecordBatch.from_arrays([kept.column(c) for c in ("h1", "copies", "unit", "under")], ["h1", "copies", "unit", "under"])
+
+    return run
+
+
+def tight_groups(placed: DataFrame, large: DataFrame, threshold: float) -> DataFrame:
+    """(h1, unit, links, under) of the rows of tight groups in ``large`` leaves (grp, leaf).
+
+    A group are rows with all leaves in common that lie within half the threshold's angle of one of them, ``under``: any two of them are
+    linked, by more than rounding could change.  ``links`` counts the group's other vectors.
+    """
+    first = placed.where(F.col("leaf") == F.col("cells")[0]).join(large, ["grp", "leaf"]).select("h1", "dim", "copies", "embedding", F.xxhash64("grp", "cells").alias("unit"))
+    centres = first.groupBy("unit").agg(F.count("*").alias("n"), F.min("h1").alias("under"), F.min_by("embedding", "h1").alias("centre")).where(F.col("n") >= GROUP_ROWS).drop("n")
+    bound = math.cos(math.acos(threshold) / 2) + 1e-9
+    core = materialize(first.join(centres, "unit").mapInArrow(tidy(close_to(bound)), "h1 long, copies long, unit long, under long"))
+    sizes = core.groupBy("unit").agg(F.count("*").alias("n"), F.sum("copies").alias("total")).where(F.col("n") >= GROUP_ROWS).drop("n")
+    return materialize(core.join(sizes, "unit").select("h1", "unit", (F.col("total") - F.col("copies")).alias("links"), "under"))
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.98, trees: int = TREES, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``vectors`` (vec_id, embedding, label; others are ignored).
 
@@ -222,11 +279,25 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, trees: int = TREES
     classes = materialize(classes.withColumn("grp", F.xxhash64("label", "dim")).drop("label"))
 
     placed = materialize(forest_leaves(classes, threshold, trees, leaf_rows))
-    parts = placed.groupBy("grp", "leaf").agg(F.ceil(F.count("*") / SLICE_ROWS).cast("int").alias("parts"), F.count("*").alias("members")).where("members > 1").drop("members")
-    cut = placed.join(parts, ["grp", "leaf"]).withColumn("side", F.pmod(F.xxhash64("h1", F.lit(7)), F.col("parts")).cast("int"))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"lo": F.least("side", "other"), "hi": F.greatest("side", "other")})
-    found = cut.groupBy("grp", "leaf", "lo", "hi").applyInArrow(compare_leaf(threshold), "h1 long, links long, under long")
-    found = materialize(found)
+    most = F.least(F.lit(SLICE_ROWS), F.lit(SLICE_BYTES) / (8 * F.any_value("dim"))).alias("most")
+    sizes = materialize(placed.groupBy("grp", "leaf").agg(F.count("*").alias("members"), most).where("members > 1"))
+    large = sizes.where("members > most").select("grp", "leaf")
+    groups = None if large.isEmpty() else tight_groups(placed, large, threshold)
+    # A group's rows have slices of their own, which never meet each other.
+    rows = placed.withColumn("unit", F.lit(0).cast("long")) if groups is None else placed.join(groups.select("h1", F.col("unit").alias("_u")), "h1", "left").withColumn("unit", F.coalesce("_u", F.lit(0))).drop("_u")
+    rows = rows.join(sizes, ["grp", "leaf"])
+    in_slices = rows.where("members > most")
+    units = in_slices.groupBy("grp", "leaf", "unit").agg(F.ceil(F.count("*") / F.any_value("most")).cast("int").alias("parts"))
+    sides = units.select("grp", "leaf", "unit", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("no"))
+    sides = sides.groupBy("grp", "leaf").agg(F.collect_list(F.struct("unit", F.xxhash64("unit", "no").alias("side"))).alias("sides"))
+    cut = in_slices.join(units, ["grp", "leaf", "unit"]).withColumn("side", F.xxhash64("unit", F.pmod(F.xxhash64("h1", F.lit(7)), F.col("parts")).cast("int"))).join(sides, ["grp", "leaf"])
+    cut = cut.withColumn("other", F.explode(F.transform(F.filter("sides", lambda o: (o["unit"] != F.col("unit")) | (o["unit"] == 0)), lambda o: o["side"])))
+    columns = ["h1", "grp", "dim", "copies", "embedding", "cells", "leaf", "side", "lo", "hi"]
+    cut = cut.withColumns({"lo": F.least("side", "other"), "hi": F.greatest("side", "other")}).select(*columns)
+    zero = F.lit(0).cast("long")
+    small = rows.where("members <= most").withColumns({"side": zero, "lo": zero, "hi": zero}).select(*columns)
+    found = small.unionByName(cut).groupBy("grp", "leaf", "lo", "hi").applyInArrow(compare_leaf(threshold), "h1 long, links long, under long")
+    found = materialize(found if groups is None else found.unionByName(groups.select("h1", "links", "under")))
 
     links = found.groupBy("h1").agg(F.sum("links").alias("links"))
     label = components(found.select(F.col("h1").alias("a"), F.col("under").alias("b")))

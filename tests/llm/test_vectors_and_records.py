@@ -9,6 +9,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from leadmill.llm import chat, topk, vector_forest, warc
 from leadmill.llm.queries import tokenizer_path
@@ -100,6 +101,61 @@ def test_many_labels_and_lengths_have_trees(spark):
     assert sum(got.values()) >= 0.9 * sum(want.values()) > 0
 
 
+def cloud(n, dim, noise, seed, label, at=0):
+    """Rows around one direction."""
+    r = np.random.default_rng(seed)
+    return [(at + i, e.tolist(), label) for i, e in enumerate(np.eye(dim)[0] + r.normal(size=(n, dim)) * noise)]
+
+
+def counted(rows, threshold=0.98):
+    """Links and components by blocks of all pairs."""
+    links, top = {}, {}
+    for label in {r[2] for r in rows}:
+        mine = [r for r in rows if r[2] == label]
+        x = np.array([r[1] for r in mine])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        near = [x[a : a + 1000] @ x.T >= threshold for a in range(0, len(x), 1000)]
+        for i, n in zip((r[0] for r in mine), np.concatenate([b.sum(axis=1) for b in near]).tolist(), strict=True):
+            links[i] = n - 1
+        low = np.arange(len(x))
+        while True:
+            new = np.concatenate([np.where(b, low[None], len(x)).min(axis=1) for b in near])
+            new = np.minimum(new, low)[np.minimum(new, low)]
+            if (new == low).all():
+                break
+            low = new
+        for r, m in zip(mine, low.tolist(), strict=True):
+            top[r[0]] = mine[m][0]
+    return links, top
+
+
+@pytest.mark.parametrize("noise", [0.004, 0.011, 0.02])
+def test_large_leaves_have_representatives(spark, monkeypatch, noise):
+    """A tight group, a group near the threshold or a loose one in a label with others: links are those of all pairs."""
+    monkeypatch.setattr(vector_forest, "SLICE_ROWS", 150)
+    monkeypatch.setattr(vector_forest, "GROUP_ROWS", 40)
+    r = np.random.default_rng(1)
+    rows = cloud(700, 64, noise, 5, 1) + cloud(300, 64, noise, 6, 2, 1000) + [(2000 + i, e.tolist(), 1) for i, e in enumerate(r.normal(size=(500, 64)))] + [(3000 + i, rows_[1], 1) for i, rows_ in enumerate(cloud(30, 64, noise, 5, 1))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    links, top = counted(rows)
+    got = {x.vec_id: (x.n_links, x.component_id) for x in vector_forest.near_vectors(df, leaf_rows=64).collect()}
+    found, there = sum(n for n, _ in got.values()), sum(links.values())
+    assert all(got[i][0] <= n for i, n in links.items()) and found >= 0.995 * there
+    if noise < 0.02:
+        assert got == {i: (links[i], top[i]) for i in links}
+
+
+def test_a_group_of_near_copies_is_copied_few_times(spark, monkeypatch):
+    """20,000 vectors around one direction in one label: every pair is counted, no row is copied thrice."""
+    rows = cloud(20_000, 64, 0.005, 2, 7)
+    df = spark.createDataFrame([(i, e, l) for i, e, l in rows], "vec_id long, embedding array<double>, label int").repartition(4)
+    seen = {}
+    leaves = vector_forest.forest_leaves
+    monkeypatch.setattr(vector_forest, "forest_leaves", lambda *a: (lambda placed: (seen.update(placed=placed.count()), placed)[1])(leaves(*a)))
+    got = vector_forest.near_vectors(df).agg(F.min("n_links"), F.max("n_links"), F.max("component_id")).first()
+    assert seen["placed"] < 3 * len(rows) and tuple(got) == (19_999, 19_999, 0)
+
+
 def test_near_vectors(spark):
     rows = vectors()
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as h1", "2 as leaf", "3 as links").repartition(3)
