@@ -117,6 +117,11 @@ def script_links(pages: DataFrame, tier: int = 4) -> DataFrame:
     name = F.concat(F.lit(r"\Q"), F.col("_f"), F.lit(r"\E"))
     body = F.concat(F.lit(r"(?is)(?:function\s+"), name, F.lit(r"\s*\([^)]*\)|"), name, F.lit(r"\s*=\s*(?:function\s*\([^)]*\)|\([^)]*\)\s*=>))\s*\{(.*?)\}"))
     d = d.withColumn("_b", F.call_function("regexp_extract", F.col("_h"), body, F.lit(1))).drop("_h")
+    return script_targets(d.withColumn("tier", F.lit(tier)))
+
+
+def script_targets(calls: DataFrame) -> DataFrame:
+    """``calls`` (page_id, tier, pos, text, kind, _f: a function's name, _b: its body) to the pages that they lead to; see ``script_links``."""
     straight = F.trim(F.regexp_extract("_b", OPENS, 1))
     quoted = F.transform(F.regexp_extract_all("_b", F.lit("['\"]([^'\"]{1,500})['\"]"), F.lit(1)), lambda s: F.trim(s))
     words = F.create_map(*(F.lit(x) for kv in IN_URL.items() for x in kv))
@@ -124,7 +129,7 @@ def script_links(pages: DataFrame, tier: int = 4) -> DataFrame:
     fits = F.call_function("rlike", F.lower(F.col("_f")), F.element_at(words, F.col("kind")))
     guesses = F.when(fits & F.col("kind").isin(*GUESSES), F.element_at(F.create_map(*(x for k, v in GUESSES.items() for x in (F.lit(k), F.array(*map(F.lit, v))))), F.col("kind")))
     hrefs = F.when(page_like(straight), F.array(straight)).when(F.size(alike) > 0, alike).otherwise(guesses)
-    return d.select("page_id", F.lit(tier).alias("tier"), "pos", "text", "kind", F.explode(hrefs).alias("href")).select("page_id", "tier", "pos", "href", "text", "kind")
+    return calls.select("page_id", "tier", "pos", "text", "kind", F.explode(hrefs).alias("href")).select("page_id", "tier", "pos", "href", "text", "kind")
 
 
 def discovered(pages: DataFrame) -> DataFrame:
@@ -135,12 +140,32 @@ def discovered(pages: DataFrame) -> DataFrame:
     clear = pages.select("page_id", "links_json", unescaped(F.coalesce("html", F.lit(""))).alias("html"))
     plain = object_links(clear).unionByName(tagged_links(clear)).unionByName(button_links(clear))
     plain = plain.where(fetchable(F.col("href"))).withColumn("kind", F.explode(kinds_of(F.col("text"))))
-    found = plain.unionByName(script_links(clear)).join(pages.select("page_id", "url"), "page_id")
+    return resolved_tiers(plain.unionByName(script_links(clear)), pages)
+
+
+def resolved_tiers(found: DataFrame, pages: DataFrame) -> DataFrame:
+    """Links made absolute, each once, of the first tier of each page and kind."""
+    found = found.join(pages.select("page_id", "url"), "page_id")
     found = found.select("page_id", "kind", "tier", "pos", joined(F.col("url"), F.trim("href")).alias("url"))
     found = found.groupBy("page_id", "kind", "tier", "url").agg(F.min("pos").alias("pos"))
     return first_tier(found, ["page_id", "kind"])
 
 
+def discovered_at_once(pages: DataFrame) -> DataFrame:
+    """The links of ``discovered``, from one pass over each page's markup: anchors, buttons and calls are parts of one row set."""
+    from leadmill.functions.markup import page_parts
+
+    named = object_links(pages.select("page_id", "links_json")).where(fetchable(F.col("href"))).withColumn("kind", F.explode(kinds_of(F.col("text"))))
+    parts = page_parts(pages.select("page_id", "html")).where("kind in ('anchor', 'button')").withColumnRenamed("kind", "_part")
+    goes = F.regexp_extract(F.coalesce("onclick", F.lit("")), GOES_TO, 1)
+    plain = F.when(F.col("_part") == "button", F.struct(F.lit(3).alias("tier"), F.nullif(goes, F.lit("")).alias("href"))).otherwise(F.struct(F.lit(2).alias("tier"), F.col("href").alias("href")))
+    scripted = F.when((F.col("_part") == "anchor") & F.col("calls").isNotNull(), F.struct(F.lit(4).alias("tier"), F.lit(None).cast("string").alias("href")))
+    d = parts.select("page_id", "pos", F.col("body").alias("text"), F.col("calls").alias("_f"), F.col("called").alias("_b"), F.array_compact(F.array(plain, scripted)).alias("_l")).withColumn("_l", F.explode("_l")).withColumn("kind", F.explode(kinds_of(F.col("text"))))
+    d = d.select("page_id", "_l.tier", "pos", "_l.href", "text", "kind", "_f", "_b")
+    straight = d.where("tier < 4").where(fetchable(F.col("href"))).select(named.columns)
+    return resolved_tiers(named.unionByName(straight).unionByName(script_targets(d.where("tier = 4"))), pages)
+
+
 def first_tier(found: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per key only the lowest tier that found anything."""
     return found.withColumn("_t", F.min("tier").over(Window.partitionBy(*keys))).where("tier = _t").drop("_t")
