@@ -25,8 +25,8 @@ DISGUISES = [
     (r"\s*\[\s*punkt\s*\]\s*", "."), (r"\s*\(\s*punkt\s*\)\s*", "."), (r"\s+punkt\s+", "."),
 ]
 BOUNDARY = r"""[ \t\r\n<>"'()\[\]{}.,;:!?]+"""
-MAX_TEXT, MAX_EMAILS, LEAST_QUALITY = 1_000_000, 5, 50
-# The older rules: their pattern, the words for @ and ., asset endings.
+MAX_EMAILS, LEAST_QUALITY = 5, 50
+# Fixed values of the older rules: their pattern, the words for @ and ., asset endings, a decoy.
 OLD_ADDRESS = r"(?<![\w@])([a-zA-Z0-9._%+\-]{1,64}@(?:[a-zA-Z0-9\-]+\.)+[a-zA-Z]{2,})(?![\w@])"
 OLD_AT = r"\s*(?:\(|\[)?\s*(?:at|AT)\s*(?:\)|\])?\s*"
 OLD_DOT = r"\s*(?:\(|\[)?\s*(?:dot|DOT)\s*(?:\)|\])?\s*"
@@ -34,6 +34,15 @@ OLD_ASSETS = ["jpg", "jpeg", "png", "webp", "avif", "gif", "svg", "bmp", "ico",
 SPAM_TRAP = r"(?i)(\b[a-zA-Z0-9._%+\-]{1,64})\s*@spamverhindern\.de\s*@\s*"
 
 
+#: Without one of these no address can come out of a text: the sign, an entity, a link, at as a word, or something invisible in between.
+SIGN = r"(?i)@|&|mailto:|[\s\[({]at[\s\])}]|" + ZERO_WIDTH
+
+
+def may_hold_address(text: Column) -> Column:
+    """A cheap look at a text before all else: false only where there is no address, disguised or not."""
+    return F.coalesce(text.rlike(SIGN), F.lit(False))
+
+
 def unescaped(text: Column) -> Column:
     """Entities undone; texts without an ampersand never reach Python."""
     return F.coalesce(html_unescape(F.when(text.contains("&"), text)), text)
@@ -222,9 +231,13 @@ def page_text(first: Column, second: Column) -> Column:
     return F.coalesce(blank_to_null(first), blank_to_null(second), F.lit(""))
 
 
-def page_emails(pages: DataFrame) -> DataFrame:
-    """``pages`` (domain, url, final_url, page_type, cleaned_html, markdown; others stay) with ``emails``: what stage one stores, perhaps empty."""
-    text = F.substring(page_text(F.col("cleaned_html"), F.col("markdown")), 1, MAX_TEXT)
+def page_emails(pages: DataFrame, most: int | None = None) -> DataFrame:
+    """``pages`` (domain, url, final_url, page_type, cleaned_html, markdown; others stay) with ``emails``: what stage one stores, perhaps empty.
+
+    Whole texts are read, or their first ``most`` characters where that is given.
+    """
+    text = page_text(F.col("cleaned_html"), F.col("markdown"))
+    text = text if most is None else F.substring(text, 1, most)
     d = pages.withColumn("_text", unescaped(text))
     return d.withColumn("_text", undisguised(F.col("_text"))).withColumn("emails", standard_filters(addresses(F.col("_text")))).drop("_text")
 
@@ -241,7 +254,9 @@ def emails_of_domains(pages: DataFrame, most: int = MAX_EMAILS) -> DataFrame:
     """
     url = F.coalesce(blank_to_null(F.col("final_url")), "url", F.lit(""))
     d = pages.withColumn("_url", url).where(~asset_url(F.col("_url"))).withColumn("_text", unescaped(F.trim(F.coalesce("cleaned_html", F.lit("")))))
-    d = d.withColumn("_text", undisguised(F.col("_text"))).select("domain", "_url", F.lower(F.trim("page_type")).alias("page_type"), F.explode(addresses(F.col("_text"))).alias("email"))
+    d = d.where(may_hold_address(F.col("_text"))).withColumn("_text", undisguised(F.col("_text")))
+    # An outer explode, as Spark would add a filter on the list to an inner one, and make the list twice.
+    d = d.select("domain", "_url", F.lower(F.trim("page_type")).alias("page_type"), F.explode_outer(addresses(F.col("_text"))).alias("email")).where("email is not null")
     d = d.where(~E.is_system(F.col("email")) & ~E.is_asset(F.col("email")) & (E.quality(F.col("email")) >= LEAST_QUALITY))
     best = d.withColumn("_p", E.page_priority(F.col("page_type"))).groupBy("domain", "email").agg(F.min_by(F.struct("_url", "page_type"), F.struct(-F.col("_p"), "_url", "page_type")).alias("b"))
     own = domains_match(E.domain_part(F.col("email")), F.col("domain"))

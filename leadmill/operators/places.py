@@ -154,7 +154,7 @@ def first_seen(items: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(items, country_of), lambda c: c != ""))
 
 
-def valid_index(rows: DataFrame, dimension: int) -> DataFrame:
+def valid_index(rows: DataFrame, dimension: int | Column) -> DataFrame:
     """Rows of an index (name, embedding) that have a name and a vector of the index's length."""
     return rows.where((F.trim("name") != "") & (F.size("embedding") == dimension) & ~F.exists("embedding", lambda x: x.isNull()))
 

@@ -56,8 +56,8 @@ def candidates_by_request(spark, sf_dir):
 def index_missing(spark, sf_dir):
     """Names that a validated index of vectors lacks."""
     v = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("v"), F.col("vec_id") % 50).alias("name"), "embedding")
-    width = v.agg(F.max(F.size("embedding")).alias("width")).first()["width"] or 0
+    width = v.agg(F.max(F.size("embedding")).alias("width"))
     names = table(spark, sf_dir, "nation").select(F.concat(F.lit("v"), F.col("n_nationkey") * 5).alias("name"))
-    return places.missing_names(names, places.valid_index(v, width))
+    return places.missing_names(names, places.valid_index(v.crossJoin(F.broadcast(width)), F.col("width")))
 
 

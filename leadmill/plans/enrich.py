@@ -118,8 +118,9 @@ _ALL_TEXTS = f"(SELECT doc_id::BIGINT AS doc_id, text FROM documents UNION ALL S
 @query(f"SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i))::INTEGER - 1 AS pos, email FROM (SELECT * FROM ({found_sql(_ALL_TEXTS, 'doc_id', 'text')}) QUALIFY row_number() OVER (PARTITION BY doc_id, email ORDER BY i) = 1)")
 def email_parse_chain(spark, sf_dir):
     """Entities, disguises, mailto links and percent signs undone, and what is a plausible address then, in order."""
-    d = _texts(spark, sf_dir).select("doc_id", X.unescaped(F.col("text")).alias("t")).select("doc_id", X.undisguised(F.col("t")).alias("n"))
-    return d.select("doc_id", F.posexplode(X.addresses(F.col("n"))).alias("pos", "email"))
+    d = _texts(spark, sf_dir).where(X.may_hold_address(F.col("text"))).select("doc_id", X.unescaped(F.col("text")).alias("t")).select("doc_id", X.undisguised(F.col("t")).alias("n"))
+    # An outer explode, as Spark would add a filter on the list to an inner one, and make the list twice.
+    return d.select("doc_id", F.posexplode_outer(X.addresses(F.col("n"))).alias("pos", "email")).where("email is not null")
 
 
 _OWN = f"(SELECT doc_id, email FROM {ADDRESSES.sql} UNION ALL SELECT DISTINCT doc_id::BIGINT, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{{2,24}}'))) FROM documents)"

@@ -209,14 +209,14 @@ def latest_request(spark, sf_dir):
     return g.orderBy(F.desc("first_us"), "request_id").limit(1)
 
 
-@query(f"""WITH m AS (SELECT request_id, organization, 'n' || (hash % 50) || '.de' AS domain, crawl_status FROM (SELECT *, length(organization) * 7 + length(source) + length(domain) AS hash FROM {A} WHERE organization IS NOT NULL)),
-d AS (SELECT domain, arg_max(request_id, (organization, request_id)) AS donor FROM m WHERE crawl_status = 'succeeded' GROUP BY 1)
+@query(f"""WITH m AS (SELECT request_id, organization, 'n' || (hash % 50) || '.de' AS domain, crawl_status FROM (SELECT *, coalesce(length(organization), 0) * 7 + length(source) + length(domain) AS hash FROM {A})),
+d AS (SELECT domain, arg_max(request_id, (coalesce(organization, ''), request_id)) AS donor FROM m WHERE crawl_status = 'succeeded' GROUP BY 1)
 SELECT request_id, organization, m.domain, CASE WHEN coalesce(crawl_status, '') = '' AND donor IS NOT NULL THEN 'reused' ELSE crawl_status END AS crawl_status, CASE WHEN coalesce(crawl_status, '') = '' THEN donor END AS donor FROM m LEFT JOIN d USING (domain)""")
 def reuse_results(spark, sf_dir):
     """Domains that wait take the results of the last request that succeeded with them."""
-    h = F.length("organization") * 7 + F.length("source") + F.length("domain")
-    m = lead_table(spark, sf_dir, "master").where("organization is not null").select("request_id", "organization", F.concat(F.lit("n"), h % 50, F.lit(".de")).alias("domain"), "crawl_status")
-    donors = m.where("crawl_status = 'succeeded'").groupBy("domain").agg(F.max_by("request_id", F.struct("organization", "request_id")).alias("_donor"))
+    h = F.coalesce(F.length("organization"), F.lit(0)) * 7 + F.length("source") + F.length("domain")
+    m = lead_table(spark, sf_dir, "master").select("request_id", "organization", F.concat(F.lit("n"), h % 50, F.lit(".de")).alias("domain"), "crawl_status")
+    donors = m.where("crawl_status = 'succeeded'").groupBy("domain").agg(F.max_by("request_id", F.struct(F.coalesce("organization", F.lit("")), "request_id")).alias("_donor"))
     waits = F.coalesce("crawl_status", F.lit("")) == ""
     d = m.join(donors, "domain", "left")
     return d.select("request_id", "organization", "domain", F.when(waits & F.col("_donor").isNotNull(), "reused").otherwise(F.col("crawl_status")).alias("crawl_status"), F.when(waits, F.col("_donor")).alias("donor"))
