@@ -15,6 +15,7 @@ from leadmill.functions import email as E
 from leadmill.functions import extraction as X
 from leadmill.functions import text as T
 from leadmill.operators import evidence, jobs, links, merge, places, ranks, records
+from leadmill.operators.nearest import nearest_to_each
 from leadmill.operators.select import cosine
 from leadmill.plans.enrich import _ALL_TEXTS, _LIST, ADDRESS_SQL, _texts, asset_sql, match_sql, quality_sql, reason_sql, system_sql, undisguised_sql, unescaped_sql
 from leadmill.plans.registry import micros, query, shared, table
@@ -396,6 +397,14 @@ def index_file_match(spark, sf_dir):
     return _scored(places.valid_index(json_store.index_rows(spark, path), 64))
 
 
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_cosine_similarity(q.v, c.v), 6) AS score FROM e q JOIN e c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s QUALIFY rank <= 10""")
+def cosine_many(spark, sf_dir):
+    """The ten rows closest to every twentieth vector."""
+    v = table(spark, sf_dir, "embeddings")
+    return nearest_to_each(v, v.where("vec_id % 20 = 0"), 10)
+
+
 _STATE_OF = "CASE event_type WHEN 'signup' THEN 'QUEUED' WHEN 'view' THEN 'RUNNING' WHEN 'purchase' THEN 'SUCCEEDED' WHEN 'error' THEN 'FAILED' END"
 
 
