@@ -409,7 +409,7 @@ def anchor_links(spark, sf_dir):
 
 # -- views and streams ------------------------------------------------------------------------------
 
-from leadmill.plans import crawling, discovery, flows, mailing, markup, projected, telemetry  # noqa: E402, F401
+from leadmill.plans import crawling, discovery, flows, mailing, markup, paged, projected, telemetry  # noqa: E402, F401
 
 QUERIES["leads_view"], ORACLES["leads_view"] = views.leads_view, views.LEADS_SQL
 QUERIES["jobs_view"], ORACLES["jobs_view"] = views.jobs_view, views.JOBS_SQL
