@@ -60,7 +60,7 @@ def _sites(spark, sf_dir):
 _SITES = f"(SELECT domain, 'r' || length(domain) % 5 AS request, pages, CAST(count(*) OVER (PARTITION BY 'r' || length(domain) % 5) AS INTEGER) AS domains FROM (SELECT {_HOST} AS domain, CAST(count(*) AS INTEGER) AS pages FROM pages GROUP BY 1))"
 
 
-def run_funnel(spark: SparkSession, sf_dir: str) -> tuple[gather.Stage, gather.Stage]:
+def run_funnel(spark: SparkSession, sf_dir: str, stages: int = 2) -> list[gather.Stage]:
     sites = _sites(spark, sf_dir)
 
     def pages(stream: DataFrame) -> DataFrame:
@@ -73,7 +73,7 @@ def run_funnel(spark: SparkSession, sf_dir: str) -> tuple[gather.Stage, gather.S
         rows = stream.join(sites.select("domain", "request", "domains"), F.col("key") == F.col("domain"))
         return rows.select(F.col("request").alias("key"), F.col("domain").alias("member"), F.col("domains").alias("expected"), (F.col("reason") == "timeout").alias("failed"), "found", "ts")
 
-    return gather.run_chain(in_three(captures(spark, sf_dir)), pages, domains, "60 minutes", PATIENCE, END)
+    return gather.run_chain(in_three(captures(spark, sf_dir)), [pages, domains][:stages], "60 minutes", PATIENCE, END)
 
 
 def _funnel_steps() -> str:
@@ -110,7 +110,7 @@ def _funnel_steps() -> str:
 @query(f"{_funnel_steps()} SELECT domain, reason, pages, failed, coalesce((SELECT string_agg(email, ' ' ORDER BY email) FROM their t WHERE t.domain = dom.domain AND t.round = dom.round), '') AS emails, ms AS closed_ms FROM dom")
 def stream_domain_loop(spark, sf_dir):
     """Each domain once per round, when all of its pages are in or its time is up, with the addresses of its pages."""
-    out = run_funnel(spark, sf_dir)[0].result()
+    out = run_funnel(spark, sf_dir, 1)[0].result()
     return out.select(F.col("key").alias("domain"), "reason", F.col("members").alias("pages"), "failed", F.array_join("found", " ").alias("emails"), F.unix_millis("ts").alias("closed_ms"))
 
 

@@ -6,7 +6,7 @@ or page, whose shape depends on k, so that every branch is met at any size.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leadmill import schemas
@@ -16,8 +16,9 @@ from leadmill.functions import extraction as X
 from leadmill.functions import text as T
 from leadmill.operators import evidence, jobs, links, merge, places, ranks, records
 from leadmill.operators.nearest import nearest_to_each
-from leadmill.operators.select import cosine
-from leadmill.plans.enrich import _ALL_TEXTS, _LIST, ADDRESS_SQL, _texts, asset_sql, match_sql, quality_sql, reason_sql, system_sql, undisguised_sql, unescaped_sql
+from leadmill.operators.select import cosine, top_n
+from leadmill.plans.enrich import _ALL_TEXTS, _EXTRACTED, _LIST, ADDRESS_SQL, _texts, asset_sql, extracted_pages, match_sql, quality_sql, reason_sql, system_sql, undisguised_sql, unescaped_sql
+from leadmill.plans.leads import lead_table, sql
 from leadmill.plans.registry import micros, query, shared, table
 from leadmill.sources import json_store
 
@@ -212,16 +213,16 @@ _ROOT = "regexp_extract(url, '^[a-zA-Z]+://[^/?#]*')"
 _PATH = "CASE page_id % 8 WHEN 0 THEN '/impressum' WHEN 1 THEN '/i.php' WHEN 2 THEN '/legal/impressum.html' WHEN 4 THEN '/imprint' WHEN 7 THEN '/notice' END"
 
 
-@query(f"""SELECT CAST(page_id AS BIGINT) AS page_id, CASE page_id % 8 WHEN 0 THEN CASE WHEN page_id % 16 = 0 THEN '1' ELSE '2' END WHEN 1 THEN '2' WHEN 2 THEN '2' WHEN 3 THEN '3' WHEN 4 THEN '5.2' WHEN 5 THEN '5.3' WHEN 6 THEN '4' ELSE '2' END AS contact_case,
+@query(f"""SELECT CAST(page_id AS BIGINT) AS page_id, CASE page_id % 8 WHEN 0 THEN CASE WHEN {_ROOT} IN (SELECT {_ROOT} FROM pages WHERE page_id % 16 = 0) THEN '1' ELSE '2' END WHEN 1 THEN '2' WHEN 2 THEN '2' WHEN 3 THEN '3' WHEN 4 THEN '5.2' WHEN 5 THEN '5.3' WHEN 6 THEN '4' ELSE '2' END AS contact_case,
 {_ROOT} || {_PATH} AS imprint_url, {_ROOT} || CASE page_id % 8 WHEN 0 THEN '/about-us' WHEN 4 THEN '/ueber-uns' END AS about_url, CASE page_id % 8 WHEN 0 THEN 'about_anchor' WHEN 4 THEN 'about_link' WHEN 6 THEN NULL ELSE 'about_not_found' END AS about_case FROM pages""")
 def contact_cases(spark, sf_dir):
-    """How each page's site names itself, its notice and its about page: by link texts, buttons, scripts, named links or URLs alone."""
+    """How each page's site names itself, its notice and its about page: by link texts, buttons, scripts, named links or URLs alone.
+
+    A notice belongs to its URL, so pages of one host share it.
+    """
     sites = SITES.df(spark, sf_dir)
     notices = sites.where("page_id % 16 = 0").select(F.concat(F.regexp_extract("url", "^[a-zA-Z]+://[^/?#]*", 0), F.lit("/impressum")).alias("url"), F.lit("# Impressum\nTea").alias("markdown"))
-    tails = notices.select("url", T.impressum_tail(F.col("markdown")).alias("tail")).distinct()
-    # A host of several pages may have a notice that another of its pages names.
-    own = sites.where("page_id % 16 = 8").select(F.concat(F.regexp_extract("url", "^[a-zA-Z]+://[^/?#]*", 0), F.lit("/impressum")).alias("url"))
-    return links.site_links(sites, tails.join(own, "url", "left_anti").unionByName(tails.join(own, "url", "left_semi")))
+    return links.site_links(sites, notices.select("url", T.impressum_tail(F.col("markdown")).alias("tail")).distinct())
 
 
 @query(f"""SELECT CAST(page_id AS BIGINT) AS page_id, kind, tier, {_ROOT} || path AS url FROM pages JOIN (VALUES (0, 'impressum', 2, '/impressum'), (0, 'about', 2, '/about-us'), (1, 'impressum', 3, '/i.php'), (2, 'impressum', 4, '/legal/impressum.html'), (3, 'contact', 2, '/contact'), (7, 'impressum', 1, '/notice')) v(m, kind, tier, path) ON page_id % 8 = m""")
@@ -461,3 +462,45 @@ def schema_conform(spark, sf_dir):
     """Orders as rows of an older table, in today's columns: missing ones null, others gone, types cast."""
     d = schemas.conform(OLDER.df(spark, sf_dir), schemas.TABLES["mail_content"])
     return d.select("request_id", "job_id", "domain", "organisation", "company", "send_status", F.unix_micros(F.col("updated_at").cast("timestamp")).alias("updated_us"))
+
+
+# -- smaller steps of the loops ----------------------------------------------------------------------------------------
+
+
+@query(f"SELECT domain, url, m.request_id FROM (SELECT domain, url, seq FROM {_EXTRACTED}) p JOIN (SELECT domain, request_id FROM {sql('master')} WHERE crawl_status = 'succeeded') m USING (domain) QUALIFY row_number() OVER (PARTITION BY domain ORDER BY seq DESC, m.request_id DESC) = 1")
+def previous_success_page(spark, sf_dir):
+    """Of each domain that a request crawled with success before, the page captured last and that request."""
+    good = lead_table(spark, sf_dir, "master").where("crawl_status = 'succeeded'").select("domain", "request_id")
+    pages = extracted_pages(spark, sf_dir).select("domain", "url", "seq").join(good, "domain")
+    return merge.last_per_key(pages, ["domain"], [F.desc("seq"), F.desc("request_id")]).select("domain", "url", "request_id")
+
+
+@query(f"WITH e AS (SELECT DISTINCT lower(trim(e)) AS email, min(id) OVER (PARTITION BY lower(trim(e))) AS first_id FROM {_EACH} WHERE contains(e, '@')) SELECT split_part(email, '@', 2) AS domain, (row_number() OVER (PARTITION BY split_part(email, '@', 2) ORDER BY first_id, email))::INTEGER AS position, email FROM e")
+def emails_by_domain(spark, sf_dir):
+    """The addresses of all lists under their domains, in the order first seen; a row each, so that a domain of many is no list in one row."""
+    each = split_words(LISTS.df(spark, sf_dir), "emails").select("id", F.explode("emails").alias("e")).where("e like '%@%'")
+    seen = each.groupBy(F.lower(F.trim("e")).alias("email")).agg(F.min("id").alias("first_id"))
+    w = Window.partitionBy("domain").orderBy("first_id", "email")
+    return seen.withColumn("domain", E.domain_part(F.col("email"))).select("domain", F.row_number().over(w).alias("position"), "email")
+
+
+@query(f"SELECT request_id, CAST(count(*) FILTER (crawl_status = 'succeeded') AS BIGINT) AS finished, (SELECT count(*) FROM {sql('master')} WHERE crawl_status = 'succeeded') AS updated FROM {sql('master')} GROUP BY 1")
+def bulk_finalize(spark, sf_dir):
+    """Crawled rows get their job in one update, which says how many it changed."""
+    after, counted = merge.finalize(lead_table(spark, sf_dir, "master"), F.col("crawl_status") == "succeeded", job_id="finished")
+    return after.groupBy("request_id").agg(F.count_if(F.col("job_id") == "finished").alias("finished")).crossJoin(F.broadcast(counted))
+
+
+@query(f"SELECT row_number() OVER (ORDER BY seq DESC, url) AS rank, domain, url FROM {_EXTRACTED} WHERE page_type <> 'other'")
+def stage_one_newest(spark, sf_dir):
+    """What stage one stored, newest first, of pages of a known type."""
+    return ranks.numbered(extracted_pages(spark, sf_dir).where("page_type <> 'other'").select("domain", "url", "seq"), [F.desc("seq"), F.asc("url")], "rank").select("rank", "domain", "url")
+
+
+@query(f"""WITH k AS (SELECT DISTINCT email FROM {sql('mail_tracker')}), m AS (SELECT id, i, e, row_number() OVER (PARTITION BY id ORDER BY i) AS n FROM {_EACH} WHERE lower(e) IN (SELECT email FROM k))
+SELECT id, n::INTEGER AS n, e AS email FROM m WHERE n <= 2""")
+def known_addresses(spark, sf_dir):
+    """Of each list the first two addresses that the tracker knows, in the list's order."""
+    each = split_words(LISTS.df(spark, sf_dir), "emails").select("id", F.posexplode("emails").alias("i", "email"))
+    known = lead_table(spark, sf_dir, "mail_tracker").select(F.col("email").alias("_k")).distinct()
+    return top_n(each.join(known, F.lower("email") == F.col("_k"), "left_semi"), ["id"], [F.asc("i")], 2, "n").select("id", "n", "email")

@@ -8,7 +8,7 @@ ignored.  Nothing of a key is kept past its deadline.  Rows behind the watermark
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
 import pandas as pd
@@ -138,9 +138,9 @@ class Stage:
         return self.spark.read.schema(GATHERED).parquet(self.out)
 
 
-def run_chain(parts: Parts, first: Callable[[DataFrame], DataFrame], second: Callable[[DataFrame], DataFrame], delay: str, patience_ms: tuple[int, int], end) -> tuple[Stage, Stage]:
-    """Two chained stages over a source that comes part by part: ``first`` shapes its rows to ``ROWS``, ``second`` shapes the first
-    stage's output to the next one's rows.  At ``end`` all deadlines are past.
+def run_chain(parts: Parts, shapes: Sequence[Callable[[DataFrame], DataFrame]], delay: str, patience_ms: Sequence[int], end) -> list[Stage]:
+    """Chained stages over a source that comes part by part: the first of ``shapes`` makes its rows ``ROWS``, each other one the output of the
+    stage before.  At ``end`` all deadlines are past.
 
     Each stage has its checkpoint, so each goes on where it was after a failure; the folder between them is a stream sink,
     which holds each output once.
@@ -149,15 +149,15 @@ def run_chain(parts: Parts, first: Callable[[DataFrame], DataFrame], second: Cal
     with rocksdb(spark):
         stages: list[Stage] = []
         for stream_path in parts.paths():
-            if not stages:
-                stages.append(Stage(spark, "first", stream_path, parts.schema, first, delay, patience_ms[0]))
-                stages.append(Stage(spark, "second", stages[0].out, GATHERED, second, delay, patience_ms[1]))
+            for n, shape in enumerate(shapes if not stages else ()):
+                stages.append(Stage(spark, f"stage{n}", stages[-1].out if n else stream_path, GATHERED if n else parts.schema, shape, delay, patience_ms[n]))
             for s in stages:
                 s.advance()
-        stages[0].beat(end)
-        stages[1].advance()
-        stages[1].beat(end)
-    return stages[0], stages[1]
+        for n, s in enumerate(stages):
+            if n:
+                s.advance()
+            s.beat(end)
+    return stages
 
 
 def answered(asks: DataFrame, answers: DataFrame, key: str, within: str, delay: str) -> DataFrame:

@@ -31,7 +31,7 @@ def chain(spark):
     ]
     frames = Parts([spark.createDataFrame(p, ROW) for p in parts])
     whole = lambda s: s.select(F.lit("all").alias("key"), F.concat("key", "reason").alias("member"), F.lit(5).alias("expected"), (F.col("reason") == "timeout").alias("failed"), "found", "ts").where("key is not null")
-    return gather.run_chain(frames, lambda s: s, whole, "60 minutes", (200 * 60_000, 10**10), datetime.datetime(2026, 1, 1))
+    return gather.run_chain(frames, [lambda s: s, whole], "60 minutes", (200 * 60_000, 10**10), datetime.datetime(2026, 1, 1))
 
 
 def test_a_key_comes_out_once_per_round(chain):
