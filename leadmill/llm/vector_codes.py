@@ -114,28 +114,31 @@ class Part:
         if not self.width or k == 1:
             return np.zeros(n, np.int64), measure(np.arange(n), np.zeros(n, np.int64)), np.ones(n, np.int64)
         # Well over what rounding makes of a bound: a share of it, and of the squared norms for what cancels out.
-        own2, entry2 = (x * x).sum(axis=1).astype(float), (c * c).sum(axis=1).astype(float)
-        slack = lambda low, far, i, j: 1e-9 * (1 + far + low) + 1e-18 * (own2[i] + entry2[j])
+        slack = 1e-9 + 1e-18 * ((x * x).sum(axis=1).astype(float) + float((c * c).sum(axis=1).max()))
+        limit = lambda far: (far * (1 + 1e-9) + slack) * (1 + 2e-9)
         i = j = far = None
         for starts, means, residual in self.levels or [(np.zeros(1, np.int64), *means_and_residual(self.entries, np.zeros(1, np.int64)))]:
             own, rest = means_and_residual(x, starts)
             if i is None:  # the coarsest bound of all entries, and the distance of the entry that it puts first
-                low = ((own[:, None, :] - means[None]) ** 2).sum(axis=2) + (rest[:, None] - residual[None]) ** 2
-                first = low.argmin(axis=1)
-                far = measure(np.arange(n), first).astype(float)
-                every = np.ix_(np.arange(n), np.arange(k))
-                i, j = np.nonzero(low <= far[:, None] + slack(low, far[:, None], *every))
+                low = (rest[:, None] - residual[None]) ** 2
+                for b in range(own.shape[1]):
+                    low += (own[:, b : b + 1] - means[None, :, b]) ** 2
+                far = measure(np.arange(n), low.argmin(axis=1)).astype(float)
+                i, j = np.nonzero(low <= limit(far)[:, None])
             else:
-                low = ((own[i] - means[j]) ** 2).sum(axis=1) + (rest[i] - residual[j]) ** 2
+                low = (rest[i] - residual[j]) ** 2
+                for b in range(own.shape[1]):
+                    low += (own[i, b] - means[j, b]) ** 2
                 bound = np.full((n, k), np.inf)
                 bound[i, j] = low
                 far = np.minimum(far, measure(np.arange(n), bound.argmin(axis=1)).astype(float))
-                stay = low <= far[i] + slack(low, far[i], i, j)
+                stay = low <= limit(far)[i]
                 i, j = i[stay], j[stay]
-        exact = measure(i, j)
-        order = np.lexsort((j, exact, i)) if small else np.array(sorted(range(len(i)), key=lambda t: (i[t], exact[t], j[t])), np.int64)
-        head = order[np.searchsorted(i[order], np.arange(n))]
-        return j[head], exact[head], np.bincount(i, minlength=n)
+        # The first of equal distances has the smaller index.
+        exact = np.full((n, k), np.iinfo(np.int64).max if small else 1 << 300, np.int64 if small else object)
+        exact[i, j] = measure(i, j)
+        best = exact.argmin(axis=1)
+        return best, exact[np.arange(n), best], np.bincount(i, minlength=n)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
