@@ -34,6 +34,9 @@ OLD_ASSETS = ["jpg", "jpeg", "png", "webp", "avif", "gif", "svg", "bmp", "ico",
 SPAM_TRAP = r"(?i)(\b[a-zA-Z0-9._%+\-]{1,64})\s*@spamverhindern\.de\s*@\s*"
 
 
+#: A text without this has no disguised sign: the word of one behind a bracket or blank and before one.
+SPELT = r"(?i)[\s\[({](?:at|dot|punkt)[\s\])}]"
+
 #: Without one of these no address can come out of a text: the sign, an entity, a link, at as a word, or something invisible in between.
 SIGN = r"(?i)@|&|mailto:|[\s\[({]at[\s\])}]|" + ZERO_WIDTH
 
@@ -52,7 +55,9 @@ def undisguised(text: Column) -> Column:
     """Zero-width characters out, line breaks to blanks, at and dot in words to signs; empty for NULL.  Entities are undone before."""
     c = F.regexp_replace(F.coalesce(text, F.lit("")), ZERO_WIDTH, "")
     c = F.translate(c, "\r\n", "  ")
-    return reduce(lambda c, p: F.regexp_replace(c, f"(?i){p[0]}", p[1]), DISGUISES, c)
+    # One look for any of the words beside a bracket or a blank; most texts have none and are spared the replacements.
+    spelt = reduce(lambda c, p: F.regexp_replace(c, f"(?i){p[0]}", p[1]), DISGUISES, c)
+    return F.when(c.rlike(SPELT), spelt).otherwise(c)
 
 
 def cleaned(address: Column) -> Column:

@@ -51,7 +51,10 @@ def release_stale(df: DataFrame, status: str, started: str, now: Column, minutes
 
 
 def suffix_join(hosts: DataFrame, domains: DataFrame, host: str, domain: str) -> DataFrame:
-    """host equal to domain or under it: an equi-join on the registrable domain and a residual, not a theta join."""
+    """host equal to domain or under it: an equi-join on the registrable domain and a residual, not a theta join.
+
+    A parent is only found under one registrable domain: a domain that is a public suffix itself joins with itself alone.
+    """
     from leadmill.functions.domain import domains_match, registrable_domain
 
     h = hosts.withColumn("_r", registrable_domain(F.col(host)))
