@@ -11,6 +11,8 @@ path.  Equal windows have equal minimizers at equal offsets, so:
 3. only where one minimizer has several contents (the path branches there), the first
    path of each content is expanded into edges again, which are compared one by one
    by a 128-bit hash and their coordinates;
+   A text's paths with one content are one record with their positions, so that a text in which
+   a few words alternate has a few records and not one every other word;
 4. paths and edges that follow each other both in their document and in the source are
    compacted into spans: a span ends where the walk branches, that is where the next edge has
    another source or none;
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
@@ -98,12 +100,26 @@ def emit_paths(k: int, s: int):
             for batch in slices(whole, "text"):
                 h, bounds = _words(batch)
                 doc, start, n, seed, content = paths_of(h, bounds, k, s)
+                doc, seed, content, pos, more = by_content(doc, seed, content, (start << _LEN_BITS) | n)
                 at = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(seed)), batch.column("doc").take(at), batch.column("mark").take(at), pa.array((start << _LEN_BITS) | n), pa.array(_signed(content))], ["seed", "doc", "mark", "pos", "content"])
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(seed)), batch.column("doc").take(at), batch.column("mark").take(at), pa.array(pos), pa.array(_signed(content)), more], ["seed", "doc", "mark", "pos", "content", "more"])
 
     return run
 
 
+def by_content(doc: np.ndarray, seed: np.ndarray, content: np.ndarray, pos: np.ndarray):
+    """Paths in order of position, those of one document, seed and content as one: (document, seed, content, first position, list of the others or null)."""
+    order = np.lexsort((content, seed, doc))
+    doc, seed, content, pos = doc[order], seed[order], content[order], pos[order]
+    head = np.ones(len(doc), bool)
+    head[1:] = (doc[1:] != doc[:-1]) | (seed[1:] != seed[:-1]) | (content[1:] != content[:-1])
+    first = np.flatnonzero(head)
+    others = np.diff(np.append(first, len(doc))) - 1
+    ends = pa.array(np.concatenate(([0], np.cumsum(others))), pa.int32())
+    more = pa.ListArray.from_arrays(ends, pa.array(pos[~head], pa.int64()), mask=pa.array(others == 0))
+    return doc[first], seed[first], content[first], pos[first], more
+
+
 def compress_texts(wanted):
     """Compressed texts of the rows that the membership table ``wanted`` lets through."""
 
@@ -152,20 +168,44 @@ def expand_edges(k: int):
     return run
 
 
+SPANS = "doc long, mark long, sdoc long, smark long, at array<struct<start:long,sstart:long,n:long>>"
+
+
+def join_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``SPANS`` of rows (doc, mark, found), ``found`` a row's records as (at, sdoc, smark, spos), ``at`` their positions in it."""
+    for batch in batches:
+        found = batch.column("found").flatten()
+        which = _rows_of(found.field("at"))
+        row = _rows_of(batch.column("found"))[which]
+        pos = np.asarray(found.field("at").flatten(), np.int64)
+        sdoc, smark, spos = (np.asarray(found.field(f), np.int64)[which] for f in ("sdoc", "smark", "spos"))
+        order = np.lexsort((pos, row))
+        row, pos, sdoc, smark, sstart = row[order], pos[order], sdoc[order], smark[order], spos[order] >> _LEN_BITS
+        start, n = pos >> _LEN_BITS, pos & ((1 << _LEN_BITS) - 1)
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (sdoc[1:] != sdoc[:-1]) | (smark[1:] != smark[:-1]) | (start[1:] != (start + n)[:-1]) | (sstart[1:] != (sstart + n)[:-1])
+        first = np.flatnonzero(new)
+        n = np.add.reduceat(n, first) if len(first) else n
+        row, start, sstart, sdoc, smark = row[first], start[first], sstart[first], sdoc[first], smark[first]
+        order = np.lexsort((start, smark, sdoc, row))
+        row, start, sstart, sdoc, smark, n = row[order], start[order], sstart[order], sdoc[order], smark[order], n[order]
+        head = np.ones(len(row), bool)
+        head[1:] = (row[1:] != row[:-1]) | (sdoc[1:] != sdoc[:-1]) | (smark[1:] != smark[:-1])
+        first = np.flatnonzero(head)
+        spans = pa.StructArray.from_arrays([pa.array(start), pa.array(sstart), pa.array(n)], ["start", "sstart", "n"])
+        at = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)), pa.int32()), spans)
+        kept = pa.array(row[first])
+        yield pa.RecordBatch.from_arrays([batch.column("doc").take(kept), batch.column("mark").take(kept), pa.array(sdoc[first]), pa.array(smark[first]), at], ["doc", "mark", "sdoc", "smark", "at"])
+
+
 def compact(records: DataFrame) -> DataFrame:
-    """``records`` (doc, mark, pos, source) of repeated paths and edges to spans: (doc, mark, sdoc, smark, at), ``at`` the (start, sstart, n) of a row's spans with one source row.
+    """``records`` (doc, mark, at, source) of repeated paths and edges, ``at`` their positions in the row, to spans: (doc, mark, sdoc, smark, at), ``at`` the (start, sstart, n) of a row's spans with one source row.
 
-    Records that follow each other in their row and in one source row are one span; a row's records are sorted in a task.  Equal rows
+    Records that follow each other in their row and in one source row are one span; a row's records meet in a task, as its words did.  Equal rows
     have equal records, which count once.
     """
-    d = records.distinct().select(*ROW, F.shiftright("pos", _LEN_BITS).alias("start"), F.col("pos").bitwiseAND((1 << _LEN_BITS) - 1).alias("n"), F.col("source.doc").alias("sdoc"), F.col("source.mark").alias("smark"), F.shiftright("source.pos", _LEN_BITS).alias("sstart"))
-    w = Window.partitionBy(*ROW).orderBy("start", "n")
-    before = F.lag(F.struct((F.col("start") + F.col("n")).alias("end"), (F.col("sstart") + F.col("n")).alias("send"), "sdoc", "smark")).over(w)
-    follows = F.coalesce(before == F.struct(F.col("start").alias("end"), F.col("sstart").alias("send"), "sdoc", "smark"), F.lit(False))
-    d = d.withColumn("_new", (~follows).cast("int")).withColumn("_span", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    ends = d.groupBy(*ROW, "_span").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("_end"), F.min("sdoc").alias("sdoc"), F.min("smark").alias("smark"), F.min("sstart").alias("sstart"))
-    spans = ends.select(*ROW, "sdoc", "smark", F.struct("start", "sstart", (F.col("_end") - F.col("start")).alias("n")).alias("span"))
-    return spans.groupBy(*ROW, "sdoc", "smark").agg(F.sort_array(F.collect_list("span")).alias("at"))
+    found = F.struct("at", F.col("source.doc").alias("sdoc"), F.col("source.mark").alias("smark"), F.col("source.pos").alias("spos"))
+    return records.distinct().groupBy(*ROW).agg(F.collect_list(found).alias("found")).mapInArrow(tidy(join_spans), SPANS)
 
 
 def _digest(words: list[bytes], start: int, n: int, k: int) -> bytes:
@@ -272,14 +312,17 @@ def remove_repeats(docs: DataFrame, k: int = 20, carry: list[str] | None = None)
     with_text = carry is not None
     carried = [F.struct(*(F.col(c) for c in carry or []), F.lit(1).alias("_")).alias("carried")] if with_text else []
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), mark.alias("mark"), "text", *carried)
-    paths = docs.select("doc", "mark", "text").mapInArrow(tidy(emit_paths(k, SEED_WORDS)), "seed long, doc long, mark long, pos long, content long")
+    paths = docs.select("doc", "mark", "text").mapInArrow(tidy(emit_paths(k, SEED_WORDS)), "seed long, doc long, mark long, pos long, content long, more array<long>")
     here = F.struct("doc", "mark", "pos")
 
-    often = paths.groupBy("seed").agg(F.count("*").alias("c"), F.min("content").alias("lo"), F.max("content").alias("hi")).where("c > 1")
+    c = F.sum(F.when(F.col("more").isNull(), 1).otherwise(F.size("more") + 1)).alias("c")
+    often = paths.groupBy("seed").agg(c, F.min("content").alias("lo"), F.max("content").alias("hi")).where("c > 1")
     again = materialize(paths.join(often.select("seed", (F.col("lo") != F.col("hi")).alias("branches")), "seed"))
-    first = again.groupBy("seed", "content").agg(F.min(here).alias("source"), F.count("*").alias("c"))
-    copies = again.join(first.where("c > 1").select("seed", "content", "source"), ["seed", "content"]).where(here != F.col("source"))
-    copies = copies.select(*ROW, "pos", "source")
+    first = again.groupBy("seed", "content").agg(F.min(here).alias("source"), c)
+    # Rows that are equal have the source's place too; of its own positions all but the first are copies.
+    every = F.concat(F.array("pos"), F.coalesce("more", F.array().cast("array<long>")))
+    copies = again.join(first.where("c > 1").select("seed", "content", "source"), ["seed", "content"])
+    copies = copies.select(*ROW, F.when(here == F.col("source"), F.col("more")).otherwise(every).alias("at"), "source").where("at is not null")
     heads = again.where("branches").join(first.select("seed", "content", "source"), ["seed", "content"]).where(here == F.col("source"))
     heads = materialize(heads.groupBy(*ROW).agg(F.collect_set("pos").alias("at")))
 
@@ -288,7 +331,7 @@ def remove_repeats(docs: DataFrame, k: int = 20, carry: list[str] | None = None)
     packed = lambda keys: docs.select(*ROW, "text", "slot").mapInArrow(tidy(compress_texts(membership(keys, *ROW))), schema).join(keys, ROW)
     edges = materialize(packed(heads).mapInArrow(tidy(expand_edges(k)), "w1 long, w2 long, doc long, mark long, pos long"))
     lead = edges.groupBy("w1", "w2").agg(F.count("*").alias("c"), F.min(here).alias("source")).where("c > 1")
-    later = edges.join(lead.select("w1", "w2", "source"), ["w1", "w2"]).where(here != F.col("source")).select(*ROW, "pos", "source")
+    later = edges.join(lead.select("w1", "w2", "source"), ["w1", "w2"]).where(here != F.col("source")).select(*ROW, F.array("pos").alias("at"), "source")
 
     pairs = compact(copies.unionByName(later))
     pairs = materialize(pairs.withColumn("spots", F.transform("at", lambda x: F.struct(x["sstart"].alias("sstart"), x["n"].alias("n")))))

@@ -126,6 +126,21 @@ def test_words_that_repeat_in_a_cycle_are_one_record_per_source(spark):
     assert got == sorted(plain_repeats(rows), key=key)
 
 
+def test_paths_of_one_content_are_one_record_of_a_text():
+    """A cycle of words in a text makes a few records to join, however long it is, and no position is lost."""
+    import pyarrow as pa
+
+    for n in (400, 4000):
+        texts = [" ".join(["a", "b"] * n), None, " ".join(["x", "y", "z", *(["a", "b"] * n)])]
+        batch = pa.RecordBatch.from_arrays([pa.array([3, 4, 5]), pa.array([30, 40, 50]), pa.array(texts)], ["doc", "mark", "text"])
+        (out,) = substring.emit_paths(20, substring.SEED_WORDS)(iter([batch]))
+        got = [(r["doc"], r["seed"], r["content"], p) for r in out.to_pylist() for p in [r["pos"], *(r["more"] or [])]]
+        doc, start, length, seed, content = substring.paths_of(*substring._words(batch), 20, substring.SEED_WORDS)
+        want = zip((3 + doc).tolist(), seed.view(np.int64).tolist(), content.view(np.int64).tolist(), ((start << 6) | length).tolist(), strict=True)
+        assert sorted(got) == sorted(want) and len(got) > n and out.num_rows < 20
+        assert all(r["more"] is None or [r["pos"], *r["more"]] == sorted({r["pos"], *r["more"]}) for r in out.to_pylist())
+
+
 def test_kept_text_is_the_digest(documents):
     import hashlib
 
