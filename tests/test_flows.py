@@ -143,3 +143,33 @@ def test_a_view_is_read_and_written_where_it_changed(spark, smoke_dir):
     assert "PartitionFilters: [" in plan and "_bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
     full = view.combine(view.left.read(), view.right.read())
     assert sorted(map(str, full.collect())) == sorted(map(str, view.view.read().select(full.columns).collect()))
+
+
+def test_a_key_comes_in_pieces_of_any_size(monkeypatch):
+    """A key's rows are never put together; of a member's rows the earliest counts, whatever piece it is in, and what it expects too."""
+    import pandas as pd
+
+    from leadmill.streaming import gather
+
+    class State:
+        def __init__(self):
+            self.value, self.items, self.map, self.timers = None, [], {}, []
+
+        exists = lambda self: self.value is not None or bool(self.items)
+        get = lambda self: self.value if self.value is not None else iter(self.items)
+        update = lambda self, v: setattr(self, "value", v)
+        appendList = lambda self, v: self.items.extend(v)
+        containsKey = lambda self, k: k in self.map
+        updateValue = lambda self, k, v: self.map.__setitem__(k, v)
+        clear = lambda self: (self.items.clear(), self.map.clear())
+        registerTimer = lambda self, t: self.timers.append(t)
+
+    rows = [("b", 4, True, ["x@b.de"], 5000), (None, 0, False, None, 1), ("a", 4, False, ["y@a.de", None, "x@b.de"], 3000), ("b", 9, False, ["early@b.de"], 2000), ("c", None, None, None, 9000), ("a", 50, True, ["late@a.de"], 4000)]
+    frame = pd.DataFrame(rows, columns=["member", "expected", "failed", "found", "ts"]).assign(ts=lambda d: pd.to_datetime(d["ts"], unit="ms"))
+    monkeypatch.setattr(gather.pd, "concat", lambda *_: pytest.fail("a key's rows were put together"))
+    for pieces in ([frame], [frame[:2], frame[2:3], frame[3:]], [frame[i : i + 1] for i in range(6)]):
+        g = gather.Gather(1000)
+        g.round, g.members, g.found, g.handle = (State() for _ in range(4))
+        assert list(g.handleInputRows(("k",), iter(pieces), None)) == []
+        assert g.round.value == (9, 3, 0, 9000, 3000, False) and g.handle.timers == [3000]
+        assert {x for (x,) in g.found.items} == {"early@b.de", "y@a.de", "x@b.de"} and {m for (m,) in g.members.map} == {"a", "b", "c"}
