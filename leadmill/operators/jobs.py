@@ -28,21 +28,29 @@ def read_log(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFr
 def fold(log: DataFrame) -> DataFrame:
     """One row per job: the last state, the first start, the end of a terminal state, the last of every progress field, all metrics, the error.
 
-    Later entries win; of one time the larger state in the order of life does.  Only partial aggregates meet: nothing per job is collected but its
-    metrics, a value per name.
+    Later entries win; of one time the larger state in the order of life does.  The log is read once: entries are folded by job and name of a
+    metric, and those by job.  Only partial aggregates meet: nothing per job is collected but its metrics, a value per name.
     """
     rank = F.array_position(F.array(*map(F.lit, STATES)), F.col("state"))
     at = F.struct("at_us", F.coalesce(rank, F.lit(0)).alias("r"))
-    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c)
+    # An entry with several metrics is folded under each, which changes no least and no greatest.
+    each = log.select(*(c for c in log.columns if c != "metrics"), at.alias("_at"), F.explode_outer("metrics").alias("_name", "_value"))
+    fields = ["state", "phase", "current", "total", "message", "error"]
     terminal = F.col("state").isin("SUCCEEDED", "FAILED")
-    jobs = log.groupBy("job_id").agg(
-        F.min_by("tool", at).alias("tool"), F.min_by("request_id", at).alias("request_id"), last("state"), F.min(F.when(F.col("state") == "RUNNING", F.col("at_us"))).alias("started_us"),
-        F.max(F.when(terminal, F.col("at_us"))).alias("finished_us"), F.max("at_us").alias("updated_us"), last("phase"), last("current"), last("total"), last("message"), last("error"),
+    pair = lambda c: F.struct("_at", F.col(c).alias("v"))
+    named = each.groupBy("job_id", "_name").agg(
+        F.min_by(pair("tool"), "_at").alias("tool"), F.min_by(pair("request_id"), "_at").alias("request_id"), F.min(F.when(F.col("state") == "RUNNING", F.col("at_us"))).alias("started_us"),
+        F.max(F.when(terminal, F.col("at_us"))).alias("finished_us"), F.max("at_us").alias("updated_us"), *(F.max_by(pair(c), F.when(F.col(c).isNotNull(), F.col("_at"))).alias(c) for c in fields),
+        F.max_by("_value", F.struct("at_us", "_value")).alias("_value"),
     )
-    named = log.select("job_id", "at_us", F.explode("metrics").alias("name", "value")).groupBy("job_id", "name").agg(F.max_by("value", F.struct("at_us", "value")).alias("value"))
-    metrics = named.groupBy("job_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("metrics"))
+    metrics = F.array_sort(F.collect_list(F.when(F.col("_name").isNotNull(), F.struct(F.col("_name").alias("name"), F.col("_value").alias("value")))))
+    jobs = named.groupBy("job_id").agg(
+        *(F.min_by(f"{c}.v", f"{c}._at").alias(c) for c in ("tool", "request_id")), F.min("started_us").alias("started_us"), F.max("finished_us").alias("finished_us"), F.max("updated_us").alias("updated_us"),
+        *(F.max_by(f"{c}.v", f"{c}._at").alias(c) for c in fields), metrics.alias("_named"),
+    )
+    jobs = jobs.withColumn("metrics", F.when(F.size("_named") > 0, F.map_from_entries("_named"))).drop("_named")
     # A new start clears the error; so it is the error of a failed job alone.
-    return jobs.join(metrics, "job_id", "left").withColumn("error", F.when(F.col("state") == "FAILED", F.coalesce(F.substring("error", 1, 2000), F.lit("unknown error"))))
+    return jobs.withColumn("error", F.when(F.col("state") == "FAILED", F.coalesce(F.substring("error", 1, 2000), F.lit("unknown error"))))
 
 
 def latest(jobs: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -431,7 +431,10 @@ array_to_string(list_filter([CASE WHEN a = 1 THEN 'request+tool' END, CASE WHEN
 def job_log(spark, sf_dir):
     """All events as a log of job entries, folded to a job per user, and which is the last of its request and tool, of its tool, of all."""
     log, bad = jobs.read_log(_log(spark, sf_dir))
-    j = out = jobs.fold(log)
+    # Jobs are far fewer than entries: they are kept, so that the log is folded once and not for each of the three as well.
+    path = ranks.scratch(spark)
+    jobs.fold(log).write.parquet(path)
+    j = out = spark.read.parquet(path)
     for keys, name in ((["request_id", "tool"], "request+tool"), (["tool"], "tool"), ([], "all")):
         out = out.join(jobs.latest(j, keys).select("job_id", F.lit(name).alias(f"_{name[0]}")), "job_id", "left")
     rejected = bad.agg(F.count("*").alias("rejected"))

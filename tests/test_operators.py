@@ -119,3 +119,14 @@ def test_entities_alone_are_undone_as_in_their_text(spark):
     assert [got[i] for i in range(len(texts))] == [None if t is None else html.unescape(t) for t in texts]
     plan = df.select(X.unescaped(F.col("t")).alias("x"))._jdf.queryExecution().executedPlan().toString()
     assert "entities_undone(CASE WHEN Contains" in plan and "regexp_extract_all" in plan
+
+
+def test_a_log_is_folded_in_one_pass(spark, tmp_path):
+    """The log is scanned once, and entries with several metrics, one or none fold as they did apart."""
+    rows = [("j1", "t", "r", "RUNNING", 5, None, 1, None, None, {"a": "1", "b": "2"}, None), ("j1", "u", "s", "FAILED", 9, "p", None, 7, "m", {"b": "3"}, "e"), ("j1", "t", "r", None, 7, "q", 4, None, None, {}, None), ("j2", "t", "r", "QUEUED", 1, None, None, None, None, None, None)]
+    spark.createDataFrame(rows, jobs.LOG).write.parquet(str(tmp_path / "log"))
+    out = jobs.fold(spark.read.parquet(str(tmp_path / "log")))
+    got = {r.job_id: r.asDict() for r in out.collect()}
+    assert got["j1"] == {"job_id": "j1", "tool": "t", "request_id": "r", "state": "FAILED", "started_us": 5, "finished_us": 9, "updated_us": 9, "phase": "p", "current": 4, "total": 7, "message": "m", "metrics": {"a": "1", "b": "3"}, "error": "e"}
+    assert got["j2"]["metrics"] is None and got["j2"]["state"] == "QUEUED" and got["j2"]["started_us"] is None and got["j2"]["error"] is None
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
