@@ -18,7 +18,8 @@ def read_log(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFr
 
     Tools are slugs, ``unknown`` where there is nothing to make one of.
     """
-    d = lines.select(F.col(column).alias("_line"), F.from_json(column, LOG).alias("e"))
+    # Exploded, as Spark would parse a line again for each field that a filter names.
+    d = lines.select(F.col(column).alias("_line")).select("_line", F.explode(F.array(F.from_json("_line", LOG))).alias("e"))
     ok = (T.squeeze(F.col("e.job_id")) != "") & (T.squeeze(F.col("e.request_id")) != "") & F.col("e.at_us").isNotNull() & (F.col("e.state").isNull() | F.col("e.state").isin(STATES))
     ok = F.coalesce(ok, F.lit(False))
     tool = F.coalesce(T.blank_to_null(T.slugify(F.col("tool"))), F.lit("unknown"))
