@@ -77,7 +77,11 @@ def percent_decoded(text: Column) -> Column:
 def between(text: Column, start: str, end: str) -> Column:
     """What stands between each pair of markers, the shortest, in order."""
     quoted = [f"\\Q{m}\\E" for m in (start, end)]
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?s){quoted[0]}(.*?){quoted[1]}"), F.lit(1))
+    t = F.coalesce(text, F.lit(""))
+    # Up to the last end alone: each start after it would be read to the end of the text.
+    ended = F.left(t, F.length(t) - F.length(F.substring_index(t, end, -1)))
+    found = F.regexp_extract_all(ended, F.lit(f"(?s){quoted[0]}(.*?){quoted[1]}"), F.lit(1))
+    return F.when(t.contains(start) & t.contains(end), found).otherwise(F.array().cast("array<string>"))
 
 
 def plausible(address: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +13,10 @@ LEGAL = ["gmbh", "ag", "se", "kg", "gbr", "ug", "ek", "e.k", "e k", "e.u", "ltd"
 STOPWORDS = ["online", "shop", "store", "official", "germany", "deutschland", "gmbh", "ag", "se", "kg", "ug", "ek", "gbr", "ltd", "inc", "llc", "corp", "sarl", "bv", "nv", "co", "und", "u"]
 
 
+#: What a pattern's white space is.
+SPACE = " \t\n\x0b\f\r"
+
+
 def squeeze(text: Column) -> Column:
     """White space collapsed and trimmed; empty for NULL."""
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
@@ -35,13 +42,27 @@ def without_emphasis(text: Column) -> Column:
 
 def impressum_tail(markdown: Column) -> Column:
     """From the heading of the legal notice to the end; empty without one."""
-    return F.regexp_replace(F.regexp_extract(F.coalesce(markdown, F.lit("")), r"(?ims)(^\s*(#{1,6}\s*)?(impressum|imprint)[ \t]*$.*)", 1), r"^\s+|\s+$", "")
+    t = F.coalesce(markdown, F.lit(""))
+    # Only the heading's own line and no blank lines before it: what stands there is trimmed, and each of them would be tried as a start.
+    found = F.regexp_extract(t, r"(?ims)(^[ \t\x0B\f]*+(#{1,6}+\s*+)?(impressum|imprint)[ \t]*+$.*+)", 1)
+    return F.btrim(found, F.lit(SPACE))
+
+
+_INVISIBLE = ["\u00ad", "\u200b", "\u200c", "\u200d", "\u2060"]
+
+
+def _has(text: Column, parts: list[str]) -> Column:
+    return reduce(or_, [text.contains(p) for p in parts])
 
 
 def visible_text(html: Column) -> Column:
     """Tags and invisible characters out, white space squeezed."""
-    c = F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), "<[^>]+>", ""), r"[\u00ad\u200b\u200c\u200d\u2060]", "")
-    return squeeze(F.replace(c, F.lit("\u00a0"), F.lit(" ")))
+    t = F.coalesce(html, F.lit(""))
+    # After the last > there are no tags; that rest is taken at once, where each < would be read to the end.
+    c = F.replace(F.regexp_replace(t, r"<[^>]++>|(<[^>]*+\z)", "$1"), F.lit("\u00a0"), F.lit(" "))
+    for sign in _INVISIBLE:
+        c = F.replace(c, F.lit(sign), F.lit(""))
+    return squeeze(F.when(_has(t, ["<", "\u00a0", *_INVISIBLE]), c).otherwise(t))
 
 
 #: Parts of a browser's error and what they mean, the first that fits.
@@ -54,15 +75,21 @@ CRAWL_ERRORS = [
 ]
 
 
+#: A text with none of these has none of the parts above.
+_SIGNS = ["ERR_", "Timeout", "SSL", "40", "50"]
+#: Lines that tell nothing, from the start, then the first that does; no match without one.
+_TELLING = r"\A(?:\s*+(?:Error:|Call log:|Code context:|-|→)[^\n]*+)*+\s*+(\S(?:[^\n]*\S)?)(?s:.*+)"
+
+
 def crawl_error(error: Column) -> Column:
     """A short name for an error; else its first telling line, at most 80 characters."""
     e = F.coalesce(error, F.lit(""))
-    lines = F.filter(F.transform(F.split(e, "\n"), lambda l: F.regexp_replace(l, r"^\s+|\s+$", "")), lambda l: (l != "") & ~l.rlike(r"^(Error:|Call log:|Code context:|-|→)"))
-    short = lambda c: F.when(F.length(c) > 80, F.concat(F.substring(c, 1, 80), F.lit("..."))).otherwise(c)
-    out = F.when(e == "", "")
-    for part, name in CRAWL_ERRORS:
-        out = out.when(e.rlike(part), name)
-    return out.when(e.contains("Empty content"), e).when(F.size(lines) > 0, short(F.get(lines, F.lit(0)))).otherwise(short(e))
+    name = F.when(~_has(e, _SIGNS), None)
+    for part, meaning in CRAWL_ERRORS:
+        name = name.when(_has(e, part.split("|")), meaning)
+    # By patterns that name the text once, as a condition on it would have it read again.
+    short = F.regexp_replace(F.regexp_replace(e, _TELLING, "$1"), r"(?s)\A(.{80}).++", "$1...")
+    return F.coalesce(name, F.when(e.contains("Empty content"), e), short)
 
 
 def blank_to_null(text: Column) -> Column:
