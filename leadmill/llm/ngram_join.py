@@ -1,28 +1,24 @@
-"""N-gram Jaccard join on parity sketches.
-
-Every distinct shingle of a document toggles one bit of a long bit sketch, so the
-Hamming distance of two sketches is at most the symmetric difference of the two
-sets.  With similarity at least t, that difference is at most
-``T = (1-t)/(1+t) * (|A|+|B|)``: of the blocks that a sketch is cut into, at most T
-can differ, and the others are equal.  Equal blocks are found by an equi-join on
-(size band, block, bits); what meets there is compared by whole sketches and then
-verified on the sets.
-
-Two regimes share that rule:
-
-A block has as many bits as there are hash values, so hardly a bit is toggled twice, and
-is stored as the XOR of the hashes toggled in it.
-
-* below ``EXACT`` differences, all blocks exist and the T+1 fullest are emitted.
-  The order (bits set, block) is a function of the key alone, so two documents
-  whose keys agree in all but T places share one of their first T+1: no link is lost;
-* from there on, a sketch has T / ``SPARE`` blocks, of which the first ``BLOCKS`` are built, and those with one
-  toggled bit are left out, as a common line alone makes them equal.  Differences fall on blocks by hash: a block
-  of a linked pair is equal and has two bits with a chance of 0.25 at the least (0.30 for sets of one size), so that none of
-  64 agrees has a chance under 1e-8 (1e-10) for a pair exactly at the threshold and far less above it.
-
-Size bands are 1/t wide: a partner is in the same or the next band, so a document
-has keys in its own band and in the one below.
+"""N-gram Jaccard join on the rarest shingles.
+
+All sets are sorted by one order of shingles, rare ones first.  Two linked sets of n and m
+shingles share a = t/(1+t) * (n+m) at least, and none of them comes before the first one that
+they share: from there on, each of the two has a shingles or more.  So a shingle with r
+shingles from it on (itself included) can be the first of a link only if the partner has
+r * (1+t)/t - n shingles at most, and that is t * n or more for the first quarter of a set
+alone (at t = 0.75).  These are the keys: whatever a set's size, linked sets share one
+whose bounds hold on both sides, and no link is lost.
+
+Which order it is decides the work and never the result.  It goes by a table of counts of
+fixed size over all rows, so that a line, passage or licence that many texts have comes last
+and is no key of a text that has enough of its own; rows that only such a line has in
+common don't meet, however many there are.
+
+Size bands are 1/t wide: a partner is in the same or the next band, so a shared key stands in
+its row's own band and in the one below, and a pair is looked for in the band of its smaller set.
+Pairs of a key whose bounds hold are compared by parity sketches of some bits a shingle before
+anything else: each shingle toggles a bit, so their Hamming distance is at most the symmetric
+difference of the sets, which is (1-t)/(1+t) * (n+m) at most for a link.  Sets that merely
+share a rare shingle end here.  What is left falls into small groups, which are verified on the sets.
 """
 
 from __future__ import annotations
@@ -34,15 +30,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadmill.llm.common import hash_words, materialize, members, membership, mix, pair_hash, slices, slot, split_words, tidy, window_hash
+from leadmill.llm.common import TABLE_BITS, bit_table, hash_words, in_table, materialize, members, membership, mix, pair_hash, slices, slot, split_words, tidy, window_hash
 from leadmill.llm.graph import components
 
-#: Below this T all blocks exist; from it on, so many of T / SPARE blocks are built, and only those with two toggled bits are keys.
-#: T / SPARE is BLOCKS at the least there, so that the chance of a miss holds for every band.
-EXACT, BLOCKS, SPARE = 79, 64, 1.25
+#: Every band's T is below it: no band's keys are left to chance.
+EXACT = 1 << 62
 CELL_SHINGLES = 2_000_000
 CELL_MEMBERS = 4096
-INFO = "doc_id long, mark long, n_shingles long, h1 long, h2 long, keys array<long>, nodes array<long>"
+#: Pairs of a key that so many rows share are made by a join; beyond, its rows are compared in cells.
+FEW = 64
+#: A table of counts has 2 to the COUNT_BITS places (4 MB), in rows of COUNT_ROW.
+COUNT_BITS, COUNT_ROW = 22, 1 << 13
+INFO = "doc_id long, mark long, n_shingles long, h1 long, h2 long, keys array<long>, sketch binary"
 
 
 def text_mark(text: Column) -> Column:
@@ -78,79 +77,210 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     return out
 
 
-def sketch_keys(shingles: np.ndarray, band: int, limit: int, below: int | None = EXACT) -> np.ndarray:
-    """The block keys of one set in one band, ``limit`` being its T; exact under ``below``, or always if that is None."""
-    spread = mix(shingles + np.uint64(0x51ED2701))
-    exact = below is None or limit < below
-    blocks = int(1.4 * (limit + 1)) + 1 if exact else int(limit / SPARE) + 1
-    at = ((spread >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
-    if not exact:
-        keep = at < BLOCKS
-        at, spread = at[keep], spread[keep]
-    if not len(at):
-        return at
-    order = np.argsort(at, kind="stable")
-    at, spread = at[order], mix(spread[order])
-    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    number, bits, filled = at[first], np.bitwise_xor.reduceat(spread, first), np.diff(np.append(first, len(at)))
-    if exact:
-        if len(number) < limit + 1:
-            # Empty blocks are keys too, the last in the order.
-            empty = np.setdiff1d(np.arange(blocks, dtype=np.uint64), number)
-            number, bits, filled = np.append(number, empty), np.append(bits, np.zeros(len(empty), np.uint64)), np.append(filled, np.zeros(len(empty), np.int64))
-        best = np.lexsort((number, -filled))[: limit + 1]
-        number, bits, filled = number[best], bits[best], filled[best]
-    else:
-        several = filled > 1
-        number, bits, filled = number[several], bits[several], filled[several]
-    return pair_hash(pair_hash(np.full(len(number), band, np.uint64), number), bits ^ filled.astype(np.uint64))
+def place(shingles: np.ndarray) -> np.ndarray:
+    """Where a table of counts has a shingle."""
+    return (shingles >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+
+
+def shingle_counts(width: int):
+    """Texts to the rows of a table: how often they have a shingle of each place, 255 at the most a task; a few that span two texts count too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << COUNT_BITS, np.int32)
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                codes, _, words = split_words(batch.column("text"), lower=True, raw=True)
+                at = np.sort(place(window_hash(hash_words(words)[codes], width) if len(codes) else np.zeros(0, np.uint64)).astype(np.int32))
+                first = np.flatnonzero(np.diff(at, prepend=-1))
+                table[at[first]] += np.diff(first, append=len(at)).astype(np.int32)
+        rows = np.minimum(table, 255).astype(np.uint8).reshape(-1, COUNT_ROW)
+        some = np.flatnonzero(rows.any(axis=1))
+        for part in np.array_split(some, -(-len(some) // 64)) if len(some) else []:
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([rows[i].tobytes() for i in part], pa.binary())], ["part", "counts"])
+
+    return run
+
+
+def add_counts(table: pa.Table) -> pa.Table:
+    """One row of a table of counts, a byte a place: the logarithm to the base 2 of the tasks' sum in eighths."""
+    total = np.zeros(COUNT_ROW, np.int64)
+    for x in table.column("counts"):
+        total += np.frombuffer(x.as_buffer(), np.uint8)
+    steps = np.minimum(np.log2(total + 1) * 8, 255).astype(np.uint8)
+    return pa.table({"part": table.column("part").slice(0, 1), "steps": pa.array([steps.tobytes()], pa.binary())})
+
+
+def frequencies(docs: DataFrame, width: int):
+    """A broadcast table that tells how common a shingle is among the texts of ``docs``; of fixed size, so rare ones share their places."""
+    counts = docs.select("text").mapInArrow(tidy(shingle_counts(width)), "part long, counts binary")
+    table = np.zeros(((1 << COUNT_BITS) // COUNT_ROW, COUNT_ROW), np.uint8)
+    for r in counts.groupBy("part").applyInArrow(add_counts, "part long, steps binary").collect():
+        table[r.part] = np.frombuffer(r.steps, np.uint8)
+    return docs.sparkSession.sparkContext.broadcast(table.ravel())
+
+
+def partner_bound(n, at, num: int, den: int):
+    """The greatest set that one of ``n`` shingles can be linked with, if the first shingle that they share is its ``at``-th from 0 on."""
+    return (num + den) * (n - at) // num - n
+
+
+def rare_keys(shingles: np.ndarray, steps: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The shingles of one sorted set that can be the first of a link, rarest first; equally rare ones by their hash."""
+    n = len(shingles)
+    # Bounds fall with the place: those that allow a partner at all stand first.
+    keys = int((partner_bound(n, np.arange(n), num, den) >= -(-num * n // den)).sum())
+    return shingles[np.argsort(steps[place(shingles)], kind="stable")[:keys]]
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
-def sketches(width: int, num: int, den: int, below: int | None = EXACT):
-    edges = bands(num, den)
-    lows = np.array([low for low, _ in edges])
+def parity(shingles: np.ndarray) -> bytes:
+    """A sketch of two to four bits a shingle, a power of 2 and 64 at the least; each shingle toggles one."""
+    size = max(64, 1 << (2 * len(shingles) - 1).bit_length())
+    at = (mix(shingles + np.uint64(0x2545F491)) & np.uint64(size - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketch: bytes, size: int) -> int:
+    """The sketch of the same set with ``size`` bytes."""
+    x, now = int.from_bytes(sketch, "little"), len(sketch)
+    while now > size:
+        now //= 2
+        x = (x >> 8 * now) ^ (x & ((1 << 8 * now) - 1))
+    return x
+
+
+def described(width: int, num: int, den: int, steps):
+    """Texts to their sets' sizes, hashes, keys and sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 sets = shingle_sets(batch.column("text"), width)
-                n, h1, h2, keys, nodes = [], [], [], [], []
-                for s in sets:
-                    n.append(len(s))
-                    a = int(mix(s).sum(dtype=np.uint64)) if len(s) else 0
-                    b = int(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)) if len(s) else 0
-                    h1.append(a)
-                    h2.append(b)
-                    k, v = [], []
-                    if len(s):
-                        own = int(np.searchsorted(lows, len(s), "right")) - 1
-                        for band in (own, own - 1):
-                            if band >= 0:
-                                got = sketch_keys(s, band, edges[band][1], below)
-                                k.append(got)
-                                v.append(np.full(len(got), int(pair_hash(np.array([a], np.uint64), np.array([band], np.uint64))[0]), np.uint64))
-                    keys.append(_signed(np.concatenate(k)) if k else None)
-                    nodes.append(_signed(np.concatenate(v)) if v else None)
+                h1 = [int(mix(s).sum(dtype=np.uint64)) if len(s) else 0 for s in sets]
+                h2 = [int(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)) if len(s) else 0 for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").cast(pa.int64()),
                         batch.column("mark"),
-                        pa.array(n, pa.int64()),
+                        pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(_signed(np.array(h1, np.uint64))),
                         pa.array(_signed(np.array(h2, np.uint64))),
-                        pa.array(keys, pa.list_(pa.int64())),
-                        pa.array(nodes, pa.list_(pa.int64())),
+                        pa.array([_signed(rare_keys(s, steps.value, num, den)) if len(s) else None for s in sets], pa.list_(pa.int64())),
+                        pa.array([parity(s) if len(s) else None for s in sets], pa.binary()),
                     ],
-                    ["doc_id", "mark", "n_shingles", "h1", "h2", "keys", "nodes"],
+                    ["doc_id", "mark", "n_shingles", "h1", "h2", "keys", "sketch"],
                 )
 
     return run
 
 
+def key_slot(keys):
+    """The bit of a table that a key has, for a column or an array: a key is a hash itself."""
+    return F.pmod(keys, F.lit(TABLE_BITS)) if isinstance(keys, Column) else keys & (TABLE_BITS - 1)
+
+
+def shared_keys(num: int, den: int, wanted):
+    """Classes to those of their keys that the table ``wanted`` lets through, in each band where the key may have a partner.
+
+    ``most`` is the partner's greatest size; ``own`` tells that the row can be the smaller set of a link: the band is its own, and the key allows a partner of its size.
+    """
+    edges = bands(num, den)
+    lows = np.array([low for low, _ in edges])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("keys")
+            count = np.diff(np.asarray(keys.offsets)).astype(np.int64)
+            flat = np.asarray(keys.flatten(), np.int64)
+            row = np.repeat(np.arange(batch.num_rows), count)
+            at = np.arange(len(flat)) - np.repeat(np.cumsum(count) - count, count)
+            kept = in_table(wanted.value, key_slot(flat))
+            flat, row, at = flat[kept], row[kept], at[kept]
+            n, h1 = np.asarray(batch.column("n"))[row], np.asarray(batch.column("h1"))[row]
+            most, home = partner_bound(n, at, num, den), np.searchsorted(lows, n, "right") - 1
+            for band, fits, own in ((home, most >= lows[home], most >= n), (home - 1, -(-num * n // den) < lows[home], np.zeros(len(n), bool))):
+                yield pa.RecordBatch.from_arrays([pa.array(x[fits]) for x in (flat, band, h1, n, most, own)], ["key", "band", "h1", "n", "most", "own"])
+
+    return run
+
+
+def _nodes(h1, band) -> np.ndarray:
+    return _signed(pair_hash(np.asarray(h1).view(np.uint64), np.asarray(band).astype(np.uint64)))
+
+
+def sketched_pairs(num: int, den: int):
+    """Pairs of classes to edges between their nodes in the pair's band, if their sketches allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n", "m", "x", "y")), strict=True):
+                size = min(len(x), len(y))
+                near.append((folded(x, size) ^ folded(y, size)).bit_count() * (den + num) <= (den - num) * (n + m))
+            kept = batch.filter(pa.array(near, pa.bool_()))
+            ends = [pa.array(_nodes(kept.column(c), kept.column("band"))) for c in ("a", "b")]
+            yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
+
+    return run
+
+
+def sketched_cell(num: int, den: int):
+    """The rows of one key in one band (or of two slices of them) to a spanning forest of the pairs whose bounds and sketches allow a link."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("n", "ascending"), ("h1", "ascending")]).combine_chunks()
+        n, most, own, side = (np.asarray(table.column(c)) for c in ("n", "most", "own", "side"))
+        node, two = _nodes(table.column("h1"), table.column("band")), table.column("lo")[0] != table.column("hi")[0]
+        sketches = table.column("sketch").to_pylist()
+        size = min(len(x) for x in sketches)
+        sk = np.frombuffer(b"".join(folded(x, size).to_bytes(size, "little") for x in sketches), np.uint64).reshape(len(n), -1)
+        label = np.arange(len(n))
+        left, right = [], []
+        for i in np.flatnonzero(own).tolist():
+            js = np.arange(i + 1, int(np.searchsorted(n, most[i], "right")))
+            js = js[(label[js] != label[i]) & (most[js] >= n[i])]
+            if two:
+                js = js[side[js] != side[i]]
+            for at in range(0, len(js), 512):
+                part = js[at : at + 512]
+                far = np.bitwise_count(sk[part] ^ sk[i]).sum(axis=1, dtype=np.int64)
+                for j in part[far * (den + num) <= (den - num) * (n[part] + n[i])].tolist():
+                    if label[j] != label[i]:
+                        label[label == label[j]] = label[i]
+                        left.append(node[i])
+                        right.append(node[j])
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+    return run
+
+
+def near_pairs(classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges (a, b) between nodes of classes that share a key and whose bounds and sketches allow a link; of what a common key joins, a spanning forest."""
+    shared = materialize(classes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"))
+    wanted = bit_table(shared.select(key_slot(F.col("key")).alias("s")))
+    # The table lets other keys through by chance, whose rows meet nothing below.
+    keyed = materialize(classes.select("h1", F.col("n_shingles").alias("n"), "keys").mapInArrow(tidy(shared_keys(num, den, wanted)), "key long, band long, h1 long, n long, most long, own boolean"))
+    rows = keyed.groupBy("key", "band").agg(F.count("*").alias("rows"), F.max("own").alias("met")).where("rows > 1 and met").drop("met")
+    met = materialize(keyed.join(rows, ["key", "band"]))
+    sketch = classes.select("h1", "sketch")
+
+    few = met.where(F.col("rows") <= FEW).drop("rows")
+    other = few.select("key", "band", F.col("h1").alias("b"), F.col("n").alias("m"), F.col("most").alias("other_most"))
+    pairs = few.where("own").withColumnRenamed("h1", "a").join(other, ["key", "band"]).where("m <= most and n <= other_most and (m > n or m = n and b > a)")
+    pairs = pairs.select("band", "a", "b", "n", "m").distinct()
+    pairs = pairs.join(sketch.select(F.col("h1").alias("a"), F.col("sketch").alias("x")), "a").join(sketch.select(F.col("h1").alias("b"), F.col("sketch").alias("y")), "b")
+    near = pairs.mapInArrow(tidy(sketched_pairs(num, den)), "a long, b long")
+
+    many = met.where(F.col("rows") > FEW)
+    many = many.withColumn("parts", F.ceil(F.col("rows") / CELL_MEMBERS).cast("int")).withColumn("side", F.pmod(F.xxhash64("h1"), F.col("parts")).cast("int"))
+    cells = many.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    cells = cells.select("key", "band", "h1", "n", "most", "own", "side", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"))
+    return near.unionByName(cells.join(sketch, "h1").groupBy("key", "band", "lo", "hi").applyInArrow(sketched_cell(num, den), "a long, b long"))
+
+
 def node_bands(num: int, den: int):
     """The graph nodes of a class, one per band it has keys in."""
     edges = bands(num, den)
@@ -237,7 +367,7 @@ def compare_cell(num: int, den: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, exact: int | None = EXACT) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id, mark) of every row of ``docs`` (doc_id, text; other columns are ignored); ``mark`` is the text's ``text_mark``.
 
     Words are lower-cased in A-Z only; fewer than ``width`` words make one shingle.
@@ -245,20 +375,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
     component.  Rows with equal sets are one class (a row per class takes part
     in the join).  Repeated doc_ids are separate rows; a null doc_id takes part and is
     never the smallest of a component unless all are null.  An empty table gives no rows.
-    Sets whose T is ``exact`` or more are found by chance, see above; None makes every band exact, at about 0.6 keys a shingle.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_mark(F.col("text")).alias("mark"))
-    info = materialize(docs.mapInArrow(tidy(sketches(width, num, den, exact)), INFO))
+    info = materialize(docs.mapInArrow(tidy(described(width, num, den, frequencies(docs, width))), INFO))
 
     full = info.where("n_shingles > 0")
     # One row per class from here on: copies, however many, are grouped where they are read and never meet again.
-    classes = materialize(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"), F.first("nodes").alias("nodes")))
-    keyed = classes.select(F.explode(F.arrays_zip("keys", "nodes")).alias("k")).select("k.keys", "k.nodes")
-    # A key that many classes share is a minimum per task, and a join that can be split: all hang under its smallest node.
-    shared = keyed.groupBy("keys").agg(F.min("nodes").alias("low"), F.max("nodes").alias("high")).where("low <> high").select("keys", "low")
-    near = keyed.join(shared, "keys").where("nodes <> low").select(F.col("nodes").alias("a"), F.col("low").alias("b"))
-    clusters = components(near).withColumnRenamed("label", "cluster")
-    classes = classes.drop("keys", "nodes")
+    classes = materialize(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
+    clusters = components(near_pairs(classes, num, den)).withColumnRenamed("label", "cluster")
+    classes = classes.drop("keys", "sketch")
 
     member = classes.mapInArrow(node_bands(num, den), "h1 long, h2 long, rep long, n_shingles long, node long, band long")
     member = materialize(member.join(clusters, "node"))

@@ -72,6 +72,43 @@ def test_copies_do_not_enter_cells(spark, monkeypatch):
     assert got == sorted(plain_near(rows), key=key)
 
 
+def test_texts_with_common_lines_in_common_do_not_meet(spark, monkeypatch):
+    """Only near copies come to be compared by their sets, however many texts share lines or single rare passages."""
+    r = np.random.default_rng(11)
+    lines = [" ".join(f"line{k}w{i}" for i in range(12)) for k in range(5)]
+    passages = [" ".join(f"rare{k}w{i}" for i in range(6)) for k in range(150)]
+    rows = []
+    for n in range(600):
+        own = " ".join(f"o{n}w{i}" for i in range(int(r.integers(18, 40))))
+        rows.append((n, "\n".join([lines[n % 5], passages[n % 150], own, passages[int(r.integers(150))], lines[int(r.integers(5))]])))
+    rows.append((1000, rows[17][1] + " tail"))
+    compare = ngram_join.compare_cell
+
+    def strict(num, den):
+        run = compare(num, den)
+
+        def checked(table):
+            assert table.num_rows == 2
+            return run(table)
+
+        return checked
+
+    monkeypatch.setattr(ngram_join, "compare_cell", strict)
+    got = rows_of(ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "n_shingles", "component_id")
+    assert got == sorted(plain_near(rows))
+
+
+def test_common_keys_in_slices_lose_no_link(spark, documents, monkeypatch):
+    """Every key's rows go to cells, and a cell has rows of two small slices."""
+    monkeypatch.setattr(ngram_join, "FEW", 1)
+    monkeypatch.setattr(ngram_join, "CELL_MEMBERS", 2)
+    words = [f"c{i}" for i in range(60)]
+    chain = [(1000 + k, " ".join([*words[3 * k :], *(f"x{k}y{i}" for i in range(3 * k))])) for k in range(9)]
+    docs = documents.select("doc_id", "text").unionByName(spark.createDataFrame(chain, "doc_id long, text string"))
+    got = rows_of(ngram_join.near_duplicates(docs), "doc_id", "n_shingles", "component_id")
+    assert got == sorted(plain_near(texts_of(docs)), key=key)
+
+
 def test_every_band_is_exact_or_has_all_its_loose_blocks():
     for _, limit in ngram_join.bands(75, 100):
         assert limit < ngram_join.EXACT or int(limit / ngram_join.SPARE) + 1 >= ngram_join.BLOCKS, limit
