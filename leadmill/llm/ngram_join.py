@@ -183,9 +183,9 @@ def key_slot(keys):
 
 
 def shared_keys(num: int, den: int, wanted):
-    """Classes to those of their keys that the table ``wanted`` lets through, in each band where the key may have a partner.
+    """Classes to those of their keys that the table ``wanted`` lets through, and whether the key may have a partner ``here``, in the class's own band, or ``below``.
 
-    ``most`` is the partner's greatest size; ``own`` tells that the row can be the smaller set of a link: the band is its own, and the key allows a partner of its size.
+    ``most`` is the partner's greatest size.
     """
     edges = bands(num, den)
     lows = np.array([low for low, _ in edges])
@@ -201,8 +201,8 @@ def shared_keys(num: int, den: int, wanted):
             flat, row, at = flat[kept], row[kept], at[kept]
             n, h1 = np.asarray(batch.column("n"))[row], np.asarray(batch.column("h1"))[row]
             most, home = partner_bound(n, at, num, den), np.searchsorted(lows, n, "right") - 1
-            for band, fits, own in ((home, most >= lows[home], most >= n), (home - 1, -(-num * n // den) < lows[home], np.zeros(len(n), bool))):
-                yield pa.RecordBatch.from_arrays([pa.array(x[fits]) for x in (flat, band, h1, n, most, own)], ["key", "band", "h1", "n", "most", "own"])
+            here, below = most >= lows[home], -(-num * n // den) < lows[home]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (flat, h1, n, most, home, here, below)], ["key", "h1", "n", "most", "band", "here", "below"])
 
     return run
 
@@ -261,8 +261,13 @@ def near_pairs(classes: DataFrame, num: int, den: int) -> DataFrame:
     """Edges (a, b) between nodes of classes that share a key and whose bounds and sketches allow a link; of what a common key joins, a spanning forest."""
     shared = materialize(classes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"))
     wanted = bit_table(shared.select(key_slot(F.col("key")).alias("s")))
-    # The table lets other keys through by chance, whose rows meet nothing below.
-    keyed = materialize(classes.select("h1", F.col("n_shingles").alias("n"), "keys").mapInArrow(tidy(shared_keys(num, den, wanted)), "key long, band long, h1 long, n long, most long, own boolean"))
+    # The table lets other keys through by chance; the join drops them.
+    keyed = classes.select("h1", F.col("n_shingles").alias("n"), "keys").mapInArrow(tidy(shared_keys(num, den, wanted)), "key long, h1 long, n long, most long, band long, here boolean, below boolean")
+    # ``own``: the row can be the smaller set of a link, as the band is its own and the key allows a partner of its size.
+    home = F.struct("band", F.col("here").alias("fits"), (F.col("most") >= F.col("n")).alias("own"))
+    under = F.struct((F.col("band") - 1).alias("band"), F.col("below").alias("fits"), F.lit(False).alias("own"))
+    keyed = keyed.join(shared, "key").select("key", "h1", "n", "most", F.explode(F.array(home, under)).alias("at")).where("at.fits")
+    keyed = materialize(keyed.select("key", "at.band", "h1", "n", "most", "at.own"))
     rows = keyed.groupBy("key", "band").agg(F.count("*").alias("rows"), F.max("own").alias("met")).where("rows > 1 and met").drop("met")
     met = materialize(keyed.join(rows, ["key", "band"]))
     sketch = classes.select("h1", "sketch")
